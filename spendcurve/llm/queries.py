@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spendcurve.llm import sql
-from spendcurve.llm.common import table
+from spendcurve.llm.common import Stash, table
+from spendcurve.llm.packing import pack_documents
 from spendcurve.llm.quality_rules import quality_rules
+from spendcurve.llm.token_store import read_tokens, write_tokens
+from spendcurve.llm.tokens import default_vocabulary
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), with_ids=False)
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stash(spark, 'tokens').root}/shards"
+    write_tokens(table(spark, sf_dir, "documents"), path, default_vocabulary())
+    return read_tokens(spark, path, with_ids=False)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +30,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op7_token_output": op7_token_output,
         "op10_quality_rules": op10_quality_rules,
     }
 
