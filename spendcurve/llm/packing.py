@@ -228,7 +228,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
         coder, tail = encoder(vocabulary), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 edges = [0, *range(total % capacity or capacity, total + 1, capacity)]

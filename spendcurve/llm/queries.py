@@ -8,22 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendcurve.llm import sql
 from spendcurve.llm.common import Stash, table
+from spendcurve.llm.importance import importance_resample
+from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
 from spendcurve.llm.quality_rules import quality_rules
 from spendcurve.llm.token_store import read_tokens, write_tokens
 from spendcurve.llm.tokens import default_vocabulary
+from spendcurve.llm.url_filter import filter_urls
+
+#: The rules of op5.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), with_ids=False)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Stash(spark, 'tokens').root}/shards"
     write_tokens(table(spark, sf_dir, "documents"), path, default_vocabulary())
     return read_tokens(spark, path, with_ids=False)
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -31,7 +49,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op5_url_filter": op5_url_filter,
         "op7_token_output": op7_token_output,
+        "op8_importance_resampling": op8_importance_resampling,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 

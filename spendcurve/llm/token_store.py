@@ -143,7 +143,7 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)], names=["part", "start", "n_tokens", "n_docs", "shard"])
 
         for batch in batches:
-            texts = coder.encode(batch.column(1).to_pylist())
+            texts = coder.encode(batch.column(1))
             for doc, found in zip(batch.column(0).to_pylist(), texts, strict=True):
                 one = np.frombuffer(found + tail, dtype="<u4")
                 if ids and held + len(one) > shard_tokens:

@@ -6,9 +6,10 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Entries of one generation of a worker's cache; two generations are held. Bounds memory, changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 800_000
 
 
 class Encoder:
@@ -26,28 +27,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
-        """Put every wanted unit in the cache; what was met in the last generation is not encoded again."""
+        """Put every wanted unit in the cache; what was met in the last generation is not encoded again.
+
+        Letters and the one comma or stop behind them are cut apart before any merge, so such a unit is
+        put together from its letters and its mark.
+        """
         new = wanted.difference(self.units)
-        if len(self.units) + len(new) > CACHE_ENTRIES:
-            self.older, self.units, new = self.units, {}, wanted
-        found = {u: self.older[u] for u in new if u in self.older}
-        self.units.update(found)
-        rest = [u for u in new if u not in found]
+        marked = [u for u in new if u[-1] in ",." and u[:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(x for u in marked if (x := u[:-1]) not in self.units)
+        if len(self.units) + len(new) + len(marked) > CACHE_ENTRIES:
+            self.older, self.units = self.units, {}
+            marked = [u for u in wanted if u[-1] in ",." and u[:-1].isalpha()]
+            new = wanted.difference(marked)
+            new.update(u[:-1] for u in marked)
+        units, older = self.units, self.older
+        rest = []
+        for u in new:
+            found = older.get(u)
+            if found is None:
+                rest.append(u)
+            else:
+                units[u] = found
         texts = [u if u[0] == "\n" else f" {u}" for u in rest]
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self.units.update((u, array("I", e.ids).tobytes()) for u, e in zip(rest, encoded, strict=True))
+        units.update((u, array("I", e.ids).tobytes()) for u, e in zip(rest, encoded, strict=True))
+        for u in marked:
+            units[u] = units[u[:-1]] + self.marks[u[-1]]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes; null counts as empty."""
+        column = texts.cast(pa.large_string()).fill_null("")
         cut: list[list[str] | None] = []
         wanted: set[str] = set()
-        for text in texts:
-            if not text or "<|" in text or text.replace("\n", " ").split(" ") != text.split():
+        strings = column.to_pylist()
+        for text, plain in zip(strings, plain_blanks(column), strict=True):
+            if not plain or not text or "<|" in text:
                 cut.append(None)
                 continue
             units = text.replace("\n", " \n").split(" ")
@@ -56,7 +77,7 @@ class Encoder:
         self._learn(wanted)
         get = self.units.__getitem__
         out = []
-        for text, units in zip(texts, cut, strict=True):
+        for text, units in zip(strings, cut, strict=True):
             if units is None:
                 out.append(self.whole(text) if text else b"")
             else:
@@ -64,6 +85,32 @@ class Encoder:
         return out
 
 
+#: Bytes of which some white space beyond the blank and the line break is made; texts with one are encoded whole.
+_OTHER = np.zeros(256, dtype=bool)
+_OTHER[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3]] = True
+
+
+def plain_blanks(column: pa.LargeStringArray) -> list[bool]:
+    """Whether each text has white space only as single blanks and line breaks between other characters."""
+    n = len(column)
+    if not n:
+        return []
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    body = column.buffers()[2]
+    if body is None or offsets[-1] == offsets[0]:
+        return [True] * n
+    data = np.frombuffer(body, dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank = (data == 0x20) | (data == 0x0A)
+    bad = _OTHER[data]
+    bad[1:] |= (blank[1:] & blank[:-1]) | ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+    sums = np.concatenate([[0], np.cumsum(bad)])
+    out = sums[offsets[1:]] == sums[offsets[:-1]]
+    some = offsets[1:] > offsets[:-1]
+    out[some] &= ~blank[offsets[:-1][some]] & ~blank[offsets[1:][some] - 1]
+    return out.tolist()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
