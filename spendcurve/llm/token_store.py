@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,6 +116,15 @@ class Shard:
         return np.array([self.token(i) for i in range(a, int(self.ends[k]))], dtype=np.uint32)
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many bounds lie under a value, by nested halving; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    k = len(bounds) // 2
+    high = range_of(value, bounds[k + 1 :]) + (k + 1) if bounds[k + 1 :] else F.lit(k + 1)
+    return F.when(value > bounds[k], high).otherwise(range_of(value, bounds[:k])).cast("int")
+
+
 def write_tokens(
     df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, shard_tokens: int = SHARD_TOKENS
 ) -> None:
@@ -128,7 +137,9 @@ def write_tokens(
     bounded_batches(spark)
     docs = two_columns(df, id_col, text_col)
     parts = max(shuffle_partitions(spark), 1)
-    ranged = docs.repartitionByRange(parts, "__id").sortWithinPartitions("__id", "__text")
+    # bounds from the ids alone: repartitionByRange would read every text once more to sample it
+    bounds = docs.approxQuantile("__id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    ranged = docs.repartitionById(parts, range_of(F.col("__id"), sorted({int(b) for b in bounds}))).sortWithinPartitions("__id", "__text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(vocabulary), TaskContext.get().partitionId()

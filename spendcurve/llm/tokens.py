@@ -8,8 +8,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Entries of one generation of a worker's cache; two generations are held. Bounds memory, changes no result.
-CACHE_ENTRIES = 800_000
+#: Entries of a worker's cache; it starts anew before it has more. Bounds memory, changes no result.
+CACHE_ENTRIES = 1_500_000
 
 
 class Encoder:
@@ -26,38 +26,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.marks = {m: self.whole(m) for m in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
-        """Put every wanted unit in the cache; what was met in the last generation is not encoded again.
+        """Put every wanted unit in the cache.
 
         Letters and the one comma or stop behind them are cut apart before any merge, so such a unit is
         put together from its letters and its mark.
         """
-        new = wanted.difference(self.units)
+        units = self.units
+        if len(units) + len(wanted) > CACHE_ENTRIES:
+            units.clear()
+        new = wanted.difference(units)
         marked = [u for u in new if u[-1] in ",." and u[:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(x for u in marked if (x := u[:-1]) not in self.units)
-        if len(self.units) + len(new) + len(marked) > CACHE_ENTRIES:
-            self.older, self.units = self.units, {}
-            marked = [u for u in wanted if u[-1] in ",." and u[:-1].isalpha()]
-            new = wanted.difference(marked)
-            new.update(u[:-1] for u in marked)
-        units, older = self.units, self.older
-        rest = []
-        for u in new:
-            found = older.get(u)
-            if found is None:
-                rest.append(u)
-            else:
-                units[u] = found
-        texts = [u if u[0] == "\n" else f" {u}" for u in rest]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        units.update((u, array("I", e.ids).tobytes()) for u, e in zip(rest, encoded, strict=True))
+        rest = list(new.difference(marked).union([u[:-1] for u in marked]).difference(units))
+        encoded = self.tokenizer.encode_batch_fast([u if u[0] == "\n" else " " + u for u in rest], add_special_tokens=False)
+        for u, e in zip(rest, encoded, strict=True):
+            units[u] = array("I", e.ids).tobytes()
         for u in marked:
             units[u] = units[u[:-1]] + self.marks[u[-1]]
 
