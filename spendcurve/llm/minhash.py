@@ -21,7 +21,7 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, w
 #: sets at similarity 0.85 meet with probability (1 - (1 - 0.85 ** 2) ** 8) ** 2 = 0.9999.
 HALVES, ROWS = 8, 2
 #: Members of a block when buckets that span several components are compared.
-BLOCK = 256
+BLOCK = 1024
 #: Half keys out of 2 * HALVES that a pair in such a bucket shares at least; at 0.85 a pair has fewer with a chance of about 1e-5.
 LEAST_SHARED = 4
 
@@ -198,7 +198,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             open_sets = sets.join(counts.select("id"), "id", "left_semi")
         halves = classes.select("id", F.concat("a", "b").alias("halves"))
         near = left.select("key", "id", "component").join(counts, "id").join(halves, "id")
-        sizes = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        near = stash.keep(near, "near")
+        # buckets of the same members are compared once
+        sizes = near.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("size > 1")
+        sizes = sizes.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
         more = _across(near.join(sizes, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
