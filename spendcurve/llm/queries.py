@@ -11,9 +11,11 @@ from spendcurve.llm.common import Stash, table
 from spendcurve.llm.importance import importance_resample
 from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
+from spendcurve.llm.pieces import default_pieces, encode_pieces
 from spendcurve.llm.quality_rules import quality_rules
 from spendcurve.llm.token_store import read_tokens, write_tokens
 from spendcurve.llm.tokens import default_vocabulary
+from spendcurve.llm.topk import exact_top_k
 from spendcurve.llm.url_filter import filter_urls
 
 #: The rules of op5.
@@ -24,6 +26,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), with_ids=False)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), default_pieces(), with_ids=False, with_text=False)
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,6 +60,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_exact_top_k": op3_exact_top_k,
         "op5_url_filter": op5_url_filter,
         "op7_token_output": op7_token_output,
         "op8_importance_resampling": op8_importance_resampling,
@@ -59,5 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_exact_top_k": sql.OP3,
         "op10_quality_rules": sql.OP10,
     }
