@@ -25,7 +25,8 @@ def simplex(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.5,
     while used < limit:
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
-        if np.ptp(values) <= tolerance * (1 + abs(values[0])) and np.max(np.abs(points - points[0])) <= 1e-7:
+        # flat in value: settled, even along a ridge without end
+        if np.ptp(values) <= tolerance * (1 + abs(values[0])):
             return Minimum(points[0], float(values[0]), used, True)
         centre = points[:-1].mean(axis=0)
         mirrored = 2 * centre - points[-1]
@@ -82,7 +83,8 @@ def polish(f: Callable[[np.ndarray], float], x0: np.ndarray, limit: int = 100, t
                 break
             size /= 2
         else:
-            return Minimum(x, value, used, bool(np.max(np.abs(slope)) <= 1e-4 * (1 + abs(value))))
+            # no step helps: settled if the slope promised next to nothing
+            return Minimum(x, value, used, bool(abs(direction @ slope) <= 1e-5 * (1 + abs(value)) or np.max(np.abs(slope)) <= 1e-4 * (1 + abs(value))))
         turned = gradient(f, there)
         used += 2 * len(x)
         if value - at <= 2e-9 * max(abs(value), abs(at), 1.0):

@@ -28,6 +28,15 @@ def lgamma(x) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - log_product
 
 
+def lgamma_ratio(q, s) -> np.ndarray:
+    """ln gamma(q + s) - ln gamma(q) without the loss of digits that the difference has at large q."""
+    q, s = np.asarray(q, dtype=float), np.asarray(s, dtype=float)
+    z = q + _SHIFT
+    steps = sum(np.log1p(s / (q + k)) for k in range(_SHIFT))
+    series = sum(c * ((z + s) ** -(2 * k + 1) - z ** -(2 * k + 1)) for k, c in enumerate(_STIRLING))
+    return (z - 0.5) * np.log1p(s / z) + s * np.log(z + s) - s + series - steps
+
+
 def lgamma_column(x: Column) -> Column:
     """The same as an expression."""
     steps = F.lit(0.0)

@@ -32,9 +32,9 @@ class GammaGamma:
         x, mean = np.asarray(x, dtype=float), np.asarray(mean, dtype=float)
         if min(p, q, gamma) <= 0:
             return np.full(x.shape, -np.inf)
-        lg = special.lgamma
-        shape = lg(p * x + q) - lg(p * x) - lg(q)
-        return shape + q * np.log(gamma) + (p * x - 1) * np.log(mean) + p * x * np.log(x) - (p * x + q) * np.log(gamma + x * mean)
+        # the terms that grow with q and gamma are kept as ratios
+        shape = special.lgamma_ratio(q, p * x) - special.lgamma(p * x)
+        return shape - q * np.log1p(x * mean / gamma) + (p * x - 1) * np.log(mean) + p * x * np.log(x) - p * x * np.log(gamma + x * mean)
 
     @staticmethod
     def log_likelihood_column(params, x: Column, mean: Column) -> Column:
@@ -64,6 +64,8 @@ class GammaGamma:
             raise RuntimeError(f"the Gamma-Gamma fit did not converge: {np.exp(found.x)}")
         self.params_ = pd.Series(np.exp(found.x), index=["p", "q", "gamma"])
         self.log_likelihood_, self._base = -found.value, cb
+        if np.any(np.abs(found.x - [0, 0, np.log(float(mean))]) > 10):
+            warnings.warn(f"GammaGamma ran to the border of the parameter space: {self.params_.to_dict()}; spend hardly differs between customers", UserWarning, stacklevel=2)
         return self
 
     def predict(self, cb: CustomerBase | None = None) -> Prediction:
