@@ -13,6 +13,7 @@ from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
 from spendcurve.llm.pieces import default_pieces, encode_pieces
 from spendcurve.llm.quality_rules import quality_rules
+from spendcurve.llm.substrings import repeated_passages
 from spendcurve.llm.token_store import read_tokens, write_tokens
 from spendcurve.llm.tokens import default_vocabulary
 from spendcurve.llm.topk import exact_top_k
@@ -35,6 +36,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_top_k": op3_exact_top_k,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_token_output": op7_token_output,
         "op8_importance_resampling": op8_importance_resampling,
