@@ -229,7 +229,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
-                ids += tail
+                ids = ids.tobytes() + tail
                 total = len(ids) // 4
                 edges = [0, *range(total % capacity or capacity, total + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):

@@ -143,7 +143,7 @@ def write_tokens(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(vocabulary), TaskContext.get().partitionId()
-        tail = b"" if end_id is None else struct.pack("<I", end_id)
+        tail = np.array([] if end_id is None else [end_id], dtype="<u4")
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         held = start = 0
@@ -156,7 +156,7 @@ def write_tokens(
         for batch in batches:
             texts = coder.encode(batch.column(1))
             for doc, found in zip(batch.column(0).to_pylist(), texts, strict=True):
-                one = np.frombuffer(found + tail, dtype="<u4")
+                one = np.concatenate([found, tail])
                 if ids and held + len(one) > shard_tokens:
                     yield shard()
                     start, held, doc_ids, ids = start + held, 0, [], []

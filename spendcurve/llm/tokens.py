@@ -7,17 +7,25 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a worker's cache; it starts anew before it has more. Bounds memory, changes no result.
 CACHE_ENTRIES = 1_500_000
 
 
+#: Marks the first word of a text, which has no blank before it; texts with this character are encoded whole.
+HEAD = "\x02"
+#: ASCII marks but the apostrophe, which some words go on behind.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Byte-level BPE by the tokenizers library: the ids of whole texts.
 
     Such a vocabulary cuts a text before every single blank that stands between other characters and
-    around a single line break, before any merge. So a text whose white space is single blanks and single
-    line breaks is encoded unit by unit, equal units once; any other text is encoded as a whole.
+    around a single line break, before any merge. So texts whose white space is single blanks and single
+    line breaks are cut into units there, and each different unit is encoded once; any other text is
+    encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -26,77 +34,89 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
-        self.marks = {m: self.whole(m) for m in ",."}
+        self.marks: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _learn(self, wanted: list[str]) -> None:
         """Put every wanted unit in the cache.
 
-        Letters and the one comma or stop behind them are cut apart before any merge, so such a unit is
-        put together from its letters and its mark.
+        Letters and the marks behind them are cut apart before any merge, so such a unit is put together
+        from both.
         """
         units = self.units
         if len(units) + len(wanted) > CACHE_ENTRIES:
             units.clear()
-        new = wanted.difference(units)
-        marked = [u for u in new if u[-1] in ",." and u[:-1].isalpha()]
-        rest = list(new.difference(marked).union([u[:-1] for u in marked]).difference(units))
-        encoded = self.tokenizer.encode_batch_fast([u if u[0] == "\n" else " " + u for u in rest], add_special_tokens=False)
+        new = [u for u in wanted if u not in units]
+        marked = [(u, base) for u in new if (base := u.rstrip(MARKS)) != u and base.isalpha()]
+        rest = set(new).difference([u for u, _ in marked])
+        rest = list(rest.union([base for _, base in marked if base not in units]))
+        lead = {"\n": "", HEAD: ""}
+        texts = [u.removeprefix(HEAD) if u[:1] in lead else " " + u for u in rest]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         for u, e in zip(rest, encoded, strict=True):
             units[u] = array("I", e.ids).tobytes()
-        for u in marked:
-            units[u] = units[u[:-1]] + self.marks[u[-1]]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian uint32 bytes; null counts as empty."""
+        marks = self.marks
+        for u, base in marked:
+            mark = u[len(base) :]
+            if mark not in marks:
+                if len(marks) > CACHE_ENTRIES:
+                    marks.clear()
+                marks[mark] = self.whole(mark).tobytes()
+            units[u] = units[base] + marks[mark]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as little-endian uint32; null counts as empty."""
         column = texts.cast(pa.large_string()).fill_null("")
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
-        strings = column.to_pylist()
-        for text, plain in zip(strings, plain_blanks(column), strict=True):
-            if not plain or not text or "<|" in text:
-                cut.append(None)
-                continue
-            units = text.replace("\n", " \n").split(" ")
-            cut.append(units)
-            wanted.update(units[1:])
-        self._learn(wanted)
-        get = self.units.__getitem__
-        out = []
-        for text, units in zip(strings, cut, strict=True):
-            if units is None:
-                out.append(self.whole(text) if text else b"")
-            else:
-                out.append(self.whole(units[0]) + b"".join(map(get, units[1:])))
+        plain = plain_blanks(column)
+        out: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(column)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.whole(column[i].as_py())
+        own = np.flatnonzero(plain)
+        if not len(own):
+            return out
+        some = column.filter(pa.array(plain))
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(HEAD, pa.large_string()), some, pa.scalar("", pa.large_string())), "\n", " \n")
+        words = pc.split_pattern(marked, " ")
+        coded = words.values.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self._learn(different)
+        found = [self.units[u] for u in different]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        begins = np.cumsum(sizes) - sizes
+        which = np.asarray(coded.indices)
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        every = ids[np.arange(ends[-1]) + np.repeat(begins[which] - ends + counts, counts)]
+        edges = np.append(0, ends)[np.asarray(words.offsets) - words.offsets[0].as_py()].tolist()
+        for i, a, b in zip(own.tolist(), edges[:-1], edges[1:], strict=True):
+            out[i] = every[a:b]
         return out
 
 
 #: Bytes of which some white space beyond the blank and the line break is made; texts with one are encoded whole.
 _OTHER = np.zeros(256, dtype=bool)
-_OTHER[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3]] = True
+_OTHER[[0x02, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3]] = True
 
 
-def plain_blanks(column: pa.LargeStringArray) -> list[bool]:
-    """Whether each text has white space only as single blanks and line breaks between other characters."""
+def plain_blanks(column: pa.LargeStringArray) -> np.ndarray:
+    """Whether each text has white space only as single blanks and line breaks between other characters, and no special token's mark."""
     n = len(column)
-    if not n:
-        return []
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    body = column.buffers()[2]
-    if body is None or offsets[-1] == offsets[0]:
-        return [True] * n
-    data = np.frombuffer(body, dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(n, dtype=bool)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     blank = (data == 0x20) | (data == 0x0A)
     bad = _OTHER[data]
-    bad[1:] |= (blank[1:] & blank[:-1]) | ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+    bad[1:] |= (blank[1:] & blank[:-1]) | ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))) | ((data[:-1] == 0x3C) & (data[1:] == 0x7C))
     sums = np.concatenate([[0], np.cumsum(bad)])
-    out = sums[offsets[1:]] == sums[offsets[:-1]]
     some = offsets[1:] > offsets[:-1]
+    out = (sums[offsets[1:]] == sums[offsets[:-1]]) & some
     out[some] &= ~blank[offsets[:-1][some]] & ~blank[offsets[1:][some] - 1]
-    return out.tolist()
+    return out
 
 
 _encoders: dict[str, Encoder] = {}
