@@ -12,6 +12,7 @@ from spendcurve.llm.importance import importance_resample
 from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
 from spendcurve.llm.pieces import default_pieces, encode_pieces
+from spendcurve.llm.pitman_yor import pitman_yor_scores
 from spendcurve.llm.quality_rules import quality_rules
 from spendcurve.llm.substrings import repeated_passages
 from spendcurve.llm.token_store import read_tokens, write_tokens
@@ -44,6 +45,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Stash(spark, 'tokens').root}/shards"
     write_tokens(table(spark, sf_dir, "documents"), path, default_vocabulary())
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_top_k": op3_exact_top_k,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_pitman_yor": op6_pitman_yor,
         "op7_token_output": op7_token_output,
         "op8_importance_resampling": op8_importance_resampling,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
