@@ -21,7 +21,7 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, w
 #: sets at similarity 0.85 meet with probability (1 - (1 - 0.85 ** 2) ** 8) ** 2 = 0.9999.
 HALVES, ROWS = 8, 2
 #: Members of a block when buckets that span several components are compared.
-BLOCK = 1024
+BLOCK = 4096
 #: Half keys out of 2 * HALVES that a pair in such a bucket shares at least; at 0.85 a pair has fewer with a chance of about 1e-5.
 LEAST_SHARED = 4
 
@@ -132,20 +132,24 @@ def _matchable(sets: DataFrame) -> DataFrame:
 def _across(residual: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in a bucket that may be similar, block by block: no task holds more than two blocks.
 
-    `residual` has key, size, id, component, n, m and halves. With at most min(m1, m2) common shingles
-    most pairs are out at once; of the rest only those that share enough half keys are returned.
+    `residual` has key, size, id, component, n, m, a and b. With at most min(m1, m2) common shingles most
+    pairs are out at once; of the rest only those that share enough half keys are returned. A pair is
+    returned from one bucket alone, that of the first half keys of either collection that it shares.
     """
     dealt = residual.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "m", "halves")
-    left = spread.filter("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "n", "m", "halves")])
-    right = spread.filter("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "m", "halves")])
+    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "m", "a", "b")
+    left = spread.filter("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "n", "m", "a", "b")])
+    right = spread.filter("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "m", "a", "b")])
     most = F.least("m1", "m2")
-    shared = F.aggregate(F.zip_with("halves1", "halves2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    same_a, same_b = (F.zip_with(f"{c}1", f"{c}2", lambda x, y: x == y) for c in ("a", "b"))
+    shared = F.size(F.filter(same_a, lambda x: x)) + F.size(F.filter(same_b, lambda x: x))
+    i, j = ((F.array_position(same, True) - 1).cast("int") for same in (same_a, same_b))
+    first = F.when((i >= 0) & (j >= 0), F.xxhash64(i, F.get("a1", i), j, F.get("b1", j)))
     may = (F.col("component1") != F.col("component2")) & ((F.col("i") != F.col("j")) | (F.col("id1") < F.col("id2")))
     may = may & (100 * most >= percent * (F.col("n1") + F.col("n2") - most))
     met = left.join(right, ["key", "i", "j"]).filter(may)
-    return met.filter(shared >= LEAST_SHARED).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+    return met.filter((first == F.col("key")) & (shared >= LEAST_SHARED)).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
@@ -187,8 +191,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comps = stash.keep(connected_components(edges, stash, "first"), "components")
 
     placed = members.select("key", "id", "n", "size").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    residual = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    residual = residual.filter("lo <> hi").groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
+    residual = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = stash.keep(placed.join(residual, "key", "left_semi"), "residual")
     if not left.isEmpty():
         # a set that mostly holds shingles of its own is similar to none of the others; twice, as others are then gone
@@ -196,12 +199,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for step in range(2):
             counts = stash.keep(_matchable(open_sets).filter(f"100 * m >= {percent} * n"), f"matchable-{step}")
             open_sets = sets.join(counts.select("id"), "id", "left_semi")
-        halves = classes.select("id", F.concat("a", "b").alias("halves"))
+        halves = classes.select("id", "a", "b")
         near = left.select("key", "id", "component").join(counts, "id").join(halves, "id")
         near = stash.keep(near, "near")
-        # buckets of the same members are compared once
-        sizes = near.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("size > 1")
-        sizes = sizes.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
+        sizes = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
         more = _across(near.join(sizes, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
