@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ ISLANDS = 2
 ROUNDS = 2
 GENERATIONS = 6
 POPULATION = 4
-#: Items of a shard's worst bins that are packed again with those of other shards.
-LEFT_OVER = 256
+#: The worst bins with at most this share of a shard's items are packed again with those of other shards.
+LEFT_OVER = 1 / 16
 
 Bins = list[list[int]]
 
@@ -131,7 +132,7 @@ def _to_bins(data: bytes) -> Bins:
     return bins
 
 
-def _evolve_shards(shards: DataFrame, capacity: int) -> DataFrame:
+def _evolve_shards(shards: DataFrame, capacity: int, n_shards: int) -> DataFrame:
     """(shard, lengths) -> (shard, solution): the best of all islands after the last round."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def _evolve_shards(shards: DataFrame, capacity: int) -> DataFrame:
     none = F.array().cast("array<binary>")
     state = shards.select("shard", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), none.alias("elites"))
     for step in range(ROUNDS):
-        ready = state.withColumn("round", F.lit(step)).repartition(F.col("shard"), F.col("island"))
+        ready = state.withColumn("round", F.lit(step)).repartition(min(n_shards * ISLANDS, 4096), F.col("shard"), F.col("island"))
         evolved = ready.select("shard", "island", "round", "lengths", "elites").mapInArrow(work, "shard long, island int, n_bins int, elites array<binary>, lengths array<int>")
         gathered = evolved.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("island", "n_bins", "elites"))).alias("all"))
         # migration: an island goes on with its own best two and the best of the island before it
@@ -180,7 +181,7 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
         # a shard holds about shard_items items, whatever the table's size
         grouped = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(member)).alias("m"))
         shards = stash.keep(grouped.select("shard", F.transform("m", lambda x: (-x.a).cast("int")).alias("lengths"), F.transform("m", lambda x: x.k).alias("keys"), F.transform("m", lambda x: x.p).alias("parts")), f"shards{level}")
-        solved = _evolve_shards(shards.select("shard", "lengths"), capacity)
+        solved = _evolve_shards(shards.select("shard", "lengths"), capacity, n_shards)
         last = n_shards == 1
 
         def place(batches: Iterator[pa.RecordBatch], level: int = level, last: bool = last) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
                     if not last:
                         left = 0
                         for k in sorted(range(len(bins)), key=lambda k: filled[k]):
-                            if filled[k] == capacity or left + len(bins[k]) > LEFT_OVER:
+                            if filled[k] == capacity or left + len(bins[k]) > LEFT_OVER * len(lengths):
                                 break
                             left += len(bins[k])
                             open_bins.add(k)
@@ -220,12 +221,13 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
 
 
 def pieces(df: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
-    """Each text's ids and the end id, cut into pieces of `capacity` from the end, so that only the first may be shorter."""
+    """Each text's ids and the end id, cut into pieces of `capacity` from the end, so that only the first may be shorter; each with a key of its own."""
     bounded_batches(df.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    schema = "key long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail = encoder(vocabulary), struct.pack("<I", end_id)
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
@@ -234,9 +236,10 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
                 edges = [0, *range(total % capacity or capacity, total + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     one = ids[4 * a : 4 * b]
-                    rows.append((doc, k, a, b - a, zlib.crc32(one), one) if with_ids else (doc, k, a, b - a, zlib.crc32(one)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+                    rows.append((key, doc, k, a, b - a, zlib.crc32(one), one)[: 6 + with_ids])
+                    key += 1
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 6 + with_ids]
+            names = ["key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     return two_columns(df, id_col, text_col).mapInArrow(cut, schema)
@@ -255,7 +258,6 @@ def pack_documents(
     spark = df.sparkSession
     stash = Stash(spark, "pieces")
     cut = stash.keep(pieces(df, vocabulary, id_col, text_col, capacity, end_id, with_ids), "cut")
-    cut = stash.keep(cut.select("*", F.monotonically_increasing_id().alias("key")), "keyed")
     full = F.col("length") == capacity
     short = pack(cut.filter(~full).select("key", F.lit(0).alias("part"), F.col("length").cast("int").alias("length")), capacity)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]

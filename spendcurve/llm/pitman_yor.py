@@ -30,7 +30,7 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, word_hashes
 
 CLASSES = 1 << 16
 #: Tokens of a bucket, about; the number of buckets grows with the corpus.
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
 SAMPLES = 3
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Documents of a batch at most: their places fit 15 bits.
@@ -118,14 +118,14 @@ def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
             chunk = (task << 24) + seq
             ids = batch.column(0).to_pylist()
             held = np.array([held_out(i) for i in ids], dtype=bool)
-            doc = np.repeat(np.arange(len(ids)) * 2 + held, counts).astype(np.uint16)
-            bucket = (words >> U64(32)) % U64(n_buckets)
+            doc = np.repeat((np.arange(len(ids)) * 2 + held).astype(np.uint16), counts)
+            bucket = ((words >> U64(32)) % U64(n_buckets)).astype(np.uint32)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
                 is_hot = hot[at] == words
                 bucket[is_hot] = (bucket[is_hot] + mix(places[is_hot].astype(U64)) % pieces[at[is_hot]]) % U64(n_buckets)
-            order = np.argsort(words, kind="stable")
-            order = order[np.argsort(bucket[order].astype(np.uint32), kind="stable")]
+                del at, is_hot
+            order = np.lexsort((words, bucket))
             bucket, words, places, doc = bucket[order], words[order], places[order], doc[order]
             edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
             named = np.array([0 if i is None else i for i in ids], dtype=np.int64)
@@ -166,13 +166,19 @@ def merge(parts: list[tuple[int, bytes]], hot: np.ndarray) -> tuple[Bucket, list
         sizes.append(len(place))
         names.append(chunk)
     every, place, doc = np.concatenate(words), np.concatenate(places), np.concatenate(docs)
+    del words, places, docs
     different, word = np.unique(every, return_inverse=True)
-    types, kind = np.unique(word.astype(np.int64) * CLASSES + place, return_inverse=True)
+    del every
+    word = word * CLASSES + place
+    del place
+    types, kind = np.unique(word, return_inverse=True)
+    del word
+    kind = kind.astype(np.int32)
     count = np.bincount(kind[(doc & 1) == 0], minlength=len(types))
     split = np.isin(different, hot)
     bucket = Bucket(different, split, (types // CLASSES).astype(np.int32), (types % CLASSES).astype(np.uint16), count.astype(np.int64))
     ends = np.cumsum(sizes)
-    return bucket, [(n, kind[e - s : e].astype(np.int32), doc[e - s : e]) for n, s, e in zip(names, sizes, ends, strict=True)]
+    return bucket, [(n, kind[e - s : e], doc[e - s : e]) for n, s, e in zip(names, sizes, ends, strict=True)]
 
 
 def seat(count: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:

@@ -3,8 +3,9 @@
 For a hash function, the Cartesian tree over a document's shingle hashes has one node for each shingle that
 is the minimum of a maximal window; the node's window (a, c, b) stands for all subsequences between a and b
 that hold c: they share its min-hash. Only windows of at least `least` words are kept, about 2 n / least of
-them. Windows of different documents with the same min-hash are joined at the document that comes first;
-pairs whose windows overlap under enough hash functions are aligned and verified on their words.
+them, each with a byte of eight shingles around c. Windows of different documents with the same min-hash
+are joined at the document that comes first if their surroundings agree; those whose surroundings differ
+are joined anew by min-hash and one side's surroundings. Joined documents are aligned and verified on their words.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from spendcurve.llm.common import Stash, bounded_batches, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, word_hashes
 
 SHINGLE = 5
-#: Hash functions, and how many of them must join two documents' windows before these are aligned.
-HASHES, ENOUGH = 4, 2
-#: Rounds of joining: in each, windows that the last round's first document did not explain are joined anew.
-ROUNDS = 3
+#: Hash functions. A passage copied word for word is found under each, one at similarity 0.8 under one or more with probability 0.96.
+HASHES = 2
+#: Distances from c at which a shingle's byte is kept: all four of one side lie in any passage of 50 words that holds c.
+AROUND = (10, 14, 18, 22)
+#: Bytes of the eight that agree before documents are aligned. A common line alone reaches none.
+AGREE = 2
 #: Aligned runs of equal shingles are one passage across gaps and shifts of at most this many shingles: two changed words.
 GAP = 10
 
@@ -37,38 +40,66 @@ def shingle_positions(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 def compact_windows(h: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(range number, a, c, b): the nodes of every range's Cartesian tree whose windows have at least `least` members.
 
-    All trees grow level by level: the minimum of every open range (the leftmost on ties) becomes a node and
-    cuts its range in two.
+    These nodes are the leftmost minima of all runs of `least` members, found by doubling runs. A node's
+    window ends before the next smaller member on either side; that member's own window is larger, so it is
+    a node too, and it is found among the nodes by following their neighbours.
     """
+    none = np.zeros(0, dtype=np.int64)
     which = np.flatnonzero(high - low >= least)
-    a, b = low[which], high[which]
-    padded = np.append(h, U64(0))
-    out: list[tuple[np.ndarray, ...]] = []
-    while len(which):
-        size = b - a
-        smallest = np.minimum.reduceat(padded, np.stack([a, b], axis=1).ravel())[::2]
-        ends = np.cumsum(size)
-        owner = np.repeat(np.arange(len(a)), size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size - a, size)
-        hits = np.flatnonzero(h[place] == smallest[owner])
-        hit_owner = owner[hits]
-        leftmost = np.ones(len(hits), dtype=bool)
-        leftmost[1:] = hit_owner[1:] != hit_owner[:-1]
-        c = place[hits[leftmost]]
-        out.append((which, a, c, b - 1))
-        which, a, b = np.concatenate([which, which]), np.concatenate([a, c + 1]), np.concatenate([c, b])
-        some = b - a >= least
-        which, a, b = which[some], a[some], b[some]
-        order = np.argsort(a, kind="stable")
-        which, a, b = which[order], a[order], b[order]
-    if not out:
-        none = np.zeros(0, dtype=np.int64)
+    n = len(h)
+    if not len(which):
         return none, none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+    bits = max(1, n.bit_length())
+    place = U64((1 << bits) - 1)
+    # the place in the low bits breaks ties to the left and tells where the minimum is
+    runs = (h & ~place) | np.arange(n, dtype=U64)
+    width = 1
+    while width < least:
+        step = min(width, least - width)
+        runs[: n - step] = np.minimum(runs[: n - step], runs[step:])
+        width += step
+    first, count = low[which], high[which] - least + 1 - low[which]
+    ends = np.cumsum(count)
+    starts = np.arange(ends[-1]) + np.repeat(first - ends + count, count)
+    minimum = (runs[starts] & place).astype(np.int64)
+    owner = np.repeat(np.arange(len(which)), count)
+    new = np.ones(len(minimum), dtype=bool)
+    new[1:] = (minimum[1:] != minimum[:-1]) | (owner[1:] != owner[:-1])
+    c, owner = minimum[new], owner[new]
+    value = (h[c] & ~place) | c.astype(U64)
+    edges = np.searchsorted(owner, np.arange(len(which) + 1))
+    a = _next_smaller(value, edges[owner] - 1, -1)
+    b = _next_smaller(value, edges[owner + 1], 1)
+    low, high = low[which][owner], high[which][owner]
+    left = np.where(a >= edges[owner], c[np.maximum(a, 0)] + 1, low)
+    right = np.where(b < edges[owner + 1], c[np.minimum(b, len(c) - 1)] - 1, high - 1)
+    return which[owner], left, c, right
+
+
+def _next_smaller(value: np.ndarray, border: np.ndarray, step: int) -> np.ndarray:
+    """The nearest place with a smaller value on one side, or the border: all places jump at once over what their neighbours have passed."""
+    at = np.arange(len(value)) + step
+    going = np.flatnonzero(at != border)
+    while len(going):
+        going = going[value[at[going]] > value[going]]
+        at[going] = at[at[going]]
+        going = going[at[going] != border[going]]
+    return at
+
+
+def surroundings(every: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bytes of the shingles around each c, lowest first: four to the left, four to the right; 0 outside the document."""
+    out = np.zeros(len(c), dtype=U64)
+    for k, distance in enumerate([-d for d in AROUND] + list(AROUND)):
+        at = c + distance
+        inside = (at >= low) & (at < high)
+        byte = np.maximum(every[np.where(inside, at, 0)] >> U64(56), U64(1))
+        out |= np.where(inside, byte, U64(0)) << U64(8 * k)
+    return out
 
 
 def windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """(key, f, id, a, b): one row per compact window; a and b count shingles from the document's start."""
+    """(key, id, around): one row per compact window."""
     factors, shifts, salts = constants(HASHES, 31) | U64(1), constants(HASHES, 32), constants(HASHES, 33)
     least = least_words - SHINGLE + 1
 
@@ -79,21 +110,45 @@ def windows(docs: DataFrame, least_words: int) -> DataFrame:
                 every, low, high = shingle_positions(*word_hashes(chunk))
                 for f in range(HASHES):
                     h = every * factors[f] + shifts[f]
-                    doc, a, c, b = compact_windows(h, low, high, least)
-                    if not len(doc):
-                        continue
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(mix(h[c] ^ salts[f]).view(np.int64)),
-                            pa.array(np.full(len(doc), f, dtype=np.int32)),
-                            pa.array(ids[chunk.first + doc]),
-                            pa.array((a - low[doc]).astype(np.int32)),
-                            pa.array((b - low[doc]).astype(np.int32)),
-                        ],
-                        names=["key", "f", "id", "a", "b"],
-                    )
-
-    return docs.mapInArrow(work, "key long, f int, id long, a int, b int")
+                    doc, _, c, _ = compact_windows(h, low, high, least)
+                    if len(doc):
+                        around = surroundings(every, c, low[doc], high[doc])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(mix(h[c] ^ salts[f]).view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array(around.view(np.int64))], names=["key", "id", "around"]
+                        )
+
+    return docs.mapInArrow(work, "key long, id long, around long")
+
+
+def agreeing(x: Column, y: Column) -> Column:
+    """How many of the eight bytes are the same and inside both documents."""
+    out = F.lit(0)
+    for k in range(8):
+        one, other = F.shiftright(x, 8 * k).bitwiseAND(255), F.shiftright(y, 8 * k).bitwiseAND(255)
+        out = out + ((one == other) & (one != 0)).cast("int")
+    return out
+
+
+def joined_pairs(docs: DataFrame, least_words: int, stash: Stash) -> DataFrame:
+    """(lead, id): documents with windows that may hold the same passage, each with the first document of its windows' groups."""
+    every = windows(docs, least_words)
+    leads = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
+    shared = stash.keep(every.join(leads, "key"), "shared")
+    at_lead = shared.filter("id = lead").groupBy("key").agg(F.min("around").alias("lead_around"))
+    agree = agreeing(F.col("around"), F.col("lead_around")) >= AGREE
+    members = stash.keep(shared.filter("id > lead").join(at_lead, "key").select("key", "id", "around", "lead", agree.alias("agree")), "members")
+    pairs = members.filter("agree").select("lead", "id")
+    for side in (F.shiftrightunsigned("around", 32), F.col("around").bitwiseAND(0xFFFFFFFF)):
+        whole = F.lit(True)
+        for k in range(4):
+            whole = whole & (F.shiftright(side, 8 * k).bitwiseAND(255) != 0)
+        rest = members.filter(~F.col("agree") & whole).select(F.xxhash64("key", side).alias("key"), "id")
+        first = rest.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
+        pairs = pairs.unionByName(rest.join(first, "key").filter("id > lead").select("lead", "id"))
+    pairs = stash.keep(pairs.distinct(), "pairs")
+    for name in ("shared", "members"):
+        stash.drop(name)
+    return pairs
 
 
 def _runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
@@ -158,40 +213,21 @@ def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> li
     return out
 
 
-def _overlap(joined: list[dict], enough: int, least: int) -> bool:
-    """Whether windows of enough hash functions overlap in `least` shingles on both sides: an interval join by a sweep."""
-    spans = sorted((w["a"], w["b"], w["la"], w["lb"], w["f"]) for w in joined)
-    for k, (a, b, la, lb, f) in enumerate(spans):
-        seen = {f}
-        for a2, b2, la2, lb2, f2 in spans[k + 1 :]:
-            if a2 > b - least + 1:
-                break
-            if min(b, b2) - a2 + 1 >= least and min(lb, lb2) - max(la, la2) + 1 >= least:
-                seen.add(f2)
-        if len(seen) >= enough:
-            return True
-    return enough <= 1
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """Align the pairs (lead, id, joined); one row per passage."""
+    """Align the pairs (lead, id); one row per passage."""
     schema = "lead long, id long, start long, end long, lead_start long, lead_end long, similarity double"
-    least = least_words - SHINGLE + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            joined = batch.column(2).to_pylist()
-            wanted = [_overlap(j, ENOUGH, least) for j in joined]
-            part = batch.filter(pa.array(wanted, pa.bool_()))
             sides = []
-            for column in (part.column(3), part.column(4)):
+            for column in (batch.column(2), batch.column(3)):
                 own: list[np.ndarray] = []
                 for chunk in chunks(column):
                     every, low, high = shingle_positions(*word_hashes(chunk))
                     own += [every[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                 sides.append(own)
-            for lead, doc, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *sides, strict=True):
+            for lead, doc, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *sides, strict=True):
                 rows += [(lead, doc, *p) for p in passages(x, y, least_words, percent)]
             kinds = [pa.int64()] * 6 + [pa.float64()]
             names = ["lead", "id", "start", "end", "lead_start", "lead_end", "similarity"]
@@ -199,8 +235,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int)
 
     left = texts.select(F.col("id").alias("lead"), F.col("text").alias("x"))
     right = texts.select("id", F.col("text").alias("y"))
-    met = pairs.join(left, "lead").join(right, "id").select("lead", "id", "joined", "x", "y")
-    return met.mapInArrow(work, schema)
+    return pairs.join(left, "lead").join(right, "id").select("lead", "id", "x", "y").mapInArrow(work, schema)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:
@@ -218,34 +253,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     stash = Stash(spark, "substrings")
     docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL")
-    every = stash.keep(windows(docs, least_words), "windows")
-    shared = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key")
-    open_windows = stash.keep(every.join(shared, "key"), "shared")
-    stash.drop("windows")
-    wanted = open_windows.groupBy(F.col("id").alias("__id")).agg(F.collect_set("f").alias("f")).filter(F.size("f") >= ENOUGH).select("__id")
+    pairs = joined_pairs(docs, least_words, stash)
+    wanted = pairs.select(F.col("lead").alias("__id")).unionByName(pairs.select(F.col("id").alias("__id"))).distinct()
     texts = docs.join(wanted, "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
     texts = stash.keep(texts, "texts")
-    found = None
-    for step in range(ROUNDS):
-        leads = open_windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
-        joined = open_windows.join(leads, "key")
-        at_lead = joined.filter("id = lead").groupBy("key").agg(F.min(F.struct("a", "b")).alias("l"))
-        members = stash.keep(joined.filter("id > lead").join(at_lead, "key").select("key", "f", "id", "a", "b", "lead", F.col("l.a").alias("la"), F.col("l.b").alias("lb")), f"members{step}")
-        if members.isEmpty():
-            break
-        pairs = members.groupBy("lead", "id").agg(F.collect_list(F.struct("f", "a", "b", "la", "lb")).alias("joined"))
-        pairs = pairs.filter(F.size(F.array_distinct(F.transform("joined", lambda w: w.f))) >= ENOUGH)
-        verified = stash.keep(_verify(pairs, texts, least_words, percent), f"verified{step}")
-        found = verified if found is None else found.unionByName(verified)
-        if step + 1 < ROUNDS:
-            # a window inside a passage is explained; the others are joined to the next document that has their key
-            spans = verified.groupBy("lead", "id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-            least = least_words - SHINGLE + 1
-            inside = F.exists("spans", lambda s: F.least(F.col("b") + SHINGLE, s.end) - F.greatest(F.col("a"), s.start) >= least)
-            rest = members.join(spans, ["lead", "id"], "left").filter(F.col("spans").isNull() | ~inside).select("key", "f", "id", "a", "b")
-            open_windows = stash.keep(rest, f"rest{step}")
-    if found is None:
-        return spark.createDataFrame([], f"{id_col} long, match_id long, start long, end long, match_start long, match_end long, n_words long, similarity double")
+    found = stash.keep(_verify(pairs, texts, least_words, percent), "verified")
+    stash.drop("texts")
     return found.distinct().select(
         F.col("id").alias(id_col), F.col("lead").alias("match_id"), "start", "end", F.col("lead_start").alias("match_start"), F.col("lead_end").alias("match_end"), (F.col("end") - F.col("start")).alias("n_words"), "similarity"
     )
@@ -277,4 +290,4 @@ def removed(spans: Column, text: Column) -> Column:
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([without_words(t, [(s["start"], s["end"]) for s in (own or [])]) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], pa.string())
 
-    return cut(text, spans)
+    return cut.asNondeterministic()(text, spans)  # so that plans run it once
