@@ -98,13 +98,14 @@ def check_monetary_independence(cb: CustomerBase, *, exclude: Iterable = ()) ->
             raise KeyError(f"exclude names customers not in this base: {[r[0] for r in unknown]}")
         summary = summary.join(F.broadcast(named), cb.id_col, "left_anti")  # as long as the caller's list
     buyers = summary.filter("frequency > 0").select(cb.id_col, "frequency", "monetary_value").persist()
-    n, low, high, r = buyers.agg(F.count("*"), F.min("frequency"), F.max("frequency"), F.corr("frequency", "monetary_value")).first()
+    z = "monetary_value"
+    n, low, high, least, most = buyers.agg(F.count("*"), F.min("frequency"), F.max("frequency"), F.min(z), F.max(z)).first()
     if not n:
         raise ValueError("no repeat buyers: nothing to assess")
     if low == high:
         raise ValueError(f"all repeat buyers have frequency {low}: one level shows no dependence")
-    rho = spearman(buyers)
-    r = float("nan") if r is None else float(r)
+    # a constant has no correlation
+    r, rho = (float(buyers.agg(F.corr("frequency", z)).first()[0]), spearman(buyers)) if least < most else (float("nan"), float("nan"))
     eta = float(eta_squared(buyers).first()[0])
     return IndependenceCheck(
         buyers,
