@@ -51,8 +51,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample does not hold go."""
-    _, sampled = importance_resample(docs, table(spark, sf_dir, "labels"))
+    """Documents that the importance sample does not hold go. The raw documents make the raw model and hold the labelled texts."""
+    _, sampled = importance_resample(docs, table(spark, sf_dir, "labels"), raw=table(spark, sf_dir, "documents"))
     return docs.filter(sampled.kept("doc_id", "text"))
 
 

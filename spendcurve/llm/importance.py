@@ -174,18 +174,27 @@ class Resampler:
 
 
 def importance_resample(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = SEED, max_labelled: int = MAX_LABELLED
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int | None = None,
+    raw: DataFrame | None = None,
+    seed: int = SEED,
+    max_labelled: int = MAX_LABELLED,
 ) -> tuple[DataFrame, Resampler]:
     """One row per input row: id, n_features, log_weight, key, kept; and what decides.
 
     `labels` has `id_col` and quality (1: target). At most `max_labelled` labelled rows, those of the
-    lowest hashes, make the target model and the cutoff; the raw model counts every document. Without `k`,
-    as many rows are drawn as have a log weight over the cutoff that parts the labelled rows best.
+    lowest hashes, are used: half of the good ones make the target model, the others and the bad ones set
+    the cutoff, so that it is not set on what the model has counted. The raw model counts every document of
+    `raw`, which also has the labelled texts; without it, `df` is the raw text. Without `k`, as many rows
+    are drawn as have a log weight over the cutoff that parts the labelled rows best.
 
     A text without tokens (null, empty, blank) has log weight and key null and is not kept. Rows with the
     same id and text share a key and a fate; a null id draws its noise as 0 does. Without labelled good
-    rows all weights are 0; without any labels all rows with tokens are kept. Null labels are left out; of
-    several labels of one id the highest counts. Other columns are not returned.
+    rows all weights are 0; without good or without bad labels all rows with tokens are kept. Null labels
+    are left out; of several labels of one id the highest counts. Other columns are not returned.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -193,8 +202,9 @@ def importance_resample(
     docs = two_columns(df, id_col, text_col)
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
     named = named.groupBy("id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_labelled)
-    named = stash.keep(named, "labelled")
-    model = fit(docs, named.filter("quality = 1"))
+    named = stash.keep(named.withColumn("fits", (F.col("quality") == 1) & (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)) == 0)), "labelled")
+    source = docs if raw is None else two_columns(raw, id_col, text_col)
+    model = fit(source, named.filter("fits").select("id"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +216,20 @@ def importance_resample(
                 none = counts == 0
                 yield pa.RecordBatch.from_arrays([own, pa.array(counts), pa.array(weights, mask=none), pa.array(keys, mask=none)], names=["id", "n_features", "log_weight", "key"])
 
-    scored = stash.keep(docs.mapInArrow(score, "id long, n_features long, log_weight double, key double"), "scored")
-    fitted = scored.filter("key IS NOT NULL").join(F.broadcast(named), "id").select("log_weight", "quality").limit(4 * max_labelled).collect()
+    columns = "id long, n_features long, log_weight double, key double"
+    scored = stash.keep(docs.mapInArrow(score, columns), "scored")
     total = scored.filter("key IS NOT NULL").count()
-    if k is None and fitted:
-        cutoff = best_cutoff(np.array([r.log_weight for r in fitted]), np.array([r.quality == 1 for r in fitted]))
-        k = scored.filter(F.col("log_weight") > cutoff).count()
+    if k is None:
+        others = F.broadcast(named.filter("NOT fits").select("id", "quality"))  # max_labelled rows at most
+        if raw is None:
+            known = scored.join(others, "id")
+        else:
+            known = source.join(others.withColumnRenamed("id", "__id"), "__id", "left_semi").select("__id", "__text").mapInArrow(score, columns).join(others, "id")
+        fitted = known.filter("key IS NOT NULL").select("log_weight", "quality").limit(4 * max_labelled).collect()
+        good = np.array([r.quality == 1 for r in fitted], dtype=bool)
+        if good.any() and not good.all():
+            cutoff = best_cutoff(np.array([r.log_weight for r in fitted]), good)
+            k = scored.filter(F.col("log_weight") > cutoff).count()
     if k is None or not total:
         key, key_id = None, None
     elif k <= 0:

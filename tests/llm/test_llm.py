@@ -496,7 +496,7 @@ def quality_corpus(rng):
 def test_importance_sample_keeps_the_target(spark):
     rows = quality_corpus(random.Random(2))
     frame = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(500, None), (501, " "), (None, rows[0][1]), (0, rows[0][1])], EMPTY).selectExpr("*", "1 AS key", "true AS kept")
-    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i % 2 == 0] + [(None, 1), (3, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i % 4] + [(None, 1), (4, None)], "doc_id long, quality int")
     out, sampled = importance.importance_resample(frame, labels)
     by = {r.doc_id: r.kept for r in out.collect()}
     assert all(by[i] == (q == 1) for i, _, q in rows)

@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     rows += [(70 + k, " ".join(w + "***" for w in sentence(rng, 90).split(" "))) for k in range(5)]
     documents = [(i, t, "en", "src", len(t or ""), 1.5) for i, t in rows]
     spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long, key double").write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(i, 1 if i < 70 else 0, 0) for i in list(range(0, 40, 2)) + [70, 71]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, 1 if i < 70 else 0, 0) for i in list(range(0, 40, 2)) + [70, 71, 72]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
