@@ -32,6 +32,8 @@ CLASSES = 1 << 16
 #: Tokens of a bucket, about; the number of buckets grows with the corpus.
 BUCKET_TOKENS = 2_000_000
 SAMPLES = 3
+#: Share of the tokens from which a first pass counts words; a second one is made if buckets are too small for it.
+SHARE = 1e-4
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Documents of a batch at most: their places fit 15 bits.
 ROWS = 10_000
@@ -310,12 +312,13 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stash = Stash(spark, "pitman-yor")
     docs = two_columns(df, id_col, text_col)
     schema = "__id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    sizes, often = frequent_words(docs, 0.25 / 64)
+    sizes, often = frequent_words(docs, SHARE)
     if not sizes:
         return spark.createDataFrame([], schema).withColumnRenamed("__id", id_col)
     n_buckets = max(2, -(-sizes // bucket_tokens))
-    if n_buckets > 64:
-        sizes, often = frequent_words(docs, 0.25 / n_buckets)
+    if 0.25 / n_buckets < 2 * SHARE:
+        sizes, often = frequent_words(docs, 0.125 / n_buckets)
+    often = {w: n for w, n in often.items() if n >= 0.125 * sizes / n_buckets}
     hot = np.array(sorted(often), dtype=U64)
     splits = {w: max(1, math.ceil(4 * n * n_buckets / sizes)) for w, n in often.items()}
 
@@ -426,8 +429,9 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         ends = np.cumsum(sizes)
                         for c, a, e in zip(chunk_ids.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                             kind, place = np.cumsum(steps[a:e]), doc[a:e] >> 1
-                            n = int(place.max()) + 1
-                            rows.append((c, 0, _zip(np.bincount(place, weights=model[kind], minlength=n), np.bincount(place, weights=base[kind], minlength=n), np.bincount(place, weights=seen[kind] > 0, minlength=n).astype(np.int32))))
+                            some = np.flatnonzero(np.bincount(place))  # documents with tokens in this bucket
+                            sums = [np.bincount(place, weights=w[kind])[some] for w in (model, base, seen > 0)]
+                            rows.append((c, 0, _zip(some.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.int32))))
                     for one in rows:
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], names=names)
 
@@ -436,20 +440,14 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = state.tokens
 
     def finish(group: pa.Table) -> pa.Table:
-        model = base = known = None
+        model, base, known = np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=np.int64)
         for kind, data in zip(group.column("kind").to_pylist(), group.column("data"), strict=True):
             arrays = _unzip(data.as_buffer().to_pybytes())
             if kind == 1:
                 ids, null, held, counts = arrays
-                if model is None:
-                    model, base, known = np.zeros(ROWS + 1), np.zeros(ROWS + 1), np.zeros(ROWS + 1, dtype=np.int64)
-                continue
-            if model is None:
-                model, base, known = np.zeros(ROWS + 1), np.zeros(ROWS + 1), np.zeros(ROWS + 1, dtype=np.int64)
-            n = len(arrays[0])
-            model[:n] += arrays[0]
-            base[:n] += arrays[1]
-            known[:n] += arrays[2]
+            else:
+                for total, part in zip((model, base, known), arrays[1:], strict=True):
+                    total[arrays[0]] += part
         n = len(ids)
         return pa.table(
             {

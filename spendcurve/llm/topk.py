@@ -182,15 +182,17 @@ def exact_top_k(df: DataFrame, queries: DataFrame | None = None, id_col: str = "
 
     # the longest bucket, of at most BUCKET vectors, gives every query a first bound
     longest = buckets.orderBy(F.desc("top_norm"), "block").limit(1).select(*[F.col(c).alias(f"c_{c}") for c in ("ids", "norms", "matrix")], F.lit(0).alias("one"))
+    n_buckets = buckets.count()
     bounds = groups.withColumn("one", F.lit(0)).join(F.broadcast(longest), "one").drop("one")
     bounds = stash.keep(bounds.select("block", "ids", "norms", "matrix", "c_ids", "c_norms", "c_matrix").mapInArrow(first_bounds, "block long, leasts binary, reach double"), "bounds")
 
-    # block numbers first, so that only pairs which can hold a result carry vectors
-    index = buckets.select("block", "top_norm").orderBy(F.desc("top_norm")).collect()
-    which = F.explode(F.array(*[F.struct(F.lit(r.block).alias("c"), F.lit(r.top_norm).alias("top")) for r in index])).alias("b")
-    pairs = bounds.select("block", "leasts", "reach", which).filter(F.col("b.top") * (1 + SLACK) >= F.col("reach")).select("block", "leasts", F.col("b.c").alias("c_block"))
+    # numbers of blocks first, so that only pairs which can hold a result carry vectors: one row for 4096 vectors here
+    index = buckets.select(F.col("block").alias("c_block"), "top_norm", F.row_number().over(Window.orderBy(F.desc("top_norm"), "block")).alias("place"))
+    places = F.explode(F.sequence(F.lit(1), F.lit(n_buckets))).alias("place")
+    pairs = bounds.select("block", "reach", places).join(index, "place").filter(F.col("top_norm") * (1 + SLACK) >= F.col("reach")).select("block", "c_block")
     right = buckets.select(F.col("block").alias("c_block"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "norms", "matrix")])
-    met = pairs.repartition(shuffle_count(len(index), n_asked), "block", "c_block").join(groups.select("block", "ids", "norms", "matrix"), "block").join(right, "c_block")
+    left = groups.select("block", "ids", "norms", "matrix").join(bounds.select("block", "leasts"), "block")
+    met = pairs.join(left, "block").join(right, "c_block").repartition(max(1, n_buckets * -(-n_asked // QUERIES)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +208,3 @@ def exact_top_k(df: DataFrame, queries: DataFrame | None = None, id_col: str = "
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-
-def shuffle_count(n_buckets: int, n_asked: int) -> int:
-    return max(1, n_buckets * -(-n_asked // QUERIES))
