@@ -56,6 +56,24 @@ class Stash:
         path.getFileSystem(conf).delete(path, True)
 
 
+def hot_keys(counts: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
+    """(key, __pieces): keys with over 1 / `pieces` of all rows, from a table (key, n); there are less than `pieces` of them."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    part = max(total // pieces, 1000)
+    return counts.filter(F.col("n") > part).select(key, F.ceil(F.col("n") / part).cast("int").alias("__pieces"))
+
+
+def salted(left: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """The many rows of a join, those of hot keys dealt over __salt."""
+    return left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__pieces", F.lit(1)))).drop("__pieces")
+
+
+def spread(right: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """The one row for each key of the same join, repeated for every __salt of a hot key."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__pieces", F.lit(1)).cast("long") - 1))
+    return right.join(F.broadcast(hot), key, "left").withColumn("__salt", salts).drop("__pieces")
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names that no caller's column can clash with."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, hot_keys, salted, spread, two_columns
 from spendcurve.llm.components import connected_components
 from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, word_hashes
 
@@ -176,10 +176,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     keyed = classes.select("id", "n", F.posexplode("a").alias("i", "p"), "b").select("id", "n", "i", "p", F.posexplode("b").alias("j", "q"))
     keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).filter("size > 1")
-    members = stash.keep(keyed.join(shared, "key"), "members")
-    fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
-    pairs = stash.keep(members.filter("lead < id").filter(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
+    shared = stash.keep(shared, "shared")
+    hot = stash.keep(hot_keys(shared.select("key", F.col("size").alias("n")), "key"), "hot")
+    members = stash.keep(salted(keyed, hot, "key", "id").join(spread(shared, hot, "key"), ["key", "__salt"]), "members")
+    sizes = classes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))  # an id may have two texts
+    pairs = members.filter("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.join(sizes.toDF("a", "a_low", "a_high"), "a").join(sizes.toDF("b", "b_low", "b_high"), "b")
+    fits = f"100 * a_high >= {percent} * b_low AND 100 * b_high >= {percent} * a_low"
+    pairs = stash.keep(pairs.filter(fits).select("a", "b"), "pairs")
     wanted = members.select("id").distinct()
     sets = stash.keep(shingle_sets(docs.join(wanted.withColumnRenamed("id", "__id"), "__id", "left_semi"), shingle), "sets")
     links = stash.keep(verify(pairs, sets, percent), "links")
@@ -190,9 +195,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = links.unionByName(split)
     comps = stash.keep(connected_components(edges, stash, "first"), "components")
 
-    placed = members.select("key", "id", "n", "size").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "__salt", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     residual = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = stash.keep(placed.join(residual, "key", "left_semi"), "residual")
+    left = stash.keep(placed.join(spread(residual, hot, "key"), ["key", "__salt"], "left_semi"), "residual")
     if not left.isEmpty():
         # a set that mostly holds shingles of its own is similar to none of the others; twice, as others are then gone
         open_sets = sets.join(left.select("id").distinct(), "id", "left_semi")
@@ -202,8 +207,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         halves = classes.select("id", "a", "b")
         near = left.select("key", "id", "component").join(counts, "id").join(halves, "id")
         near = stash.keep(near, "near")
-        sizes = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        more = _across(near.join(sizes, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
+        members_of = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        more = _across(near.join(members_of, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
         comps = stash.keep(connected_components(edges.unionByName(late), stash, "second"), "all_components")

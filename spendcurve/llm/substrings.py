@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, hot_keys, salted, spread, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -132,11 +132,14 @@ def agreeing(x: Column, y: Column) -> Column:
 def joined_pairs(docs: DataFrame, least_words: int, stash: Stash) -> DataFrame:
     """(lead, id): documents with windows that may hold the same passage, each with the first document of its windows' groups."""
     every = windows(docs, least_words)
-    leads = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
-    shared = stash.keep(every.join(leads, "key"), "shared")
-    at_lead = shared.filter("id = lead").groupBy("key").agg(F.min("around").alias("lead_around"))
+    groups = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"))
+    leads = stash.keep(groups.filter("lead < last").select("key", "lead", "n"), "leads")
+    hot = stash.keep(hot_keys(leads, "key"), "hot")
+    shared = salted(every, hot, "key", "id").join(spread(leads.drop("n"), hot, "key"), ["key", "__salt"])
+    shared = stash.keep(shared, "shared")
+    at_lead = spread(shared.filter("id = lead").groupBy("key").agg(F.min("around").alias("lead_around")), hot, "key")
     agree = agreeing(F.col("around"), F.col("lead_around")) >= AGREE
-    members = stash.keep(shared.filter("id > lead").join(at_lead, "key").select("key", "id", "around", "lead", agree.alias("agree")), "members")
+    members = stash.keep(shared.filter("id > lead").join(at_lead, ["key", "__salt"]).select("key", "id", "around", "lead", agree.alias("agree")), "members")
     pairs = members.filter("agree").select("lead", "id")
     for side in (F.shiftrightunsigned("around", 32), F.col("around").bitwiseAND(0xFFFFFFFF)):
         whole = F.lit(True)
@@ -146,7 +149,7 @@ def joined_pairs(docs: DataFrame, least_words: int, stash: Stash) -> DataFrame:
         first = rest.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
         pairs = pairs.unionByName(rest.join(first, "key").filter("id > lead").select("lead", "id"))
     pairs = stash.keep(pairs.distinct(), "pairs")
-    for name in ("shared", "members"):
+    for name in ("leads", "shared", "members"):
         stash.drop(name)
     return pairs
 

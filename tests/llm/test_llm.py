@@ -532,6 +532,22 @@ def test_weights_are_log_ratios():
     assert model.weights(chunk)[0].tolist() == [float(buckets[:7].sum()), -math.inf, float(buckets[7])]
 
 
+# ---- joins by hot keys
+
+
+def test_salted_join_equals_the_plain_one(spark):
+    from spendcurve.llm.common import hot_keys, salted, spread
+
+    rows = [(0, i) for i in range(5000)] + [(i % 50 + 1, i) for i in range(300)]
+    left = spark.createDataFrame(rows, "key long, id long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(0, 40)], "key long, v long")
+    hot = hot_keys(left.groupBy("key").agg({"id": "count"}).withColumnRenamed("count(id)", "n"), "key")
+    assert [(r.key, r["__pieces"]) for r in hot.collect()] == [(0, 5)]
+    joined = salted(left, hot, "key", "id").join(spread(right, hot, "key"), ["key", "__salt"])
+    assert joined.select("__salt").distinct().count() == 5
+    assert sorted(joined.select("key", "id", "v").collect()) == sorted(left.join(right, "key").select("key", "id", "v").collect())
+
+
 # ---- op9: near-duplicates
 
 
