@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, table
+from spendcurve.llm.common import BROADCAST_IDS, Stash, bounded_batches, if_small, table
 from spendcurve.llm.importance import importance_resample
 from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
@@ -58,14 +58,23 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id stays, once. Rows without an id all stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    stash = Stash(spark, "near-dedup")
+    kept = stash.keep(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    single, repeated = (stash.keep(kept.filter(which).select("doc_id"), name) for which, name in (("__rows = 1", "single"), ("__rows > 1", "repeated")))
+    out = docs.join(if_small(single), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
+    once = docs.join(if_small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.unionByName(once).select(*docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out; a document of which nothing is left goes."""
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    stash = Stash(spark, "substring-dedup")
+    found = stash.keep(repeated_passages(docs).select("doc_id", "start", "end"), "passages")
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    if found.count() <= BROADCAST_IDS:
+        spans = F.broadcast(spans)
     cut = docs.join(spans, "doc_id", "left").select(*[c for c in docs.columns if c != "text"], removed(F.col("__spans"), F.col("text")).alias("text"), F.col("__spans").isNotNull().alias("__cut"))
     return _with_text(cut, F.col("text")).filter(~F.col("__cut") | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 

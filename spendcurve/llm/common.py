@@ -56,6 +56,15 @@ class Stash:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of ids that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written table for the small side of a join: broadcast if it has been counted to have at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hot_keys(counts: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
     """(key, __pieces): keys with over 1 / `pieces` of all rows, from a table (key, n); there are less than `pieces` of them."""
     total = counts.agg(F.sum("n")).first()[0] or 0

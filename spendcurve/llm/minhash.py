@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, hot_keys, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, hot_keys, if_small, salted, spread, two_columns
 from spendcurve.llm.components import connected_components
 from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, word_hashes
 
@@ -185,8 +185,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.join(sizes.toDF("a", "a_low", "a_high"), "a").join(sizes.toDF("b", "b_low", "b_high"), "b")
     fits = f"100 * a_high >= {percent} * b_low AND 100 * b_high >= {percent} * a_low"
     pairs = stash.keep(pairs.filter(fits).select("a", "b"), "pairs")
-    wanted = members.select("id").distinct()
-    sets = stash.keep(shingle_sets(docs.join(wanted.withColumnRenamed("id", "__id"), "__id", "left_semi"), shingle), "sets")
+    wanted = stash.keep(members.select(F.col("id").alias("__id")).distinct(), "wanted")
+    sets = stash.keep(shingle_sets(docs.join(if_small(wanted), "__id", "left_semi"), shingle), "sets")
     links = stash.keep(verify(pairs, sets, percent), "links")
     # rows of one id with different texts are one document
     own = some.join(classes.select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).select("id", "n", "rep")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, hot_keys, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, hot_keys, if_small, salted, spread, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -257,8 +257,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stash = Stash(spark, "substrings")
     docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL")
     pairs = joined_pairs(docs, least_words, stash)
-    wanted = pairs.select(F.col("lead").alias("__id")).unionByName(pairs.select(F.col("id").alias("__id"))).distinct()
-    texts = docs.join(wanted, "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
+    wanted = stash.keep(pairs.select(F.col("lead").alias("__id")).unionByName(pairs.select(F.col("id").alias("__id"))).distinct(), "wanted")
+    texts = docs.join(if_small(wanted), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
     texts = stash.keep(texts, "texts")
     found = stash.keep(_verify(pairs, texts, least_words, percent), "verified")
     stash.drop("texts")
