@@ -429,9 +429,10 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         ends = np.cumsum(sizes)
                         for c, a, e in zip(chunk_ids.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                             kind, place = np.cumsum(steps[a:e]), doc[a:e] >> 1
-                            some = np.flatnonzero(np.bincount(place))  # documents with tokens in this bucket
-                            sums = [np.bincount(place, weights=w[kind])[some] for w in (model, base, seen > 0)]
-                            rows.append((c, 0, _zip(some.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.int32))))
+                            touched = np.bincount(place) > 0  # documents with tokens in this bucket
+                            sums = [np.bincount(place, weights=w[kind])[touched] for w in (model, base, seen > 0)]
+                            # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
+                            rows.append((c, 0, _zip(np.packbits(touched), sums[0].astype(np.float32), sums[1], sums[2].astype(np.uint32))))
                     for one in rows:
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], names=names)
 
@@ -446,8 +447,9 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if kind == 1:
                 ids, null, held, counts = arrays
             else:
+                some = np.flatnonzero(np.unpackbits(arrays[0]))
                 for total, part in zip((model, base, known), arrays[1:], strict=True):
-                    total[arrays[0]] += part
+                    total[some] += part
         n = len(ids)
         return pa.table(
             {
