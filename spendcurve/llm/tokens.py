@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's cache; it starts anew before it has more. Bounds memory, changes no result.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_200_000
 
 
 #: Marks the first word of a text, which has no blank before it; texts with this character are encoded whole.
