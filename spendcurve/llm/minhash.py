@@ -98,7 +98,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets."""
+    """Those of the written pairs (a, b) that are similar on their full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return x.join(if_small(pairs), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _matchable(sets: DataFrame) -> DataFrame:

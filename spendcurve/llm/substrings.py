@@ -238,7 +238,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int)
 
     left = texts.select(F.col("id").alias("lead"), F.col("text").alias("x"))
     right = texts.select("id", F.col("text").alias("y"))
-    return pairs.join(left, "lead").join(right, "id").select("lead", "id", "x", "y").mapInArrow(work, schema)
+    return left.join(if_small(pairs), "lead").join(right, "id").select("lead", "id", "x", "y").mapInArrow(work, schema)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:
