@@ -32,6 +32,8 @@ CLASSES = 1 << 16
 #: Tokens of a bucket, about; the number of buckets grows with the corpus.
 BUCKET_TOKENS = 2_000_000
 SAMPLES = 3
+#: Chunks of which a task adds up its buckets' parts before it passes them on; bounds memory.
+HELD_CHUNKS = 256
 #: Share of the tokens from which a first pass counts words; a second one is made if buckets are too small for it.
 SHARE = 1e-4
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
@@ -405,36 +407,51 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         states = swept(warm, draw, samples, 1)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["chunk", "kind", "data"]
-            kinds = [pa.int64(), pa.int32(), pa.binary()]
+            held: dict[int, list[np.ndarray]] = {}
+
+            def row(chunk: int, kind: int, data: bytes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "kind", "data"])
+
+            def summed() -> Iterator[pa.RecordBatch]:
+                """What this task's buckets have of each chunk, for the documents with tokens in them."""
+                for chunk, (model_sum, base_sum, known, touched) in held.items():
+                    # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
+                    yield row(chunk, 0, _zip(np.packbits(touched), model_sum[touched].astype(np.float32), base_sum[touched], known[touched].astype(np.uint32)))
+                held.clear()
+
             for batch in batches:
                 for number, types, uses, named in zip(*(batch.column(k) for k in range(4)), strict=True):
-                    rows = [(d["chunk"], 1, d["data"]) for d in named.as_py()]
+                    for d in named.as_py():
+                        yield row(d["chunk"], 1, d["data"])
                     data = types.as_buffer().to_pybytes()
-                    if data:
-                        b = Bucket(*_unzip(data))
-                        chance = np.zeros(len(b.count))
-                        for k, s in enumerate(states):
-                            own, sent, at_root = draw(b, number.as_py(), k)
-                            sent, at_root = sent.copy(), at_root.copy()
-                            sent[b.split], at_root[b.split] = s.column(b.words[b.split], 1), s.column(b.words[b.split], 2)
-                            parent = s.root(sent, at_root)[b.word]
-                            here, there = s.customers[b.place], s.tables[b.place]
-                            chance += (b.count - s.discount * own + (STRENGTH + s.discount * there) * parent) / (STRENGTH + here) / len(states)
-                        by_word = np.bincount(b.word, weights=b.count, minlength=len(b.words))
-                        by_word[b.split] = state.column(b.words[b.split], 0)
-                        seen = by_word[b.word]
-                        model, base = np.log10(chance), np.log10((seen + 1) / (state.tokens + state.vocabulary + 1))
-                        chunk_ids, sizes, steps, doc = _unzip(uses.as_buffer().to_pybytes())
-                        ends = np.cumsum(sizes)
-                        for c, a, e in zip(chunk_ids.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                            kind, place = np.cumsum(steps[a:e]), doc[a:e] >> 1
-                            touched = np.bincount(place) > 0  # documents with tokens in this bucket
-                            sums = [np.bincount(place, weights=w[kind])[touched] for w in (model, base, seen > 0)]
-                            # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
-                            rows.append((c, 0, _zip(np.packbits(touched), sums[0].astype(np.float32), sums[1], sums[2].astype(np.uint32))))
-                    for one in rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], names=names)
+                    if not data:
+                        continue
+                    b = Bucket(*_unzip(data))
+                    chance = np.zeros(len(b.count))
+                    for k, s in enumerate(states):
+                        own, sent, at_root = draw(b, number.as_py(), k)
+                        sent, at_root = sent.copy(), at_root.copy()
+                        sent[b.split], at_root[b.split] = s.column(b.words[b.split], 1), s.column(b.words[b.split], 2)
+                        parent = s.root(sent, at_root)[b.word]
+                        here, there = s.customers[b.place], s.tables[b.place]
+                        chance += (b.count - s.discount * own + (STRENGTH + s.discount * there) * parent) / (STRENGTH + here) / len(states)
+                    by_word = np.bincount(b.word, weights=b.count, minlength=len(b.words))
+                    by_word[b.split] = state.column(b.words[b.split], 0)
+                    seen = by_word[b.word]
+                    model, base = np.log10(chance), np.log10((seen + 1) / (state.tokens + state.vocabulary + 1))
+                    chunk_ids, sizes, steps, doc = _unzip(uses.as_buffer().to_pybytes())
+                    ends = np.cumsum(sizes)
+                    for c, a, e in zip(chunk_ids.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                        kind, place = np.cumsum(steps[a:e]), doc[a:e] >> 1
+                        if c not in held:
+                            if len(held) >= HELD_CHUNKS:
+                                yield from summed()
+                            held[c] = [np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=bool)]
+                        n = int(place.max()) + 1
+                        for total, weight in zip(held[c], (model, base, seen > 0), strict=False):
+                            total[:n] += np.bincount(place, weights=weight[kind])
+                        held[c][3][:n] |= np.bincount(place) > 0
+            yield from summed()
 
         parts = stash.keep(buckets.select("bucket", "types", "uses", "docs").mapInArrow(score, "chunk long, kind int, data binary"), "parts")
     stash.drop("buckets")
