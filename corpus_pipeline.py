@@ -20,6 +20,8 @@ from spendcurve.llm.tokens import default_vocabulary
 
 #: Share of its words that a document may lose to line rules, words that it must have, and the packing's length.
 MAX_LOSS, MIN_WORDS, CAPACITY = 0.3, 50, 1024
+#: Percent of their 5-word shingles that near-duplicates share.
+NEAR = 80
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -57,9 +59,9 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays, once. Rows without an id all stay."""
+    """Of every group of near-duplicates (Jaccard similarity 0.8 or more of 5-word shingles) the document with the smallest id stays, once. Rows without an id all stay."""
     stash = Stash(spark, "near-dedup")
-    kept = stash.keep(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    kept = stash.keep(near_duplicates(docs, percent=NEAR).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
     single, repeated = (stash.keep(kept.filter(which).select("doc_id"), name) for which, name in (("__rows = 1", "single"), ("__rows > 1", "repeated")))
     out = docs.join(if_small(single), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
     if repeated.isEmpty():

@@ -22,8 +22,8 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, w
 HALVES, ROWS = 8, 2
 #: Members of a block when buckets that span several components are compared.
 BLOCK = 4096
-#: Half keys out of 2 * HALVES that a pair in such a bucket shares at least; at 0.85 a pair has fewer with a chance of about 1e-5.
-LEAST_SHARED = 4
+#: Half keys out of 2 * HALVES that a pair in such a bucket shares at least, from 0.85 on and below; a pair at 0.85 and one at 0.8 have fewer with a chance of about 1e-5 and 3e-5.
+LEAST_SHARED, LEAST_SHARED_BELOW = 4, 3
 
 
 def _shingle_sets(chunk_words: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
@@ -149,7 +149,7 @@ def _across(residual: DataFrame, percent: int) -> DataFrame:
     may = (F.col("component1") != F.col("component2")) & ((F.col("i") != F.col("j")) | (F.col("id1") < F.col("id2")))
     may = may & (100 * most >= percent * (F.col("n1") + F.col("n2") - most))
     met = left.join(right, ["key", "i", "j"]).filter(may)
-    return met.filter((first == F.col("key")) & (shared >= LEAST_SHARED)).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+    return met.filter((first == F.col("key")) & (shared >= (LEAST_SHARED if percent >= 85 else LEAST_SHARED_BELOW))).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:

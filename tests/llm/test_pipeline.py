@@ -46,6 +46,18 @@ def test_stages_take_effect_and_keep_the_rest(spark, folder):
     assert last[41].text.count(" ") < 70 and last[40].text.count(" ") > 100 and last[41].n_chars == len(last[41].text)
 
 
+def test_near_dedup_takes_copies_at_082(spark):
+    rng = random.Random(2)
+    base = sentence(rng, 204).split(" ")
+    other = list(base)
+    for k in (20, 60, 100, 140):
+        other[k] = "otherwise"
+    shingles = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (base, other)]
+    assert 0.81 < len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.83
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, sentence(rng, 200))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 3}
+
+
 def test_run_packs_what_is_left(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in rows} >= set(range(40))
