@@ -187,8 +187,9 @@ def _runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
 def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in x, end in x, similarity) of the passages of y, in words, that x has too.
 
-    Runs of equal shingles are chained over small gaps; a chain counts if it has `least_words` words and
-    its shingle sets on both sides have the Jaccard similarity; else its runs count one by one.
+    Runs of equal shingles are chained over small gaps; of a chain the longest stretches of whole runs count
+    that have `least_words` words and whose shingle sets on both sides have the Jaccard similarity. A stretch
+    that ends within a run would gain by the rest of it.
     """
     chains: list[list[tuple[int, int, int]]] = []
     for run in _runs(x, y):
@@ -199,20 +200,39 @@ def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> li
                 chains[-1].append(run)
                 continue
         chains.append([run])
-    out = []
-    for chain in chains:
-        for part in [chain] + ([[r] for r in chain] if len(chain) > 1 else []):
-            j0, i0, _ = part[0]
-            j1, i1 = part[-1][0] + part[-1][2], part[-1][1] + part[-1][2]
-            if j1 - j0 + SHINGLE - 1 < least_words:
-                continue
-            mine, its = np.unique(y[j0:j1]), np.unique(x[i0:i1])
-            both = len(np.intersect1d(mine, its, assume_unique=True))
-            union = len(mine) + len(its) - both
-            if 100 * both >= percent * union:
-                out.append((j0, j1 + SHINGLE - 1, i0, i1 + SHINGLE - 1, both / union))
-                if part is chain:
-                    break
+    return [part for chain in chains for part in _stretches(x, y, np.array(chain), least_words, percent)]
+
+
+def _stretches(x: np.ndarray, y: np.ndarray, chain: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """A chain's stretches that count and lie in no other that counts."""
+    n = len(chain)
+    first, first_x = chain[:, 0], chain[:, 1]
+    last, last_x = first + chain[:, 2], first_x + chain[:, 2]
+    if last[-1] - first[0] + SHINGLE - 1 < least_words:
+        return []
+    mine, its = y[first[0] : last[-1]], x[first_x[0] : last_x[-1]]
+    different, number = np.unique(np.concatenate([mine, its]), return_inverse=True)
+    sides = []
+    for numbers, starts, ends in ((number[: len(mine)], first, last), (number[len(mine) :], first_x, last_x)):
+        sides.append((numbers, starts - starts[0], np.searchsorted(ends - starts[0], np.arange(len(numbers)), side="right")))
+    out: list[tuple[int, int, int, int, float]] = []
+    done = -1
+    for p in range(n):
+        if done == n - 1:
+            break
+        # the run with which each shingle enters either side's set when stretches start at run p
+        enters = []
+        for numbers, starts, run in sides:
+            enter = np.full(len(different), n)
+            enter[numbers[starts[p] :][::-1]] = run[starts[p] :][::-1]
+            enters.append(enter)
+        sizes = [np.cumsum(np.bincount(e, minlength=n + 1)[:n]) for e in (*enters, np.maximum(*enters))]
+        both, union = sizes[2], sizes[0] + sizes[1] - sizes[2]
+        counts = (100 * both >= percent * union) & (last - first[p] + SHINGLE - 1 >= least_words)
+        counts[: max(p, done + 1)] = False
+        if counts.any():
+            done = q = int(np.flatnonzero(counts)[-1])
+            out.append((int(first[p]), int(last[q]) + SHINGLE - 1, int(first_x[p]), int(last_x[q]) + SHINGLE - 1, float(both[q] / union[q])))
     return out
 
 

@@ -364,6 +364,35 @@ def test_near_passages_with_changed_words_are_found(spark):
     assert substrings.repeated_passages(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_a_chain_that_fails_yields_the_stretches_that_do_not():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**60, 110).astype(np.uint64)
+    y = x.copy()
+    y[26:31] += np.uint64(1)  # one changed word in the middle of 60
+    for k in range(56, 110):  # then a common shingle now and then
+        if (k + 1) % 8:
+            y[k] += np.uint64(1)
+    found = substrings.passages(x, y, 50, 80)
+    assert found and found[0][:4] == (0, 60, 0, 60) and found[0][4] == 51 / 61
+
+    def brute(chain):
+        good = []
+        for p in range(len(chain)):
+            for q in range(p, len(chain)):
+                (j0, i0, _), (j, i, n) = chain[p], chain[q]
+                a, b = set(y[j0 : j + n].tolist()), set(x[i0 : i + n].tolist())
+                if j + n - j0 + 4 >= 12 and 100 * len(a & b) >= 80 * len(a | b):
+                    good.append((j0, j + n + 4, i0, i + n + 4, len(a & b) / len(a | b)))
+        return [g for g in good if not any(o[0] <= g[0] and g[1] <= o[1] and o != g for o in good)]
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 60, 150).astype(np.uint64)
+        y = np.where(rng.random(150) < 0.1, np.uint64(99), x)
+        runs = [(s, s, e - s) for s, e in zip(*(np.flatnonzero(np.diff(np.concatenate([[0], x == y, [0]])) == d).tolist() for d in (1, -1)))]
+        assert substrings._stretches(x, y, np.array(runs), 12, 80) == brute(runs)
+
+
 def test_words_are_cut_out_of_a_text():
     text = " Alpha  beta\ngamma délta end "
     assert substrings.without_words(text, [(1, 3)]) == "Alpha délta end"
