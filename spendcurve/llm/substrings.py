@@ -1,15 +1,17 @@
 """Passages that repeat across documents, by compact windows.
 
-For a hash function, the Cartesian tree over a document's shingle hashes has one node for each shingle that
-is the minimum of a maximal window; the node's window (a, c, b) stands for all subsequences between a and b
-that hold c: they share its min-hash. Only windows of at least `least` words are kept, about 2 n / least of
-them, each with a byte of eight shingles around c. Windows of different documents with the same min-hash
-are joined at the document that comes first if their surroundings agree; those whose surroundings differ
-are joined anew by min-hash and one side's surroundings. Joined documents are aligned and verified on their words.
+The Cartesian tree over a document's hashed shingles has one node for each shingle that is the minimum of a
+maximal window; the node's window (a, c, b) stands for all runs of shingles between a and b that hold c.
+A passage of `least_words` words with few enough changed words holds an unchanged run of `sure_run` shingles,
+whose minimum is a node on both sides with the same c. So the windows of that least length are kept, as
+the words from c on and up to c as far as half such a run, where the window reaches that far: one of
+both is shared for sure. Documents that share them are joined at the first one, aligned and verified on
+their words; what no verified passage then holds is joined anew with the next, and at last with all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, bounded_batches, hot_keys, if_small, salted, spread, two_columns
-from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, word_hashes
+from spendcurve.llm.textops import U64, Chunk, chunks, constants, ngrams, word_hashes
 
 SHINGLE = 5
-#: Hash functions. A passage copied word for word is found under each, one at similarity 0.8 under one or more with probability 0.96.
-HASHES = 2
-#: Distances from c at which a shingle's byte is kept: all four of one side lie in any passage of 50 words that holds c.
-AROUND = (10, 14, 18, 22)
-#: Bytes of the eight that agree before documents are aligned. A common line alone reaches none.
-AGREE = 2
+#: Pairs of windows that are left for the last join at most while further rounds at least halve them.
+PAIRS = 2_000_000
 #: Aligned runs of equal shingles are one passage across gaps and shifts of at most this many shingles: two changed words.
 GAP = 10
 
@@ -87,71 +85,60 @@ def _next_smaller(value: np.ndarray, border: np.ndarray, step: int) -> np.ndarra
     return at
 
 
-def surroundings(every: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Bytes of the shingles around each c, lowest first: four to the left, four to the right; 0 outside the document."""
-    out = np.zeros(len(c), dtype=U64)
-    for k, distance in enumerate([-d for d in AROUND] + list(AROUND)):
-        at = c + distance
-        inside = (at >= low) & (at < high)
-        byte = np.maximum(every[np.where(inside, at, 0)] >> U64(56), U64(1))
-        out |= np.where(inside, byte, U64(0)) << U64(8 * k)
-    return out
+def sure_run(least_words: int, percent: int) -> int:
+    """Shingles in a row, at least, that both sides of a passage share however its words were replaced, inserted and deleted.
+
+    k changes that take g shingles on one side take g - k at least on the other and leave k + 1 runs; a
+    change takes 5 on one side at least.
+    """
+    least = best = least_words - SHINGLE + 1
+    for k in range(1, least):
+        for g in range(SHINGLE * k, SHINGLE * k + least):
+            shared = max(least - g, -(-percent * (2 * g - k) // (100 - percent)) if percent < 100 else least * (k + 1))
+            best = min(best, -(-shared // (k + 1)))
+    return max(best, 1)
 
 
-def windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """(key, id, around): one row per compact window."""
-    factors, shifts, salts = constants(HASHES, 31) | U64(1), constants(HASHES, 32), constants(HASHES, 33)
-    least = least_words - SHINGLE + 1
+def windows(docs: DataFrame, least_words: int, percent: int) -> DataFrame:
+    """(key, id, at): the words on either side of each compact window's c, from word `at` on."""
+    factor, shift = constants(1, 31)[0] | U64(1), constants(1, 32)[0]
+    run = sure_run(least_words, percent)
+    half = (run - 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for chunk in chunks(batch.column(1)):
-                every, low, high = shingle_positions(*word_hashes(chunk))
-                for f in range(HASHES):
-                    h = every * factors[f] + shifts[f]
-                    doc, _, c, _ = compact_windows(h, low, high, least)
-                    if len(doc):
-                        around = surroundings(every, c, low[doc], high[doc])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(mix(h[c] ^ salts[f]).view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array(around.view(np.int64))], names=["key", "id", "around"]
-                        )
-
-    return docs.mapInArrow(work, "key long, id long, around long")
-
-
-def agreeing(x: Column, y: Column) -> Column:
-    """How many of the eight bytes are the same and inside both documents."""
-    out = F.lit(0)
-    for k in range(8):
-        one, other = F.shiftright(x, 8 * k).bitwiseAND(255), F.shiftright(y, 8 * k).bitwiseAND(255)
-        out = out + ((one == other) & (one != 0)).cast("int")
-    return out
-
-
-def joined_pairs(docs: DataFrame, least_words: int, stash: Stash) -> DataFrame:
-    """(lead, id): documents with windows that may hold the same passage, each with the first document of its windows' groups."""
-    every = windows(docs, least_words)
+                words, first = word_hashes(chunk)
+                every, low, high = shingle_positions(words, first)
+                doc, a, c, b = compact_windows(every * factor + shift, low, high, run)
+                if len(doc):
+                    left, right = c - half >= a, c + half <= b
+                    at = np.concatenate([c[left] - half, c[right]])
+                    doc = np.concatenate([doc[left], doc[right]])
+                    keys = ngrams(words, half + SHINGLE)[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array((at - first[doc]).astype(np.int32))], names=["key", "id", "at"]
+                    )
+
+    return docs.mapInArrow(work, "key long, id long, at int")
+
+
+def shared_windows(docs: DataFrame, least_words: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """(key, __salt, id, at, lead): the windows that several documents have, with the first of these; and the hot keys."""
+    every = windows(docs, least_words, percent)
     groups = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"))
     leads = stash.keep(groups.filter("lead < last").select("key", "lead", "n"), "leads")
     hot = stash.keep(hot_keys(leads, "key"), "hot")
     shared = salted(every, hot, "key", "id").join(spread(leads.drop("n"), hot, "key"), ["key", "__salt"])
-    shared = stash.keep(shared, "shared")
-    at_lead = spread(shared.filter("id = lead").groupBy("key").agg(F.min("around").alias("lead_around")), hot, "key")
-    agree = agreeing(F.col("around"), F.col("lead_around")) >= AGREE
-    members = stash.keep(shared.filter("id > lead").join(at_lead, ["key", "__salt"]).select("key", "id", "around", "lead", agree.alias("agree")), "members")
-    pairs = members.filter("agree").select("lead", "id")
-    for side in (F.shiftrightunsigned("around", 32), F.col("around").bitwiseAND(0xFFFFFFFF)):
-        whole = F.lit(True)
-        for k in range(4):
-            whole = whole & (F.shiftright(side, 8 * k).bitwiseAND(255) != 0)
-        rest = members.filter(~F.col("agree") & whole).select(F.xxhash64("key", side).alias("key"), "id")
-        first = rest.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
-        pairs = pairs.unionByName(rest.join(first, "key").filter("id > lead").select("lead", "id"))
-    pairs = stash.keep(pairs.distinct(), "pairs")
-    for name in ("leads", "shared", "members"):
-        stash.drop(name)
-    return pairs
+    return stash.keep(shared, "shared"), hot
+
+
+def unexplained(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """The windows of so many words that lie in no passage found in their document."""
+    spans = found.select("id", "start", "end").distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    inside = F.exists("__spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + words <= s["end"]))
+    return rows.join(spans, "id", "left").filter(~F.coalesce(inside, F.lit(False))).select(*rows.columns)
 
 
 def _runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
@@ -261,6 +248,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int)
     return left.join(if_small(pairs), "lead").join(right, "id").select("lead", "id", "x", "y").mapInArrow(work, schema)
 
 
+def _first_ones(late: DataFrame, found: DataFrame) -> DataFrame:
+    """The late passages that lie in no other passage of their document with an earlier one."""
+    spans = late.unionByName(found).join(late.select("id").distinct(), "id", "left_semi")
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("lead", "start", "end")).alias("__spans"))
+    inside = F.exists("__spans", lambda s: (s["lead"] < F.col("lead")) & (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
+    return late.join(spans, "id").filter(~inside).drop("__spans")
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:
     """One row per passage that an earlier document has too: id, match_id, start, end, match_start, match_end, n_words, similarity.
 
@@ -276,12 +271,38 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     stash = Stash(spark, "substrings")
     docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL")
-    pairs = joined_pairs(docs, least_words, stash)
-    wanted = stash.keep(pairs.select(F.col("lead").alias("__id")).unionByName(pairs.select(F.col("id").alias("__id"))).distinct(), "wanted")
+    words = (sure_run(least_words, percent) - 1) // 2 + SHINGLE
+    shared, hot = shared_windows(docs, least_words, percent, stash)
+    wanted = stash.keep(shared.select(F.col("id").alias("__id")).distinct(), "wanted")
     texts = docs.join(if_small(wanted), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
     texts = stash.keep(texts, "texts")
+    pairs = stash.keep(shared.filter("id > lead").select("lead", "id").distinct(), "pairs")
     found = stash.keep(_verify(pairs, texts, least_words, percent), "verified")
-    stash.drop("texts")
+    members = shared.select("key", "__salt", "id").distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    left = stash.keep(unexplained(shared.filter("id > lead").select("key", "__salt", "id", "at"), found, words).select("key", "__salt", "id").distinct(), "left")
+    before, step = math.inf, 0
+    while True:
+        # each is left to be compared with all earlier documents of its group
+        many = left.groupBy("key").agg(F.count("*").alias("m")).join(sizes, "key").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        if not many or many <= PAIRS or 2 * many > before:
+            break
+        before, step = many, step + 1
+        first = left.groupBy("key").agg(F.min("id").alias("lead"))
+        placed = shared.drop("lead").join(left, ["key", "__salt", "id"], "left_semi").join(spread(first, hot, "key"), ["key", "__salt"]).filter("id > lead")
+        placed = stash.keep(placed, f"placed{step}")
+        more = stash.keep(placed.select("lead", "id").distinct().join(pairs, ["lead", "id"], "left_anti"), f"pairs{step}")
+        found = stash.keep(found.unionByName(_verify(more, texts, least_words, percent)), f"verified{step}")
+        pairs = pairs.unionByName(more)
+        left = stash.keep(unexplained(placed, found, words).select("key", "__salt", "id").distinct(), f"left{step}")
+    if many:
+        earlier = spread(members.select("key", F.col("id").alias("lead")), hot, "key")
+        more = left.join(earlier, ["key", "__salt"]).filter("lead < id").select("lead", "id").distinct()
+        more = stash.keep(more.join(pairs, ["lead", "id"], "left_anti"), "last_pairs")
+        late = stash.keep(_verify(more, texts, least_words, percent), "last_verified")
+        found = found.unionByName(_first_ones(late, found))
+    for name in ("texts", "shared"):
+        stash.drop(name)
     return found.distinct().select(
         F.col("id").alias(id_col), F.col("lead").alias("match_id"), "start", "end", F.col("lead_start").alias("match_start"), F.col("lead_end").alias("match_end"), (F.col("end") - F.col("start")).alias("n_words"), "similarity"
     )

@@ -393,6 +393,24 @@ def test_a_chain_that_fails_yields_the_stretches_that_do_not():
         assert substrings._stretches(x, y, np.array(runs), 12, 80) == brute(runs)
 
 
+def found_pairs(spark, rows):
+    return {(r.match_id, r.doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, EMPTY)).collect()}
+
+
+@pytest.mark.parametrize("last", [True, False])
+def test_a_passage_is_found_behind_a_common_line(spark, last, monkeypatch):
+    if not last:
+        monkeypatch.setattr(substrings, "PAIRS", -1)
+    rng = random.Random(3)
+    rows = []
+    for k in range(30):  # the first document shares only 35 words, the others 52 that hold them
+        line = sentence(rng, 35)
+        passage = sentence(rng, 8) + " " + line + " " + sentence(rng, 9)
+        rows.append((10 * k, sentence(rng, 60) + " " + line + " " + sentence(rng, 60)))
+        rows += [(10 * k + j, sentence(rng, 60) + " " + passage + " " + sentence(rng, 60)) for j in (1, 2, 3)]
+    assert found_pairs(spark, rows) >= {(10 * k + 1, 10 * k + j) for k in range(30) for j in (2, 3)}
+
+
 def test_words_are_cut_out_of_a_text():
     text = " Alpha  beta\ngamma délta end "
     assert substrings.without_words(text, [(1, 3)]) == "Alpha délta end"
