@@ -411,6 +411,19 @@ def test_a_passage_is_found_behind_a_common_line(spark, last, monkeypatch):
     assert found_pairs(spark, rows) >= {(10 * k + 1, 10 * k + j) for k in range(30) for j in (2, 3)}
 
 
+def test_every_near_passage_shares_a_window(spark):
+    assert substrings.sure_run(50, 80) == 21
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):  # 50 words of which one is another, and an earlier document with a part of it
+        words = sentence(rng, 50).split(" ")
+        other = list(words)
+        other[rng.randrange(5, 45)] = "otherwise"
+        lead = " ".join(words[10:35])
+        rows += [(3 * k + j, sentence(rng, 30) + " " + t + " " + sentence(rng, 30)) for j, t in enumerate((lead, " ".join(words), " ".join(other)))]
+    assert found_pairs(spark, rows) >= {(3 * k + 1, 3 * k + 2) for k in range(300)}
+
+
 def test_words_are_cut_out_of_a_text():
     text = " Alpha  beta\ngamma délta end "
     assert substrings.without_words(text, [(1, 3)]) == "Alpha délta end"
