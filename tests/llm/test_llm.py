@@ -424,6 +424,17 @@ def test_every_near_passage_shares_a_window(spark):
     assert found_pairs(spark, rows) >= {(3 * k + 1, 3 * k + 2) for k in range(300)}
 
 
+def test_a_line_that_the_first_document_repeats_loses_no_passage(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(200):
+        line = sentence(rng, 18)
+        passage = sentence(rng, 16) + " " + line + " " + sentence(rng, 16)
+        lead = " ".join(sentence(rng, 30) + " " + t for t in (line, line, passage, line, line))
+        rows += [(2 * k, lead), (2 * k + 1, sentence(rng, 40) + " " + passage + " " + sentence(rng, 40))]
+    assert found_pairs(spark, rows) == {(2 * k, 2 * k + 1) for k in range(200)}
+
+
 def test_words_are_cut_out_of_a_text():
     text = " Alpha  beta\ngamma délta end "
     assert substrings.without_words(text, [(1, 3)]) == "Alpha délta end"
