@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,11 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
+#: Session setting under which Spark deletes a query's shuffle files when the query has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folders: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -22,12 +28,29 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir; a folder of its own only where that is unset on a local master."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_folders:
         holder = tempfile.TemporaryDirectory(prefix="spendcurve-")
         atexit.register(holder.cleanup)
@@ -35,34 +58,47 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    with suppress(Exception):  # at the interpreter's end, when the JVM may have gone
+        _delete(spark, folder)
+
+
 class Stash:
-    """Written intermediates of one operator call, in the shared folder; cuts lineage, survives lost executors."""
+    """Written intermediates of one operator call, in the shared folder; cuts lineage, survives lost executors.
+
+    What no later step reads is dropped as soon as it can be; results may read the rest, which goes when the
+    driver's interpreter ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/spendcurve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        app = f"{shared_folder(spark).rstrip('/')}/spendcurve-{spark.sparkContext.applicationId}"
+        self.root = f"{app}/{name}-{uuid.uuid4().hex}"
+        if app not in _swept:
+            _swept.add(app)
+            atexit.register(_sweep, spark, app)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        # what was shuffled for this is not read again: Spark deletes it once the driver's JVM has collected its plan
-        self.spark._jvm.System.gc()
+        # what is shuffled for this is not read again
+        with setting(self.spark, CLEAN_SHUFFLES, "true"):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete an intermediate that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)
-
+    def drop(self, *names: str) -> None:
+        """Delete intermediates that no later step reads."""
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
 
-#: Rows of ids that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
-
-def if_small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """A written table for the small side of a join: broadcast if it has been counted to have at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def by_id(ids: DataFrame) -> DataFrame:
+    """A table of different ids for the small side of a join with texts: a hash table a partition, so that texts are shuffled but not sorted."""
+    return ids.hint("shuffle_hash")
 
 
 def hot_keys(counts: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
@@ -83,6 +119,12 @@ def spread(right: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     return right.join(F.broadcast(hot), key, "left").withColumn("__salt", salts).drop("__pieces")
 
 
+def matched(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFrame:
+    """rows joined to values on `key`, of which rows may have any number: those of hot keys are dealt over tasks by the column `by`."""
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+    return salted(rows, hot, key, by).join(spread(values, hot, key), [key, "__salt"]).drop("__salt")
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names that no caller's column can clash with."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash
+from spendcurve.llm.common import Stash, hot_keys, salted, spread
+
+
+def _least(edges: DataFrame, which: str) -> DataFrame:
+    """Those of the edges (u, v) with m, the least of u and its neighbours; the edges of a hot u are dealt over tasks."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = hot_keys(low.select("u", "n"), "u")
+    return salted(edges.filter(which), hot, "u", "v").join(spread(low.select("u", F.least("u", "m").alias("m")), hot, "u"), ["u", "__salt"]).drop("__salt")
 
 
 def connected_components(edges: DataFrame, stash: Stash, name: str = "cc") -> DataFrame:
@@ -22,12 +29,11 @@ def connected_components(edges: DataFrame, stash: Stash, name: str = "cc") -> Da
             break
         seen, step = now, step + 1
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        oriented = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = _least(both, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        oriented = stash.keep(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"{name}-large-{step}")
+        moved = _least(oriented, "true").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = oriented.groupBy("u").agg(F.min("v").alias("m"))
-        moved = oriented.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = stash.keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
-        stash.drop(f"{name}-{step - 1}")
+        stash.drop(f"{name}-{step - 1}", f"{name}-large-{step}")
     roots = state.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, hot_keys, if_small, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
 from spendcurve.llm.components import connected_components
 from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, word_hashes
 
@@ -111,7 +111,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return x.join(if_small(pairs), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    met = matched(matched(pairs, "a", "b", x), "b", "a", y)
+    return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _matchable(sets: DataFrame) -> DataFrame:
@@ -165,6 +166,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Exact copies are gathered by fingerprint first. In each bucket every set meets the bucket's first;
     buckets that then still span several components are compared in blocks, so that no link is lost.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError(f"percent must be from 80 to 100, got {percent!r}")
     spark = df.sparkSession
     bounded_batches(spark)
     stash = Stash(spark, "minhash")
@@ -182,11 +185,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stash.keep(salted(keyed, hot, "key", "id").join(spread(shared, hot, "key"), ["key", "__salt"]), "members")
     sizes = classes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))  # an id may have two texts
     pairs = members.filter("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(sizes.toDF("a", "a_low", "a_high"), "a").join(sizes.toDF("b", "b_low", "b_high"), "b")
+    pairs = stash.keep(pairs, "met")
+    pairs = matched(matched(pairs, "a", "b", sizes.toDF("a", "a_low", "a_high")), "b", "a", sizes.toDF("b", "b_low", "b_high"))
     fits = f"100 * a_high >= {percent} * b_low AND 100 * b_high >= {percent} * a_low"
     pairs = stash.keep(pairs.filter(fits).select("a", "b"), "pairs")
-    wanted = stash.keep(members.select(F.col("id").alias("__id")).distinct(), "wanted")
-    sets = stash.keep(shingle_sets(docs.join(if_small(wanted), "__id", "left_semi"), shingle), "sets")
+    wanted = members.select(F.col("id").alias("__id")).distinct()
+    sets = stash.keep(shingle_sets(docs.join(by_id(wanted), "__id", "left_semi"), shingle), "sets")
     links = stash.keep(verify(pairs, sets, percent), "links")
     # rows of one id with different texts are one document
     own = some.join(classes.select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).select("id", "n", "rep")
@@ -212,8 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
         comps = stash.keep(connected_components(edges.unionByName(late), stash, "second"), "all_components")
-    for name in ("members", "sets", "residual"):
-        stash.drop(name)
+    stash.drop("classes", "shared", "hot", "members", "met", "pairs", "sets", "links", "residual", "matchable-0", "matchable-1", "near", "more_pairs", "more_links")
     found = own.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     none = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     # an id with an empty and a non-empty row keeps the component of the latter

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, hot_keys, if_small, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, ngrams, word_hashes
 
 SHINGLE = 5
@@ -245,7 +245,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int)
 
     left = texts.select(F.col("id").alias("lead"), F.col("text").alias("x"))
     right = texts.select("id", F.col("text").alias("y"))
-    return left.join(if_small(pairs), "lead").join(right, "id").select("lead", "id", "x", "y").mapInArrow(work, schema)
+    return matched(matched(pairs, "lead", "id", left), "id", "lead", right).select("lead", "id", "x", "y").mapInArrow(work, schema)
 
 
 def _first_ones(late: DataFrame, found: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = (sure_run(least_words, percent) - 1) // 2 + SHINGLE
     shared, hot = shared_windows(docs, least_words, percent, stash)
     wanted = stash.keep(shared.select(F.col("id").alias("__id")).distinct(), "wanted")
-    texts = docs.join(if_small(wanted), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
+    texts = docs.join(by_id(wanted), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
     texts = stash.keep(texts, "texts")
     pairs = stash.keep(shared.filter("id > lead").select("lead", "id").distinct(), "pairs")
     found = stash.keep(_verify(pairs, texts, least_words, percent), "verified")

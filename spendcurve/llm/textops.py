@@ -67,9 +67,13 @@ class Chunk:
         self.n_docs = len(offsets) - 1
 
     def running(self, lower: bool) -> np.ndarray:
+        return self.running_of(_LOWER if lower else _RAW)
+
+    def running_of(self, values: np.ndarray) -> np.ndarray:
+        """Running sums of a polynomial over a value per byte."""
         _grow(len(self.data) + 1)
         out = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum((_LOWER if lower else _RAW)[self.data] * _powers[: len(self.data)], out=out[1:])
+        np.cumsum(values[self.data] * _powers[: len(self.data)], out=out[1:])
         return out
 
     def spans_hash(self, run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -117,12 +117,17 @@ class Shard:
 
 
 def range_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds lie under a value, by nested halving; 0 for null."""
+    """How many of the rising bounds lie under a value, by halving; 0 for null."""
     if not bounds:
         return F.lit(0)
-    k = len(bounds) // 2
-    high = range_of(value, bounds[k + 1 :]) + (k + 1) if bounds[k + 1 :] else F.lit(k + 1)
-    return F.when(value > bounds[k], high).otherwise(range_of(value, bounds[:k])).cast("int")
+    # one literal, however many bounds there are
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def halve(under: Column, step: Column) -> Column:
+        return F.when((under + step <= len(bounds)) & (F.get(listed, under + step - 1) < value), under + step).otherwise(under)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
 
 
 def write_tokens(

@@ -79,18 +79,38 @@ def test_chunks_hold_whole_documents():
 def test_encoder_equals_the_library_on_odd_white_space():
     coder = tokens.encoder(tokens.default_vocabulary())
     rng = random.Random(3)
-    bits = ["a,", "b.", "c!!", "d_", "a", " ", "\n", "\t", "'s", "é", "\xa0", "<|endoftext|>", "12", "\x1c", "日", "\x02"]
+    bits = ["a,", "b.", "c!!", "d_", "a", " ", " ", "\n", "\t", "\r\n", "'s", "é", "\xa0", "\u2003", "\u200b", "–", "の", "\u3000", "<|endoftext|>", "12", "\x1c", "日", "\x02", "\u0301"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", "word " * 5000]
     for text, ids in zip(texts, coder.encode(pa.array(texts))):
         assert ids.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_cache_bound_changes_no_result(monkeypatch):
+def test_table_bound_changes_no_result():
     texts = pa.array([t for _, t in corpus()])
     want = [x.tolist() for x in tokens.Encoder(tokens.default_vocabulary()).encode(texts)]
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
     small = tokens.Encoder(tokens.default_vocabulary())
-    assert [x.tolist() for k in range(len(texts)) for x in small.encode(texts.slice(k, 1))] == want
+    small.table = tokens.UnitTable(units=30, ids=100)
+    for _ in range(2):
+        assert [x.tolist() for k in range(len(texts)) for x in small.encode(texts.slice(k, 1))] == want
+
+
+def test_huge_units_are_not_kept():
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef0123456789") for _ in range(1 << 18)) + " end." for _ in range(4)]
+    for text, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    held = sum(getattr(coder.table, name).nbytes for name in ("check", "start", "count", "ids"))
+    assert coder.table.n_ids < 100 and held < 100_000
+
+
+def test_files_that_cut_otherwise_are_encoded_whole():
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not coder.by_units
+    texts = ["Some words, and  more.", "", "A\nb"]
+    assert [x.tolist() for x in coder.encode(pa.array(texts))] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_shard_gives_every_token_at_random():
@@ -134,6 +154,12 @@ def test_range_of_counts_bounds_below(spark):
     assert got == {v: sum(v > b for b in bounds) for v in range(25)}
 
 
+def test_ranges_of_thousands_of_bounds(spark):
+    bounds = list(range(0, 40_000, 10))
+    frame = spark.range(0, 40_000, 997)
+    assert all(r.k == sum(r.id > b for b in bounds) for r in frame.select("id", token_store.range_of(frame.id, bounds).alias("k")).collect())
+
+
 def check_packing(rows, capacity):
     by = collections.defaultdict(list)
     for r in rows:
