@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spendcurve.llm.common import BROADCAST_IDS, Stash, bounded_batches, if_small, table
+from spendcurve.llm.common import Stash, bounded_batches, by_id, table
 from spendcurve.llm.importance import importance_resample
 from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
@@ -59,26 +60,33 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (Jaccard similarity 0.8 or more of 5-word shingles) the document with the smallest id stays, once. Rows without an id all stay."""
+    """Of every group of near-duplicates (Jaccard similarity 0.8 or more of 5-word shingles) the document with the smallest id stays.
+
+    If that id has several rows, one of those with an equal text stays, that of the lowest hash of the other
+    columns; its different texts all stay. Rows without an id all stay.
+    """
     stash = Stash(spark, "near-dedup")
     kept = stash.keep(near_duplicates(docs, percent=NEAR).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
-    single, repeated = (stash.keep(kept.filter(which).select("doc_id"), name) for which, name in (("__rows = 1", "single"), ("__rows > 1", "repeated")))
-    out = docs.join(if_small(single), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    if repeated.isEmpty():
-        return out.select(*docs.columns)
-    once = docs.join(if_small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(once).select(*docs.columns)
+    stay = docs.filter("doc_id IS NOT NULL").join(by_id(kept), "doc_id")
+    out = stay.filter("__rows = 1").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    if kept.filter("__rows > 1").isEmpty():
+        return out
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    order = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    once = stay.filter("__rows > 1").withColumn("__at", F.row_number().over(order)).filter("__at = 1")
+    return out.unionByName(once.select(*docs.columns))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has too are cut out; a document of which nothing is left goes."""
+    """Passages that an earlier document has too are cut out; a document of which nothing is left goes. Rows without an id stay as they are."""
     stash = Stash(spark, "substring-dedup")
-    found = stash.keep(repeated_passages(docs).select("doc_id", "start", "end"), "passages")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    if found.count() <= BROADCAST_IDS:
-        spans = F.broadcast(spans)
-    cut = docs.join(spans, "doc_id", "left").select(*[c for c in docs.columns if c != "text"], removed(F.col("__spans"), F.col("text")).alias("text"), F.col("__spans").isNotNull().alias("__cut"))
-    return _with_text(cut, F.col("text")).filter(~F.col("__cut") | (F.length(F.trim("text")) > 0)).select(*docs.columns)
+    found = stash.keep(repeated_passages(docs).select("doc_id", "start", "end", "text_hash"), "passages")
+    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    named = docs.filter("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    cut = named.join(by_id(spans), ["doc_id", "text_hash"], "left")
+    cut = cut.select(*[c for c in docs.columns if c != "text"], removed(F.col("__spans"), F.col("text")).alias("text"), F.col("__spans").isNotNull().alias("__cut"))
+    left = _with_text(cut, F.col("text")).filter(~F.col("__cut") | (F.length(F.trim("text")) > 0)).select(*docs.columns)
+    return left.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
