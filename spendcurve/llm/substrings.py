@@ -1,12 +1,15 @@
 """Passages that repeat across documents, by compact windows.
 
-The Cartesian tree over a document's hashed shingles has one node for each shingle that is the minimum of a
-maximal window; the node's window (a, c, b) stands for all runs of shingles between a and b that hold c.
-A passage of `least_words` words with few enough changed words holds an unchanged run of `sure_run` shingles,
-whose minimum is a node on both sides with the same c. So the windows of that least length are kept, as
-the words from c on and up to c as far as half such a run, where the window reaches that far: one of
-both is shared for sure. Documents that share them are joined at the first one, aligned and verified on
-their words; what no verified passage then holds is joined anew with the next, and at last with all.
+Under one hash of the 5-word shingles, the Cartesian tree over a document has a node for each shingle that is
+the minimum of a maximal window; the node's window (a, c, b) stands for all runs of shingles between a and b
+that hold c. A passage of `least_words` words with few enough changed words holds an unchanged run of
+`sure_run` shingles, so the windows of that least length are kept. The windows of HASHES hashes are joined on
+their intervals: a joint window stands for the runs that have the same minima under every hash, and these
+minima with their distances are its signature. Both sides of a passage share the signatures of its sure run.
+
+Joint windows meet on signatures, each with the first document of its group, if their intervals have a
+run at the same place about the minima. Documents that meet are aligned and verified on their words; what no
+verified passage then holds is joined anew with the next, and at last with all.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
-from spendcurve.llm.textops import U64, Chunk, chunks, constants, ngrams, word_hashes
+from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, span_hasher, word_hashes
 
 SHINGLE = 5
+#: Hashes whose windows must agree.
+HASHES = 3
 #: Pairs of windows that are left for the last join at most while further rounds at least halve them.
 PAIRS = 2_000_000
 #: Aligned runs of equal shingles are one passage across gaps and shifts of at most this many shingles: two changed words.
@@ -99,78 +104,153 @@ def sure_run(least_words: int, percent: int) -> int:
     return max(best, 1)
 
 
-def windows(docs: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """(key, id, at): the words on either side of each compact window's c, from word `at` on."""
-    factor, shift = constants(1, 31)[0] | U64(1), constants(1, 32)[0]
+def joint_windows(every: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
+    """(range number, signature, at, to, first, last): the interval join of each range's windows under several hashes.
+
+    The runs of `least` members that start from `first` to `last` have the same minimum under every hash; all
+    minima lie from `at` to `to`, and the signature tells them and their distances.
+    """
+    factors, shifts = constants(hashes, 31) | U64(1), constants(hashes, 32)
+    found = []
+    for k in range(hashes):
+        which, a, c, b = compact_windows(every * factors[k] + shifts[k], low, high, least)
+        # the first run that has this minimum; every run of a range has one
+        found.append((np.maximum(a, c - least + 1), c))
+    starts = np.unique(np.concatenate([f for f, _ in found]))
+    none = np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return none, none.astype(U64), none, none, none, none
+    doc = np.searchsorted(high, starts, side="right")
+    inner = np.stack([c[np.searchsorted(f, starts, side="right") - 1] for f, c in found])
+    at, to = inner.min(axis=0), inner.max(axis=0)
+    last = np.append(starts[1:], len(every)) - 1
+    last = np.minimum(last, high[doc] - least)
+    signature = np.zeros(len(starts), dtype=U64)
+    for k in range(hashes):
+        signature = mix(signature + every[inner[k]] * factors[k] + (inner[k] - at).astype(U64))
+    return doc, signature, at, to, starts, last
+
+
+def _bits(first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """The run starts before a window's first minimum, from `first` to `last` ones of 0 to least - 1, as bits: 64 classes where there are more."""
+    shrink = -(-least // 63)
+    first, last = first // shrink, last // shrink
+    one = U64(1)
+    return (((one << (last - first + 1).astype(U64)) - one) << first.astype(U64)).view(np.int64)
+
+
+def windows(docs: DataFrame, least_words: int, percent: int, places: bool) -> DataFrame:
+    """(key, id, hash, runs) once for each signature of a document, or one row for each window with its words `at` to `to`.
+
+    `runs` has a bit for each place that a run of the window can start at, counted from the first minimum.
+    """
     run = sure_run(least_words, percent)
-    half = (run - 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for chunk in chunks(batch.column(1)):
                 words, first = word_hashes(chunk)
                 every, low, high = shingle_positions(words, first)
-                doc, a, c, b = compact_windows(every * factor + shift, low, high, run)
-                if len(doc):
-                    left, right = c - half >= a, c + half <= b
-                    at = np.concatenate([c[left] - half, c[right]])
-                    doc = np.concatenate([doc[left], doc[right]])
-                    keys = ngrams(words, half + SHINGLE)[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array((at - first[doc]).astype(np.int32))], names=["key", "id", "at"]
-                    )
-
-    return docs.mapInArrow(work, "key long, id long, at int")
+                some = np.flatnonzero(high > low)
+                doc, key, at, to, a, b = joint_windows(every, low[some], high[some], run)
+                doc = some[doc]
+                bits = _bits(at - b, at - a, run)
+                if not places:
+                    order = np.lexsort((key, doc))
+                    doc, key, bits = doc[order], key[order], bits[order]
+                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
+                    bits = np.bitwise_or.reduceat(bits, new) if len(new) else bits
+                    doc, key = doc[new], key[new]
+                own = chunk.first + doc
+                arrays = [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array(bits)]
+                if places:
+                    arrays += [pa.array((at - first[doc]).astype(np.int32)), pa.array((to - first[doc] + SHINGLE).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "runs", "at", "to"][: len(arrays)])
+
+    return docs.mapInArrow(work, "key long, id long, hash long, runs long" + (", at int, to int" if places else ""))
+
+
+def _lead() -> Column:
+    """The first member of a group: its id, its text's hash and its runs."""
+    return F.min(F.struct("id", "hash", "runs")).alias("lead")
 
 
 def shared_windows(docs: DataFrame, least_words: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(key, __salt, id, at, lead): the windows that several documents have, with the first of these; and the hot keys."""
-    every = windows(docs, least_words, percent)
-    groups = every.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"))
-    leads = stash.keep(groups.filter("lead < last").select("key", "lead", "n"), "leads")
+    """(key, __salt, id, hash, runs, at, to, lead): the windows that several documents have, with the first of these; and the hot keys."""
+    groups = windows(docs, least_words, percent, places=False).groupBy("key").agg(_lead(), F.max("id").alias("last"), F.count("*").alias("n"))
+    leads = stash.keep(groups.filter("lead.id < last").select("key", "lead", "n"), "leads")
     hot = stash.keep(hot_keys(leads, "key"), "hot")
+    every = windows(docs, least_words, percent, places=True)
     shared = salted(every, hot, "key", "id").join(spread(leads.drop("n"), hot, "key"), ["key", "__salt"])
     return stash.keep(shared, "shared"), hot
 
 
-def unexplained(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """The windows of so many words that lie in no passage found in their document."""
-    spans = found.select("id", "start", "end").distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    inside = F.exists("__spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + words <= s["end"]))
-    return rows.join(spans, "id", "left").filter(~F.coalesce(inside, F.lit(False))).select(*rows.columns)
+def _pairs(placed: DataFrame) -> DataFrame:
+    """The documents that have a run of a window at the same place as the lead of its group."""
+    meet = (F.col("lead.id") < F.col("id")) & (F.col("lead.runs").bitwiseAND(F.col("runs")) != 0)
+    return placed.filter(meet).select(F.col("lead.id").alias("lead"), F.col("lead.hash").alias("lead_hash"), "id", "hash").distinct()
+
+
+def unexplained(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows that lie in no passage found in their document."""
+    spans = found.select("id", "hash", "start", "end").distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    inside = F.exists("__spans", lambda s: (s["start"] <= F.col("at")) & (F.col("to") <= s["end"]))
+    return rows.join(spans, ["id", "hash"], "left").filter(~F.coalesce(inside, F.lit(False))).select(*rows.columns)
+
+
+#: Places to compare one by one; more are compared at once, by hashes of runs.
+FEW = 8
 
 
 def _runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start in y, start in x, length): y cut from the left into its longest runs of shingles that x also has in a row."""
+    """(start in y, start in x, length): y cut from the left into its longest runs of shingles that x also has in a row, the first of equal ones."""
     order = np.argsort(x, kind="stable")
     ranked = x[order]
     left, right = np.searchsorted(ranked, y, side="left"), np.searchsorted(ranked, y, side="right")
     there = np.flatnonzero(right > left).tolist()
+    hashers = None
     out = []
     done = 0
     for j in there:
         if j < done:
             continue
-        best, at = 0, 0
-        for i in order[left[j] : right[j]].tolist():
-            n, step = 1, 64
-            limit = min(len(x) - i, len(y) - j)
-            while n < limit:
-                m = min(limit, n + step)
-                same = x[i + n : i + m] == y[j + n : j + m]
-                if same.all():
-                    n, step = m, step * 2
-                else:
-                    n += int(np.argmin(same))
-                    break
-            if n > best:
-                best, at = n, i
+        places = order[left[j] : right[j]]
+        if len(places) > FEW:
+            hashers = hashers or (span_hasher(x), span_hasher(y))
+            length = _common(*hashers, places, j, len(x), len(y))
+            k = int(np.argmax(length))
+            at, best = int(places[k]), int(length[k])
+        else:
+            best, at = 0, 0
+            for i in places.tolist():
+                n, step = 1, 64
+                limit = min(len(x) - i, len(y) - j)
+                while n < limit:
+                    m = min(limit, n + step)
+                    same = x[i + n : i + m] == y[j + n : j + m]
+                    if same.all():
+                        n, step = m, step * 2
+                    else:
+                        n += int(np.argmin(same))
+                        break
+                if n > best:
+                    best, at = n, i
         out.append((j, at, best))
         done = j + best
     return out
 
 
+def _common(hash_x, hash_y, places: np.ndarray, j: int, n_x: int, n_y: int) -> np.ndarray:
+    """How far x from each of some places and y from j agree, by halving."""
+    low, high = np.ones(len(places), dtype=np.int64), np.minimum(n_x - places, n_y - j)
+    while (going := low < high).any():
+        mid = (low + high + 1) // 2
+        same = hash_x(places, places + mid) == hash_y(np.full(len(places), j), j + mid)
+        low, high = np.where(going & same, mid, low), np.where(going & ~same, mid - 1, high)
+    return low
+
+
 def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in x, end in x, similarity) of the passages of y, in words, that x has too.
 
@@ -224,88 +304,102 @@ def _stretches(x: np.ndarray, y: np.ndarray, chain: np.ndarray, least_words: int
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """Align the pairs (lead, id); one row per passage."""
-    schema = "lead long, id long, start long, end long, lead_start long, lead_end long, similarity double"
+    """Align the pairs (lead, lead_hash, id, hash); one row per passage."""
+    schema = "lead long, id long, hash long, start long, end long, lead_start long, lead_end long, similarity double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             sides = []
-            for column in (batch.column(2), batch.column(3)):
+            for column in (batch.column(3), batch.column(4)):
                 own: list[np.ndarray] = []
                 for chunk in chunks(column):
                     every, low, high = shingle_positions(*word_hashes(chunk))
                     own += [every[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                 sides.append(own)
-            for lead, doc, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *sides, strict=True):
-                rows += [(lead, doc, *p) for p in passages(x, y, least_words, percent)]
-            kinds = [pa.int64()] * 6 + [pa.float64()]
-            names = ["lead", "id", "start", "end", "lead_start", "lead_end", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            for lead, doc, its, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), *sides, strict=True):
+                rows += [(lead, doc, its, *p) for p in passages(x, y, least_words, percent)]
+            kinds = [pa.int64()] * 7 + [pa.float64()]
+            names = ["lead", "id", "hash", "start", "end", "lead_start", "lead_end", "similarity"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
-    left = texts.select(F.col("id").alias("lead"), F.col("text").alias("x"))
-    right = texts.select("id", F.col("text").alias("y"))
-    return matched(matched(pairs, "lead", "id", left), "id", "lead", right).select("lead", "id", "x", "y").mapInArrow(work, schema)
+    left = texts.select(F.col("id").alias("lead"), F.col("hash").alias("__hash"), F.col("text").alias("x"))
+    right = texts.select("id", F.col("hash").alias("__hash"), F.col("text").alias("y"))
+    # joined on ids, of which few have several texts
+    met = matched(pairs, "lead", "id", left).filter("lead_hash = __hash").drop("__hash")
+    met = matched(met, "id", "lead", right).filter("hash = __hash")
+    return met.select("lead", "id", "hash", "x", "y").mapInArrow(work, schema)
 
 
 def _first_ones(late: DataFrame, found: DataFrame) -> DataFrame:
     """The late passages that lie in no other passage of their document with an earlier one."""
-    spans = late.unionByName(found).join(late.select("id").distinct(), "id", "left_semi")
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("lead", "start", "end")).alias("__spans"))
+    spans = late.unionByName(found).join(late.select("id", "hash").distinct(), ["id", "hash"], "left_semi")
+    spans = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("lead", "start", "end")).alias("__spans"))
     inside = F.exists("__spans", lambda s: (s["lead"] < F.col("lead")) & (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    return late.join(spans, "id").filter(~inside).drop("__spans")
+    return late.join(spans, ["id", "hash"]).filter(~inside).drop("__spans")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:
-    """One row per passage that an earlier document has too: id, match_id, start, end, match_start, match_end, n_words, similarity.
+    """One row per passage that an earlier document has too: id, text_hash, match_id, start, end, match_start, match_end, n_words, similarity.
 
     Positions count words from 0, ends are exclusive; `match_id` is smaller than the id. Words are cut at
     blanks and lower-cased (A-Z). A passage has at least `least_words` words and a Jaccard similarity of
     its 5-word shingles of at least `percent`. Copies of a passage are all joined to the document that has
     it first, not to each other; a passage that repeats within one document alone is not returned.
 
-    Null, empty and short texts have no passages. Rows without an id are left out; of rows with the same id
-    one text is looked at. An empty table gives an empty result; other columns are not returned.
+    Null, empty and short texts have no passages. Rows without an id are left out. Of rows with the same id
+    every different text is looked at, and `text_hash` (xxhash64) tells whose words are counted; passages
+    that only texts of one id share are not returned. An empty table gives an empty result; other columns
+    are not returned.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     stash = Stash(spark, "substrings")
-    docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL")
-    words = (sure_run(least_words, percent) - 1) // 2 + SHINGLE
+    docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL").withColumn("__hash", F.xxhash64("__text"))
     shared, hot = shared_windows(docs, least_words, percent, stash)
-    wanted = stash.keep(shared.select(F.col("id").alias("__id")).distinct(), "wanted")
-    texts = docs.join(by_id(wanted), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("text")).select(F.col("__id").alias("id"), "text")
-    texts = stash.keep(texts, "texts")
-    pairs = stash.keep(shared.filter("id > lead").select("lead", "id").distinct(), "pairs")
-    found = stash.keep(_verify(pairs, texts, least_words, percent), "verified")
-    members = shared.select("key", "__salt", "id").distinct()
+    wanted = shared.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    # equal rows are one text
+    texts = docs.join(by_id(wanted), ["__id", "__hash"], "left_semi").groupBy("__id", "__hash").agg(F.first("__text").alias("text"))
+    texts = stash.keep(texts.toDF("id", "hash", "text"), "texts")
+    members = shared.select("key", "__salt", "id", "hash", "runs").distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    left = stash.keep(unexplained(shared.filter("id > lead").select("key", "__salt", "id", "at"), found, words).select("key", "__salt", "id").distinct(), "left")
+    placed, found, pairs, led = shared, None, None, None
     before, step = math.inf, 0
     while True:
+        more = _pairs(placed)
+        if pairs is not None:
+            more = more.join(pairs, ["lead", "lead_hash", "id", "hash"], "left_anti")
+        more = stash.keep(more, f"pairs{step}")
+        verified = _verify(more, texts, least_words, percent)
+        found = stash.keep(verified if found is None else found.unionByName(verified), f"found{step}")
+        pairs = more if pairs is None else pairs.unionByName(more)
+        rest = unexplained(placed.filter("lead.id < id").select("key", "__salt", "id", "hash", "runs", "at", "to"), found)
+        left = stash.keep(rest, f"left{step}")
+        if step:
+            stash.drop(f"found{step - 1}", f"left{step - 1}", f"placed{step}")
+        waiting = left.select("key", "__salt", "id", "hash", "runs").distinct()
         # each is left to be compared with all earlier documents of its group
-        many = left.groupBy("key").agg(F.count("*").alias("m")).join(sizes, "key").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        many = waiting.groupBy("key").agg(F.count("*").alias("m")).join(sizes, "key").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
         if not many or many <= PAIRS or 2 * many > before:
             break
         before, step = many, step + 1
-        first = left.groupBy("key").agg(F.min("id").alias("lead"))
-        placed = shared.drop("lead").join(left, ["key", "__salt", "id"], "left_semi").join(spread(first, hot, "key"), ["key", "__salt"]).filter("id > lead")
-        placed = stash.keep(placed, f"placed{step}")
-        more = stash.keep(placed.select("lead", "id").distinct().join(pairs, ["lead", "id"], "left_anti"), f"pairs{step}")
-        found = stash.keep(found.unionByName(_verify(more, texts, least_words, percent)), f"verified{step}")
-        pairs = pairs.unionByName(more)
-        left = stash.keep(unexplained(placed, found, words).select("key", "__salt", "id").distinct(), f"left{step}")
-    if many:
-        earlier = spread(members.select("key", F.col("id").alias("lead")), hot, "key")
-        more = left.join(earlier, ["key", "__salt"]).filter("lead < id").select("lead", "id").distinct()
-        more = stash.keep(more.join(pairs, ["lead", "id"], "left_anti"), "last_pairs")
-        late = stash.keep(_verify(more, texts, least_words, percent), "last_verified")
+        first = waiting.groupBy("key").agg(_lead())
+        placed = stash.keep(left.join(spread(first, hot, "key"), ["key", "__salt"]), f"placed{step}")
+        # the new leads themselves wait for the last join
+        own = stash.keep(placed.filter("lead.id = id").select("key", "__salt", "id", "hash", "runs").distinct(), f"led{step}")
+        led = own if led is None else led.unionByName(own)
+    if many or led is not None:
+        waiting = waiting if led is None else waiting.unionByName(led).distinct()
+        earlier = spread(members.select("key", F.struct("id", "hash", "runs").alias("lead")), hot, "key")
+        more = _pairs(waiting.join(earlier, ["key", "__salt"]))
+        more = stash.keep(more.join(pairs, ["lead", "lead_hash", "id", "hash"], "left_anti"), "last_pairs")
+        late = stash.keep(_verify(more, texts, least_words, percent), "last_found")
         found = found.unionByName(_first_ones(late, found))
-    for name in ("texts", "shared"):
-        stash.drop(name)
+    stash.drop("leads", "hot", "shared", "texts")
     return found.distinct().select(
-        F.col("id").alias(id_col), F.col("lead").alias("match_id"), "start", "end", F.col("lead_start").alias("match_start"), F.col("lead_end").alias("match_end"), (F.col("end") - F.col("start")).alias("n_words"), "similarity"
-    )
+        F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("lead").alias("match_id"), "start", "end",
+        F.col("lead_start").alias("match_start"), F.col("lead_end").alias("match_end"), (F.col("end") - F.col("start")).alias("n_words"), "similarity",
+    )
 
 
 def without_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:

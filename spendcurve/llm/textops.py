@@ -7,7 +7,7 @@ have 64 bits and are the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +134,15 @@ def word_hashes(chunk: Chunk, lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return chunk.spans_hash(chunk.running(lower), starts, ends), first
 
 
+def span_hasher(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function (starts, ends) -> hash of these spans of 64-bit numbers, the same wherever they stand."""
+    _grow(len(values) + 1)
+    run = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(mix(values) * _powers[: len(values)], out=run[1:])
+    inverses = _inverses
+    return lambda starts, ends: mix((run[ends] - run[starts]) * inverses[starts])
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; the last n - 1 positions are missing."""
     if len(words) < n:
