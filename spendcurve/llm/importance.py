@@ -156,8 +156,6 @@ class Resampler:
 
     def kept(self, id_col: str, text_col: str) -> Column:
         """A boolean column: whether the sample holds a row; the same as importance_resample says."""
-        if self.key is None:
-            return F.lit(True)
         model, key, key_id, seed = self.model, self.key, self.key_id, self.seed
 
         @F.arrow_udf("boolean")
@@ -166,8 +164,9 @@ class Resampler:
             named = np.asarray(ids.fill_null(0))
             for chunk in chunks(texts):
                 own = named[chunk.first : chunk.first + chunk.n_docs]
-                keys = model.weights(chunk)[0] + gumbel(own, seed)
-                out.append((keys > key) | ((keys == key) & (own <= key_id)))
+                weights, counts = model.weights(chunk)
+                keys = weights + gumbel(own, seed)
+                out.append(counts > 0 if key is None else (keys > key) | ((keys == key) & (own <= key_id)))
             return pa.array(np.concatenate(out) if out else np.zeros(0, dtype=bool))
 
         return keep(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
@@ -194,7 +193,8 @@ def importance_resample(
     A text without tokens (null, empty, blank) has log weight and key null and is not kept. Rows with the
     same id and text share a key and a fate; a null id draws its noise as 0 does. Without labelled good
     rows all weights are 0; without good or without bad labels all rows with tokens are kept. Null labels
-    are left out; of several labels of one id the highest counts. Other columns are not returned.
+    are left out; of several labels of one id the highest counts, of several rows of a labelled id the lowest
+    weight counts for the cutoff. Other columns are not returned.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -225,7 +225,8 @@ def importance_resample(
             known = scored.join(others, "id")
         else:
             known = source.join(others.withColumnRenamed("id", "__id"), "__id", "left_semi").select("__id", "__text").mapInArrow(score, columns).join(others, "id")
-        fitted = known.filter("key IS NOT NULL").select("log_weight", "quality").limit(4 * max_labelled).collect()
+        # one row for each labelled id, of which there are max_labelled at most
+        fitted = known.filter("key IS NOT NULL").groupBy("id").agg(F.min("log_weight").alias("log_weight"), F.first("quality").alias("quality")).collect()
         good = np.array([r.quality == 1 for r in fitted], dtype=bool)
         if good.any() and not good.all():
             cutoff = best_cutoff(np.array([r.log_weight for r in fitted]), good)

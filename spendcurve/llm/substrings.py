@@ -1,15 +1,15 @@
 """Passages that repeat across documents, by compact windows.
 
-Under one hash of the 5-word shingles, the Cartesian tree over a document has a node for each shingle that is
-the minimum of a maximal window; the node's window (a, c, b) stands for all runs of shingles between a and b
-that hold c. A passage of `least_words` words with few enough changed words holds an unchanged run of
-`sure_run` shingles, so the windows of that least length are kept. The windows of HASHES hashes are joined on
-their intervals: a joint window stands for the runs that have the same minima under every hash, and these
-minima with their distances are its signature. Both sides of a passage share the signatures of its sure run.
-
-Joint windows meet on signatures, each with the first document of its group, if their intervals have a
-run at the same place about the minima. Documents that meet are aligned and verified on their words; what no
-verified passage then holds is joined anew with the next, and at last with all.
+The Cartesian tree over a document's hashed shingles has one node for each shingle that is the minimum of a
+maximal window; the node's window (a, c, b) stands for all runs of shingles between a and b that hold c.
+A passage of `least_words` words with few enough changed words holds an unchanged run of `sure_run` shingles,
+whose minimum is a node on both sides with the same c. So the windows of that least length are kept, under
+the words from c on and up to c as far as half such a run, where the window reaches that far: one of
+both is shared for sure.
+
+Windows that share such words meet with the first document of their group, if their intervals have a run at
+the same place about their words. Documents that meet are aligned and verified on their words; what no verified
+passage then holds is joined anew with the next, and at last with all.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
-from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, span_hasher, word_hashes
+from spendcurve.llm.textops import U64, Chunk, chunks, constants, ngrams, span_hasher, word_hashes
 
 SHINGLE = 5
-#: Hashes whose windows must agree.
-HASHES = 3
 #: Pairs of windows that are left for the last join at most while further rounds at least halve them.
 PAIRS = 2_000_000
 #: Aligned runs of equal shingles are one passage across gaps and shifts of at most this many shingles: two changed words.
@@ -104,35 +102,8 @@ def sure_run(least_words: int, percent: int) -> int:
     return max(best, 1)
 
 
-def joint_windows(every: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
-    """(range number, signature, at, to, first, last): the interval join of each range's windows under several hashes.
-
-    The runs of `least` members that start from `first` to `last` have the same minimum under every hash; all
-    minima lie from `at` to `to`, and the signature tells them and their distances.
-    """
-    factors, shifts = constants(hashes, 31) | U64(1), constants(hashes, 32)
-    found = []
-    for k in range(hashes):
-        which, a, c, b = compact_windows(every * factors[k] + shifts[k], low, high, least)
-        # the first run that has this minimum; every run of a range has one
-        found.append((np.maximum(a, c - least + 1), c))
-    starts = np.unique(np.concatenate([f for f, _ in found]))
-    none = np.zeros(0, dtype=np.int64)
-    if not len(starts):
-        return none, none.astype(U64), none, none, none, none
-    doc = np.searchsorted(high, starts, side="right")
-    inner = np.stack([c[np.searchsorted(f, starts, side="right") - 1] for f, c in found])
-    at, to = inner.min(axis=0), inner.max(axis=0)
-    last = np.append(starts[1:], len(every)) - 1
-    last = np.minimum(last, high[doc] - least)
-    signature = np.zeros(len(starts), dtype=U64)
-    for k in range(hashes):
-        signature = mix(signature + every[inner[k]] * factors[k] + (inner[k] - at).astype(U64))
-    return doc, signature, at, to, starts, last
-
-
 def _bits(first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
-    """The run starts before a window's first minimum, from `first` to `last` ones of 0 to least - 1, as bits: 64 classes where there are more."""
+    """Places from `first` to `last` out of 0 to least - 1 as bits; in 63 classes where there are more."""
     shrink = -(-least // 63)
     first, last = first // shrink, last // shrink
     one = U64(1)
@@ -140,11 +111,14 @@ def _bits(first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, least_words: int, percent: int, places: bool) -> DataFrame:
-    """(key, id, hash, runs) once for each signature of a document, or one row for each window with its words `at` to `to`.
+    """(key, id, hash, runs) once for each key of a document, or with `at` one row for each window: its key's words start there.
 
-    `runs` has a bit for each place that a run of the window can start at, counted from the first minimum.
+    A key is the words on either side of a window's c; `runs` tells how far before these the runs start
+    that lie in the window and hold them and c.
     """
+    factor, shift = constants(1, 31)[0] | U64(1), constants(1, 32)[0]
     run = sure_run(least_words, percent)
+    half = (run - 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,23 +126,30 @@ def windows(docs: DataFrame, least_words: int, percent: int, places: bool) -> Da
             for chunk in chunks(batch.column(1)):
                 words, first = word_hashes(chunk)
                 every, low, high = shingle_positions(words, first)
-                some = np.flatnonzero(high > low)
-                doc, key, at, to, a, b = joint_windows(every, low[some], high[some], run)
-                doc = some[doc]
-                bits = _bits(at - b, at - a, run)
+                doc, a, c, b = compact_windows(every * factor + shift, low, high, run)
+                if not len(doc):
+                    continue
+                early, late = np.maximum(a, c - run + 1), np.minimum(c, b - run + 1)
+                left, right = c - half >= a, c + half <= b
+                at = np.concatenate([c[left] - half, c[right]])
+                before = c - half
+                bits = np.concatenate(
+                    [_bits((before - np.minimum(late, before))[left], (before - early)[left], run), _bits((c - late)[right], (c - np.maximum(early, c + half - run + 1))[right], run)]
+                )
+                doc = np.concatenate([doc[left], doc[right]])
+                key = ngrams(words, half + SHINGLE)[at]
                 if not places:
                     order = np.lexsort((key, doc))
                     doc, key, bits = doc[order], key[order], bits[order]
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
-                    bits = np.bitwise_or.reduceat(bits, new) if len(new) else bits
-                    doc, key = doc[new], key[new]
+                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+                    doc, key, bits = doc[new], key[new], np.bitwise_or.reduceat(bits, new)
                 own = chunk.first + doc
                 arrays = [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array(bits)]
                 if places:
-                    arrays += [pa.array((at - first[doc]).astype(np.int32)), pa.array((to - first[doc] + SHINGLE).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "runs", "at", "to"][: len(arrays)])
+                    arrays.append(pa.array((at - first[doc]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "runs", "at"][: len(arrays)])
 
-    return docs.mapInArrow(work, "key long, id long, hash long, runs long" + (", at int, to int" if places else ""))
+    return docs.mapInArrow(work, "key long, id long, hash long, runs long" + (", at int" if places else ""))
 
 
 def _lead() -> Column:
@@ -177,7 +158,7 @@ def _lead() -> Column:
 
 
 def shared_windows(docs: DataFrame, least_words: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(key, __salt, id, hash, runs, at, to, lead): the windows that several documents have, with the first of these; and the hot keys."""
+    """(key, __salt, id, hash, runs, at, lead): the windows that several documents have, with the first of these; and the hot keys."""
     groups = windows(docs, least_words, percent, places=False).groupBy("key").agg(_lead(), F.max("id").alias("last"), F.count("*").alias("n"))
     leads = stash.keep(groups.filter("lead.id < last").select("key", "lead", "n"), "leads")
     hot = stash.keep(hot_keys(leads, "key"), "hot")
@@ -192,10 +173,10 @@ def _pairs(placed: DataFrame) -> DataFrame:
     return placed.filter(meet).select(F.col("lead.id").alias("lead"), F.col("lead.hash").alias("lead_hash"), "id", "hash").distinct()
 
 
-def unexplained(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows that lie in no passage found in their document."""
+def unexplained(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """The windows whose so many words lie in no passage found in their document."""
     spans = found.select("id", "hash", "start", "end").distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    inside = F.exists("__spans", lambda s: (s["start"] <= F.col("at")) & (F.col("to") <= s["end"]))
+    inside = F.exists("__spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + words <= s["end"]))
     return rows.join(spans, ["id", "hash"], "left").filter(~F.coalesce(inside, F.lit(False))).select(*rows.columns)
 
 
@@ -356,6 +337,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     stash = Stash(spark, "substrings")
     docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL").withColumn("__hash", F.xxhash64("__text"))
+    words = (sure_run(least_words, percent) - 1) // 2 + SHINGLE
     shared, hot = shared_windows(docs, least_words, percent, stash)
     wanted = shared.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
     # equal rows are one text
@@ -373,7 +355,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         verified = _verify(more, texts, least_words, percent)
         found = stash.keep(verified if found is None else found.unionByName(verified), f"found{step}")
         pairs = more if pairs is None else pairs.unionByName(more)
-        rest = unexplained(placed.filter("lead.id < id").select("key", "__salt", "id", "hash", "runs", "at", "to"), found)
+        rest = unexplained(placed.filter("lead.id < id").select("key", "__salt", "id", "hash", "runs", "at"), found, words)
         left = stash.keep(rest, f"left{step}")
         if step:
             stash.drop(f"found{step - 1}", f"left{step - 1}", f"placed{step}")

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, ascii_lower
 
-TREES, DEPTH, BINS = 10, 3, 16
+TREES, DEPTH, BINS = 9, 3, 16
 SHRINK, RIDGE = 0.3, 1.0
-#: Host suffixes (last labels) that have statistics of their own, at most: the most frequent ones.
-SUFFIXES = 4096
+#: Parts that hosts are dealt into: a training URL's suffix rate comes from the hosts of the other parts.
+FOLDS = 5
+#: Every tree leaves out each feature whose number, added to the tree's, has this divisor, so that no feature decides alone.
+LEFT_OUT = 3
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "has_fragment", "suffix_rate", "file_suffix",
+    "segment_length", "segment_code",
 )
 
 
@@ -47,6 +50,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         F.lit(0.0),
         lambda s, c: s + (size - F.length(F.replace(url, c))) * F.log2(F.greatest(size - F.length(F.replace(url, c)), F.lit(1)).cast("double")),
     )
+    segment = F.regexp_extract(path, "^/([^/]*)", 1)
+    codes = F.aggregate(F.split(segment, ""), F.lit(0), lambda s, c: s + F.ascii(c))
     file = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     return {
         "url_length": size,
@@ -59,6 +64,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "entropy": F.when(size > 0, F.log2(size.cast("double")) - share / size).otherwise(0),
         "parameters": F.when(F.length(query) > 0, 1 + F.length(F.regexp_replace(query, "[^&]", ""))).otherwise(0),
         "has_fragment": F.contains(url, F.lit("#")).cast("int"),
+        "segment_length": F.length(segment),
+        "segment_code": F.when(F.length(segment) > 0, codes / F.length(segment)).otherwise(0),
         "file_suffix": F.when(F.length(file) > 0, 2).when(F.endswith(path, F.lit("/")), 1).otherwise(0),
     }
 
@@ -93,10 +100,15 @@ class Tree:
         return F.when(F.col(name) > edge, self.score(2 * at + 1)).otherwise(self.score(2 * at))
 
 
-def _best_split(sums: dict[str, list[tuple[float, float]]]) -> tuple[float, str, int] | None:
+def tree_features(number: int) -> list[str]:
+    """The features that a tree may split on."""
+    return [f for k, f in enumerate(FEATURES) if (k + number) % LEFT_OUT]
+
+
+def _best_split(sums: dict[str, list[tuple[float, float]]], features: list[str]) -> tuple[float, str, int] | None:
     """The split of a leaf with the highest gain; ties go to the first feature and the lowest bin."""
     best = None
-    for name in FEATURES:
+    for name in features:
         cells = sums.get(name)
         if not cells:
             continue
@@ -121,7 +133,8 @@ def train(binned: DataFrame) -> tuple[float, list[Tree]]:
     if blocked in (0, n):
         return prior, []
     trees: list[Tree] = []
-    for _ in range(TREES):
+    for number in range(TREES):
+        features = tree_features(number)
         margin = F.lit(prior)
         for tree in trees:
             margin = margin + tree.score()
@@ -129,34 +142,34 @@ def train(binned: DataFrame) -> tuple[float, list[Tree]]:
         table = binned.withColumn("g", F.col("blocked") - F.col("n") * chance).withColumn("h", F.col("n") * chance * (1 - chance))
         tree = Tree({}, {})
         for level in range(DEPTH):
-            cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in FEATURES])).alias("c")
+            cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in features])).alias("c")
             rows = table.select(tree.node().alias("leaf"), "g", "h", cells).groupBy("leaf", "c.f", "c.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             leaves: dict[int, dict[str, list[tuple[float, float]]]] = {}
             for r in rows:
                 if r.leaf >= 2**level:
                     leaves.setdefault(r.leaf, {}).setdefault(r.f, [(0.0, 0.0)] * BINS)[r.bin] = (r.g, r.h)
             for leaf, sums in leaves.items():
-                found = _best_split(sums)
+                found = _best_split(sums, features)
                 if not found:
-                    g, h = (sum(c[k] for c in sums[FEATURES[0]]) for k in (0, 1))
+                    g, h = (sum(c[k] for c in sums[features[0]]) for k in (0, 1))
                     tree.values[leaf] = -0.0 if h + RIDGE == 0 else SHRINK * g / (h + RIDGE)
                     continue
                 _, name, edge = found
                 tree.splits[leaf] = (name, edge)
                 for child, cut in ((2 * leaf, sums[name][: edge + 1]), (2 * leaf + 1, sums[name][edge + 1 :])):
                     tree.values[child] = SHRINK * sum(c[0] for c in cut) / (sum(c[1] for c in cut) + RIDGE)
-        if not tree.splits:
-            break
-        trees.append(tree)
+        if tree.splits:
+            trees.append(tree)
     return prior, trees
 
 
-def filter_urls(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per input row: id, host, path, rule, verdict and score, the trees' chance of block.
+def filter_urls(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", hold_out: int | None = None) -> DataFrame:
+    """One row per input row: id, host, path, rule, verdict, score (the trees' chance of block) and the host's fold.
 
     `rules` maps host/path to allow or block; a rule also fits subdomains and longer paths, the longest
     that fits wins, and where none does the trees decide: block over a chance of one half. All URLs that
-    a rule fits are training rows. A null url, or one without ://, has an empty host and path and is judged
+    a rule fits are training rows, but those of the fold `hold_out`, on which the trees can then be measured.
+    A training URL's suffix rate, the share of blocked URLs under its last label, is taken from other folds. A null url, or one without ://, has an empty host and path and is judged
     by the trees. Repeated rows are judged one by one; a null id stays null. Without training rows, or with
     one verdict among them, the prior decides; an empty table gives an empty result.
     """
@@ -167,15 +180,24 @@ def filter_urls(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", u
     cut = pages.select("*", host.alias("host"), path.alias("path"))
     cut = cut.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__suffix", F.substring_index("host", ".", -1))
     verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else F.lit(None).cast("map<string,string>")
+    cut = cut.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
     cut = cut.withColumn("__blocked", (verdicts[F.col("rule")] == "block").cast("int"))
     named = lexical(F.col("__url"), F.col("host"), F.col("path"))
     cut = stash.keep(cut.select("*", *[c.cast("double").alias(f"__{n}") for n, c in named.items()]), "features")
 
-    rates = cut.filter("rule IS NOT NULL").groupBy("__suffix").agg(F.count("*").alias("n"), F.sum("__blocked").alias("b"))
-    rates = rates.orderBy(F.desc("n"), "__suffix").limit(SUFFIXES).select("__suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("__rate"))
-    full = cut.join(F.broadcast(rates), "__suffix", "left").withColumn("__suffix_rate", F.coalesce("__rate", F.lit(0.5)))
+    labels = cut.filter("rule IS NOT NULL" if hold_out is None else f"rule IS NOT NULL AND fold <> {int(hold_out)}")
+    # a rule's host ends the host of a URL that it fits, so there are no more suffixes here than rules
+    counted = labels.groupBy("__suffix", "fold").agg(F.count("*").alias("n"), F.sum("__blocked").alias("b"))
+    whole = F.struct(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    totals = counted.groupBy("__suffix").agg(whole.alias("all"), F.collect_list(F.struct("fold", "n", "b")).alias("parts"))
+    rate = lambda n, b: (b + 1) / (n + 2)
+    others = F.transform("parts", lambda x: F.struct(x["fold"].alias("fold"), rate(F.col("all.n") - x["n"], F.col("all.b") - x["b"]).alias("rate")))
+    rates = totals.select("__suffix", rate(F.col("all.n"), F.col("all.b")).alias("__whole"), F.map_from_entries(others).alias("__others"))
+    trains = F.col("rule").isNotNull() if hold_out is None else F.col("rule").isNotNull() & (F.col("fold") != hold_out)
+    own_rate = F.when(trains, F.col("__others")[F.col("fold")]).otherwise(F.col("__whole"))
+    full = cut.join(F.broadcast(rates), "__suffix", "left").withColumn("__suffix_rate", F.coalesce(own_rate, F.lit(0.5)))
     marks = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    labelled = full.filter("rule IS NOT NULL")
+    labelled = full.filter(trains)
     edges = labelled.agg(*[F.percentile_approx(f"__{f}", marks, 1000).alias(f) for f in FEATURES]).first()
     above = {f: sorted(set(edges[f] or [])) for f in FEATURES}
 
@@ -190,7 +212,7 @@ def filter_urls(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", u
     margin = F.lit(prior)
     for tree in trees:
         margin = margin + tree.score()
-    scored = full.select("__id", "host", "path", "rule", *[bins(f) for f in FEATURES]).withColumn("score", 1 / (1 + F.exp(-margin)))
+    scored = full.select("__id", "host", "path", "rule", "fold", *[bins(f) for f in FEATURES]).withColumn("score", 1 / (1 + F.exp(-margin)))
     own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     out = scored.withColumn("verdict", F.coalesce(verdicts[F.col("rule")], own))
-    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", "verdict", "score")
+    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", "verdict", "score", "fold")

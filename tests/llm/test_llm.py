@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from spendcurve.llm import importance, minhash, packing, pieces, pitman_yor, quality_rules, substrings, textops, token_store, tokens, topk, url_filter
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -461,6 +463,49 @@ def test_a_line_that_the_first_document_repeats_loses_no_passage(spark):
     assert found_pairs(spark, rows) == {(2 * k, 2 * k + 1) for k in range(200)}
 
 
+def test_quoted_parts_in_the_first_document_lose_no_passage(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):  # the first document has the passage and quotes parts of it beside
+        words = sentence(rng, 55).split(" ")
+        quotes = [" ".join(words[a : a + 14]) for a in (0, 12, 25, 40)]
+        rows.append((2 * k, " ".join(sentence(rng, 20) + " " + q for q in quotes[:2]) + " " + sentence(rng, 9) + " " + " ".join(words) + " " + " ".join(sentence(rng, 20) + " " + q for q in quotes[2:])))
+        rows.append((2 * k + 1, sentence(rng, 30) + " " + " ".join(words) + " " + sentence(rng, 30)))
+    assert found_pairs(spark, rows) == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
+def test_every_text_of_an_id_is_looked_at(spark):
+    rng = random.Random(13)
+    one, two = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, one + " " + sentence(rng, 20)), (1, two + " " + sentence(rng, 20)), (2, sentence(rng, 10) + " " + two), (3, one), (3, sentence(rng, 15) + " " + two), (3, one), (None, one)]
+    frame = spark.createDataFrame(rows, EMPTY)
+    hashes = {r.h: r.text for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    found = substrings.repeated_passages(frame).collect()
+    got = {(r.match_id, r.doc_id, rows.index((r.doc_id, hashes[r.text_hash]))) for r in found}
+    assert got == {(1, 2, 2), (1, 3, 3), (1, 3, 4)} or got == {(1, 2, 2), (1, 3, 3), (1, 3, 4), (2, 3, 4)}
+
+
+def test_repetitive_texts_align_like_plain_search():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        x, y = (rng.integers(0, 3, int(rng.integers(1, 80))).astype(np.uint64) for _ in range(2))
+        want, j = [], 0
+        while j < len(y):
+            lengths = []
+            for i in range(len(x)):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                lengths.append(n)
+            best = max(lengths)
+            if best:
+                want.append((j, lengths.index(best), best))
+            j += max(best, 1)
+        assert substrings._runs(x, y) == want
+    x = np.tile(np.append(np.zeros(100), 1), 300).astype(np.uint64)
+    assert substrings._runs(x, np.tile(np.append(np.zeros(100), 2), 100).astype(np.uint64))[0] == (0, 0, 100)
+
+
 def test_words_are_cut_out_of_a_text():
     text = " Alpha  beta\ngamma délta end "
     assert substrings.without_words(text, [(1, 3)]) == "Alpha délta end"
@@ -505,6 +550,82 @@ def test_url_rules_and_trees(spark):
     assert [r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(1, "x://y/z")], schema), RULES).collect()] == ["allow"]
 
 
+def brute_trees(rows):
+    """Margins of boosted trees over plain rows (bins by feature, blocked), by exhaustive split search."""
+    n, blocked = len(rows), sum(y for _, y in rows)
+    margins = [math.log((blocked + 1) / (n - blocked + 1))] * n
+    gain_of = lambda g, h: g * g / (h + url_filter.RIDGE)
+    for number in range(url_filter.TREES):
+        features = url_filter.tree_features(number)
+        p = [1 / (1 + math.exp(-m)) for m in margins]
+        grads = [(y - q, q * (1 - q)) for (_, y), q in zip(rows, p)]
+        leaves, values, split = [list(range(n))], None, False
+        add = [0.0] * n
+        for _ in range(url_filter.DEPTH):
+            after = []
+            for leaf in leaves:
+                g, h = (sum(grads[i][k] for i in leaf) for k in (0, 1))
+                best = None
+                for f in features:
+                    for cut in range(url_filter.BINS - 1):
+                        left = [i for i in leaf if rows[i][0][f] <= cut]
+                        lg, lh = (sum(grads[i][k] for i in left) for k in (0, 1))
+                        if lh >= 1e-6 and h - lh >= 1e-6:
+                            gain = round(gain_of(lg, lh) + gain_of(g - lg, h - lh) - gain_of(g, h), 6)
+                            if gain > 1e-3 and (best is None or gain > best[0]):
+                                best = (gain, f, cut)
+                parts = [leaf] if best is None else [[i for i in leaf if (rows[i][0][best[1]] <= best[2]) == side] for side in (True, False)]
+                split = split or best is not None
+                for part in parts:
+                    value = url_filter.SHRINK * sum(grads[i][0] for i in part) / (sum(grads[i][1] for i in part) + url_filter.RIDGE)
+                    for i in part:
+                        add[i] = value
+                if best:
+                    after += parts
+            leaves = after
+        if split:
+            margins = [m + a for m, a in zip(margins, add)]
+    return margins
+
+
+def test_trees_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TREES", 3)
+    monkeypatch.setattr(url_filter, "BINS", 4)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(120):
+        bins = {f: rng.randrange(4) for f in url_filter.FEATURES}
+        rows.append((bins, int(bins["depth"] + bins["entropy"] > 3 or rng.random() < 0.1)))
+    names = list(url_filter.FEATURES)
+    frame = spark.createDataFrame([(k, *[b[f] for f in names], 1, y) for k, (b, y) in enumerate(rows)], "k int, " + ", ".join(f"{f} int" for f in names) + ", n long, blocked long").persist()
+    prior, trees = url_filter.train(frame)
+    margin = F.lit(prior)
+    for tree in trees:
+        margin = margin + tree.score()
+    got = [r.m for r in frame.select("k", margin.alias("m")).orderBy("k").collect()]
+    assert len(trees) == 3 and np.allclose(got, brute_trees(rows))
+
+
+def test_trees_learn_what_the_rules_say(spark):
+    rng = random.Random(1)
+    hosts = [f"{a}.{sentence(rng, 1)[:-1] or 'x'}{k}.example.{t}" for k in range(25) for a in ("www", "m") for t in ("com", "net", "org")]
+    frame = spark.createDataFrame([(k, f"http://{h}/{p}/{rng.randrange(10**4)}{e}") for k, (h, p, e) in enumerate((h, p, rng.choice(["", ".html", "?a=1", "#t"])) for h in hosts for p in ("en", "de", "es", "fr"))], "page_id long, url string")
+    rows = url_filter.filter_urls(frame, RULES, hold_out=1).collect()
+    held = [r for r in rows if r.fold == 1 and r.rule]
+    right = sum((r.score > 0.5) == (r.verdict == "block") for r in held) / len(held)
+    most = max(sum(r.verdict == v for r in held) for v in ("block", "allow")) / len(held)
+    assert right >= 0.9 > most
+    free = [r for r in rows if not r.rule and r.host.endswith(".net")]
+    assert len({r.score for r in free}) > 3  # the suffix alone does not decide
+
+
+def test_very_long_urls(spark):
+    long = "http://a.example.net/es/" + "x1/" * 50_000 + "?q=" + "y" * 50_000
+    rows = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame([(1, long), (2, "http://" + "b." * 20_000 + "org/en/"), (3, "http://c.com/")], "page_id long, url string"), RULES).collect()}
+    assert (rows[1].rule, rows[1].verdict, rows[2].rule, rows[3].rule) == ("net/es/", "block", None, "com/")
+    assert rows[1].path == long[len("http://a.example.net") :].split("?")[0]
+
+
 def test_url_filter_plan_has_no_python(spark):
     frame = spark.createDataFrame([(i, f"http://a{i}.example.{t}/en/{i}") for i in range(20) for t in ("com", "org")], "page_id long, url string")
     plan = url_filter.filter_urls(frame, RULES)._jdf.queryExecution().executedPlan().toString()
@@ -621,6 +742,35 @@ def test_importance_without_labels_or_rows(spark):
     assert {r.doc_id: bool(r.kept) for r in out} == {1: True, 2: False}
 
 
+def test_fit_equals_brute_force(spark):
+    rows = [(1, "Ab ab!! c1"), (2, None), (3, "c1 c1 x_2, é"), (4, ""), (1, "zz ab"), (None, "ab"), (5, "ab\nab c1 !!! ")]
+    docs = spark.createDataFrame(rows, "__id long, __text string").repartition(2)
+    model = importance.fit(docs, spark.createDataFrame([(1,), (5,)], "id long"))
+
+    def grams(text):
+        tokens_of = [m[0] for m in re.finditer(r"[0-9a-z_\x80-\U0010ffff]+|([!,])\1*", (text or "").lower())]
+        hashes = [textops.word_hashes(next(textops.chunks(pa.array([t]))))[0][0] for t in tokens_of]
+        pairs = [textops.ngrams(np.array(p, dtype=np.uint64), 2)[0] for p in zip(hashes[:-1], hashes[1:])]
+        return [int(h >> np.uint64(64 - importance.BITS)) for h in hashes + pairs]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if i in (1, 5):
+            target.update(grams(text))
+    size = 1 << importance.BITS
+    for b in set(raw) | {0, 77}:
+        want = math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+        assert abs(model.ratio[b] - want) < 1e-9
+    assert sum(raw.values()) > 20
+
+
+def test_kept_says_the_same_without_labels(spark):
+    frame = spark.createDataFrame([(1, "a b"), (2, None), (3, " \n"), (None, "c")], EMPTY)
+    out, sampled = importance.importance_resample(frame, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.doc_id: r.k for r in frame.select("doc_id", sampled.kept("doc_id", "text").alias("k")).collect()} == {r.doc_id: bool(r.kept) for r in out.collect()} == {1: True, 2: False, 3: False, None: True}
+
+
 def test_weights_are_log_ratios():
     chunk = next(textops.chunks(pa.array(["Ab ab!! c", "", "x_1"])))
     buckets, counts = importance.features(chunk)
