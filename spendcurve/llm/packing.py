@@ -1,10 +1,11 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 A solution is a set of bins. Crossover injects whole well-filled bins of one parent into the other,
-removes the bins that now hold duplicates, and best-fits the documents that this displaced. Items are
-dealt into shards; every shard is evolved by several islands, each a task of its own, and between rounds
-the best solutions move to the next island of the shard. What lies in a shard's worst bins is then
-gathered and packed again with that of other shards, until one shard is left.
+removes the bins that now hold duplicates, and best-fits the documents that this displaced; a bin that one
+or two more of them would fill to the last token gets these at once. Items are dealt into shards; every shard
+is evolved by several islands, each a task of its own, and between rounds the best solutions move to the
+next island of the shard. What lies in a shard's worst bins, and in some of its bins of many small
+documents, is then gathered and packed again with that of other shards, until one shard is left.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from spendcurve.llm.common import Stash, bounded_batches, two_columns
 from spendcurve.llm.tokens import encoder
 
 SHARD_ITEMS = 4096
+#: Shards whose items are sorted and dealt in one task.
+GROUP = 64
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 6
-POPULATION = 4
-#: The worst bins with at most this share of a shard's items are packed again with those of other shards.
-LEFT_OVER = 1 / 16
+#: Generations at most, and those without a better solution after which an island stops.
+GENERATIONS, PATIENCE = 24, 6
+POPULATION = 6
+#: The worst bins with at most this share of a shard's items, and of the full ones those of the most, are packed again with those of other shards.
+LEFT_OVER = 1 / 8
 
 Bins = list[list[int]]
 
@@ -65,6 +69,75 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | N
     return bins, room
 
 
+def exact_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | None = None, room: list[int] | None = None) -> tuple[Bins, list[int]]:
+    """Best fit, but a bin that one or two of the later items would fill to the last token gets them at once.
+
+    `order` must fall by length or nearly so. Bit masks tell which lengths still wait, from either end: a
+    pair of lengths with a given sum is a bit that both masks share.
+    """
+    bins, room = bins if bins is not None else [], room if room is not None else []
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there = back = 0
+    for i in reversed(order):
+        size = lengths[i]
+        if not waiting[size]:
+            there |= 1 << size
+            back |= 1 << (capacity - size)
+        waiting[size].append(i)
+
+    def take(size: int) -> int:
+        nonlocal there, back
+        i = waiting[size].pop()
+        if not waiting[size]:
+            there ^= 1 << size
+            back ^= 1 << (capacity - size)
+        placed.add(i)
+        return i
+
+    placed: set[int] = set()
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+    for k, r in enumerate(room):
+        if r > 0:
+            stacks[r].append(k)
+            mask |= 1 << r
+    for first in order:
+        if first in placed:
+            continue
+        size = lengths[first]
+        i = take(size)
+        fits = mask >> size
+        if fits:
+            r = size + (fits & -fits).bit_length() - 1
+            k = stacks[r].pop()
+            if not stacks[r]:
+                mask ^= 1 << r
+            bins[k].append(i)
+            r -= size
+        else:
+            k, r = len(bins), capacity - size
+            bins.append([i])
+            room.append(r)
+        if r and there >> r & 1:
+            bins[k].append(take(r))
+            r = 0
+        elif r > 1:
+            pairs = there & (back >> (capacity - r)) & ((1 << (r // 2 + 1)) - 1)
+            while pairs:
+                size = pairs.bit_length() - 1
+                if 2 * size != r or len(waiting[size]) > 1:
+                    bins[k] += [take(r - size), take(size)]
+                    r = 0
+                    break
+                pairs ^= 1 << size
+        room[k] = r
+        if r > 0:
+            if not stacks[r]:
+                mask |= 1 << r
+            stacks[r].append(k)
+    return bins, room
+
+
 def fitness(room: list[int], capacity: int) -> tuple[int, float]:
     """Few bins first, then unevenly filled ones: higher is better."""
     full = 1.0 - np.asarray(room, dtype=float) / capacity
@@ -85,35 +158,47 @@ def crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], lengths: lis
         else:
             displaced += [i for i in one if i not in inside]
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(displaced, lengths, capacity, bins, room)
+    return rng.choice((best_fit, exact_fit))(displaced, lengths, capacity, bins, room)
 
 
 def mutate(a: tuple[Bins, list[int]], lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """Empty the worst-filled bins and a few others, then best-fit their items."""
-    worst = set(sorted(range(len(a[0])), key=lambda k: -a[1][k])[:3]) | {rng.randrange(len(a[0])) for _ in range(1 + len(a[0]) // 20)}
-    keep = [k for k in range(len(a[0])) if k not in worst]
-    free = sorted((i for k in worst for i in a[0][k]), key=lambda i: -lengths[i] * rng.uniform(0.9, 1.0))
-    return best_fit(free, lengths, capacity, [list(a[0][k]) for k in keep], [a[1][k] for k in keep])
+    """Empty all bins that waste the most and as many others again, then fit their items anew."""
+    n = len(a[0])
+    ranked = sorted(range(n), key=lambda k: -a[1][k])
+    worst = set(ranked[: max(2, n // 50)])
+    worst |= {rng.randrange(n) for _ in range(2 * len(worst))}
+    keep = [k for k in range(n) if k not in worst]
+    free = sorted((i for k in worst for i in a[0][k]), key=lambda i: -lengths[i])
+    return rng.choice((best_fit, exact_fit))(free, lengths, capacity, [list(a[0][k]) for k in keep], [a[1][k] for k in keep])
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> list[Bins]:
-    """The two best solutions of an island, from scratch or from elites; ends early at the lower bound."""
+    """The two best solutions of an island, from scratch or from elites.
+
+    Parents are chosen by tournament; the best solution stays. An island ends when all bins but one are
+    full, which nothing can better, when PATIENCE generations have brought nothing better, or after `generations`.
+    """
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
     down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    pool = [(bins, [capacity - sum(lengths[i] for i in one) for one in bins]) for bins in elites] or [best_fit(down, lengths, capacity)]
     score = lambda s: fitness(s[1], capacity)
-    if min(len(s[0]) for s in pool) > least:
+    pool = [(bins, [capacity - sum(lengths[i] for i in one) for one in bins]) for bins in elites]
+    if not pool:
+        pool = [fit(down, lengths, capacity) for fit in (best_fit, exact_fit)]
+    pool.sort(key=score, reverse=True)
+    stale = 0
+    for _ in range(generations):
+        if sum(r > 0 for r in pool[0][1]) <= 1 or stale >= PATIENCE:
+            break
         while len(pool) < population:
-            noisy = sorted(down, key=lambda i: -lengths[i] * rng.uniform(0.85, 1.0))
+            noisy = sorted(down, key=lambda i: -lengths[i] * rng.uniform(0.9, 1.0))
             pool.append(best_fit(noisy, lengths, capacity))
-        for _ in range(generations):
-            pool.sort(key=score, reverse=True)
-            if len(pool[0][0]) <= least:
-                break
-            a, b = rng.sample(pool[: max(2, population // 2)], 2)
-            pool = pool[: population - 2] + [crossover(a, b, lengths, capacity, rng), mutate(pool[0], lengths, capacity, rng)]
-    pool.sort(key=score, reverse=True)
+        pool.sort(key=score, reverse=True)
+        best = score(pool[0])
+        # the lower of two drawn places is the fitter one
+        a, b = (pool[min(rng.randrange(population), rng.randrange(population))] for _ in range(2))
+        pool = pool[: population - 2] + [crossover(a, b, lengths, capacity, rng), mutate(pool[0], lengths, capacity, rng)]
+        pool.sort(key=score, reverse=True)
+        stale = 0 if score(pool[0]) > best else stale + 1
     return [bins for bins, _ in pool[:2]]
 
 
@@ -162,6 +247,30 @@ def _evolve_shards(shards: DataFrame, capacity: int, n_shards: int) -> DataFrame
     return gathered.select("shard", best.getField("s").alias("solution"))
 
 
+def _deal(items: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """(shard, lengths, keys, parts): items dealt by falling length, so that shards are alike.
+
+    Items go to groups of some GROUP shards by hash; a group is sorted and dealt to its shards to and fro.
+    """
+    groups = -(-n_shards // GROUP)
+    per_group = -(-n_shards // groups)
+
+    def deal(group: pa.Table) -> pa.Table:
+        number, key, part, length = (group.column(k).to_numpy() for k in range(4))
+        order = np.lexsort((part, key, -length))
+        turn, place = np.divmod(np.arange(len(order)), per_group)
+        shard = np.where(turn % 2, per_group - 1 - place, place)
+        order = order[np.argsort(shard, kind="stable")]
+        sizes = np.bincount(shard, minlength=per_group)
+        ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(column[order])) for column in (length, key, part)]
+        out = pa.table([pa.array(number[0] * per_group + np.arange(per_group)), *lists], names=["shard", "lengths", "keys", "parts"])
+        return out.filter(pa.array(sizes > 0))
+
+    named = items.select(F.pmod(F.xxhash64("key", "part", F.lit(seed)), F.lit(groups)).cast("long").alias("group"), "key", "part", "length")
+    return named.groupBy("group").applyInArrow(deal, "shard long, lengths array<int>, keys array<long>, parts array<int>")
+
+
 def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Add `sequence_id` and `offset` to items (key long, part int, length int): bins of at most `capacity`.
 
@@ -176,11 +285,7 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
     while True:
         n = pool.count()
         n_shards = max(1, -(-n // shard_items))
-        dealt = pool.withColumn("shard", F.pmod(F.xxhash64("key", "part", F.lit(level)), F.lit(n_shards)))
-        member = F.struct((-F.col("length")).alias("a"), F.col("key").alias("k"), F.col("part").alias("p"))
-        # a shard holds about shard_items items, whatever the table's size
-        grouped = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(member)).alias("m"))
-        shards = stash.keep(grouped.select("shard", F.transform("m", lambda x: (-x.a).cast("int")).alias("lengths"), F.transform("m", lambda x: x.k).alias("keys"), F.transform("m", lambda x: x.p).alias("parts")), f"shards{level}")
+        shards = stash.keep(_deal(pool, n_shards, level), f"shards{level}")
         solved = _evolve_shards(shards.select("shard", "lengths"), capacity, n_shards)
         last = n_shards == 1
 
@@ -192,8 +297,9 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
                     open_bins: set[int] = set()
                     if not last:
                         left = 0
-                        for k in sorted(range(len(bins)), key=lambda k: filled[k]):
-                            if filled[k] == capacity or left + len(bins[k]) > LEFT_OVER * len(lengths):
+                        # after the bins with room those of many documents, without which the others could not be filled
+                        for k in sorted(range(len(bins)), key=lambda k: (filled[k], -len(bins[k]))):
+                            if left + len(bins[k]) > LEFT_OVER * len(lengths):
                                 break
                             left += len(bins[k])
                             open_bins.add(k)

@@ -1,13 +1,16 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The search holds the best path to each of the last positions that a piece can start from, as many as the
-longest piece has characters. Whenever the paths of all these positions go through one boundary, what
-lies before it can't change any more, and its ids are committed.
+The search reads a text character by character. It holds the positions from which a piece can still go on, no
+more than the longest piece has characters, with the best path to each. Whenever the paths of all of them and
+of the text's end go through one boundary, what lies before it can't change any more: its ids are committed
+and forgotten. Where the end alone is left, the search is back in its first state, so that the ids of what
+comes next depend on its characters alone and can be looked up if the same stretch has been read before.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,10 +21,10 @@ from pyspark.sql import functions as F
 from spendcurve.llm.common import bounded_batches, two_columns
 
 BLANK = "▁"
-#: Segments in a worker's cache; it starts anew before it has more. Bounds memory, changes no result.
-CACHE_ENTRIES = 1_000_000
-#: Characters after which a segment is streamed with commits rather than searched at once.
-SHORT = 64
+#: Stretches in a worker's cache and their characters at most; it starts anew before it has more, and longer ones are not kept. Bounds memory, changes no result.
+CACHE_ENTRIES, CACHE_CHARACTERS = 1_000_000, 64
+#: Committed characters after which the search drops them.
+FORGET = 256
 
 
 class PieceModel:
@@ -52,11 +55,21 @@ class PieceModel:
     def _index(self, unknown: int) -> None:
         self.unknown = unknown
         self.longest = max(map(len, self.pieces), default=1)
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
-        # no piece goes on into a new word: then all paths meet before every blank that follows another character
+        # by character: the node behind it, with a piece's score and id where one ends
+        self.root: dict = {}
+        for piece, (number, score) in self.pieces.items():
+            at = self.root
+            for c in piece[:-1]:
+                at = at.setdefault(c, [{}, None, None])[0]
+            last = at.setdefault(piece[-1], [{}, None, None])
+            last[1], last[2] = score, number
+        # no piece goes on from another character into a blank: in front of such a blank the end alone is left
         self.words_apart = not any(BLANK in p.lstrip(BLANK) for p in self.pieces)
+        self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        # of whole words, and of the stretches that they are made of
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
@@ -64,125 +77,126 @@ class PieceModel:
             return [found[0]]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if len(self.byte_ids) == 256 else [self.unknown]
 
-    def stream(self, characters: Iterable[str]) -> Iterator[int]:
-        """Ids of a stream of characters, each as soon as it is certain."""
-        longest, pieces, starts = self.longest, self.pieces, self.starts
-        text: list[str] = []  # what is not committed yet
-        score: list[float] = [0.0]
-        back: list[int] = [0]
-        open_from = 0  # first position of `text` that a piece can still start from
+    def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a stream of characters, in parts, each as soon as it is certain."""
+        start_of, unknown = self.root.get, self.unknown_score
+        text: list[str] = []  # what is not forgotten yet
+        score: list[float] = [0.0]  # of the best path to each of its positions
+        back: list[int] = [0]  # where the last piece of that path starts
+        live: list[tuple] = []  # (position, score there, node): from where a piece can go on, and how far it has come
+        end = done = 0  # `done`: what is committed
         for c in characters:
             text.append(c)
-            end = len(text)
-            best, at = float("-inf"), end - 1
-            for start in range(max(0, end - longest), end):
-                piece = "".join(text[start:end])
-                found = pieces.get(piece)
-                if found is not None:
-                    total = score[start] + found[1]
-                    if total > best:
-                        best, at = total, start
-            if c not in pieces:
-                total = score[end - 1] + self.unknown_score
-                if total > best:
-                    best, at = total, end - 1
+            best, at, going = -1e300, end, []
+            for start, before, node in live:  # the earliest start, that of the longest last piece, wins a tie
+                after = node.get(c)
+                if after is not None:
+                    own = after[1]
+                    if own is not None and before + own > best:
+                        best, at = before + own, start
+                    if after[0]:
+                        going.append((start, before, after[0]))
+            base = score[end]
+            after = start_of(c)
+            if after is None or after[1] is None:
+                total = base + unknown
+            else:
+                total = base + after[1]
+            if total > best:
+                best, at = total, end
+            lost = len(going) < len(live)
+            if after is not None and after[0]:
+                going.append((end, base, after[0]))
+            live = going
+            end += 1
             score.append(best)
             back.append(at)
-            if end % longest == 0 and end >= 2 * longest:
-                # the boundary that the paths of all open positions share
-                open_from = end - longest + 1
-                paths = set(range(open_from, end + 1))
-                while len(paths) > 1:
-                    top = max(paths)
-                    paths.discard(top)
-                    paths.add(back[top])
-                meet = paths.pop()
-                if meet:
-                    yield from self._commit(text, back, meet)
-                    base = score[meet]
-                    text = text[meet:]
-                    score = [s - base for s in score[meet:]]
-                    back = [max(0, b - meet) for b in back[meet:]]
-        yield from self._commit(text, back, len(text))
-
-    def _commit(self, text: list[str], back: list[int], end: int) -> list[int]:
-        cuts = []
-        while end > 0:
-            cuts.append((back[end], end))
-            end = back[end]
-        out: list[int] = []
-        for a, b in reversed(cuts):
-            out += self._ids("".join(text[a:b]))
-        return out
-
-    def segment(self, word: str) -> list[int]:
-        """Ids of a short text searched at once: the same path as `stream` finds."""
-        n = len(word)
-        score = [float("-inf")] * (n + 1)
-        back = [0] * (n + 1)
-        score[0] = 0.0
-        pieces, starts = self.pieces, self.starts
-        for start in range(n):
-            base = score[start]
-            single = False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                piece = word[start:end]
-                if piece not in starts:
-                    break
-                found = pieces.get(piece)
-                if found is not None:
-                    single = single or end == start + 1
-                    total = base + found[1]
-                    if total > score[end]:
-                        score[end], back[end] = total, start
-            if not single and base + self.unknown_score > score[start + 1]:
-                score[start + 1], back[start + 1] = base + self.unknown_score, start
+            if lost or not live:
+                meet = end
+                if live:
+                    # the last boundary that the paths of all live positions and of the end share
+                    meet = live[0][0]
+                    for other in [x[0] for x in live[1:]] + [end]:
+                        while other != meet:
+                            if other > meet:
+                                other = back[other]
+                            else:
+                                meet = back[meet]
+                if meet > done:
+                    yield self._ids_of(text, back, done, meet)
+                    done = meet
+                    if done > FORGET:
+                        base = score[done]
+                        text, score, back = text[done:], [s - base for s in score[done:]], [max(0, b - done) for b in back[done:]]
+                        live = [(start - done, before - base, node) for start, before, node in live]
+                        end, done = end - done, 0
+        if end > done:
+            yield self._ids_of(text, back, done, end)
+
+    def _ids_of(self, text: list[str], back: list[int], begin: int, end: int) -> list[int]:
+        """Ids of the best path from one boundary to another."""
         cuts = []
-        end = n
-        while end > 0:
-            cuts.append((back[end], end))
+        while end > begin:
+            cuts.append("".join(text[back[end] : end]))
             end = back[end]
         out: list[int] = []
-        for a, b in reversed(cuts):
-            found = pieces.get(word[a:b])
+        for piece in reversed(cuts):
+            found = self.pieces.get(piece)
             if found is None:
-                out += self._ids(word[a:b])
+                out += self._ids(piece)
             else:
                 out.append(found[0])
         return out
 
-    def _segment_bytes(self, word: str) -> bytes:
-        ids = self.segment(word) if len(word) <= SHORT else list(self.stream(word))
-        return np.array(ids, dtype="<u4").tobytes()
+    def words(self, text: str) -> list[str]:
+        """A text's characters, blanks marked and one put in front, cut before blanks behind which the search starts anew."""
+        marked = BLANK + text.replace(" ", BLANK)
+        if not self.words_apart:
+            return [marked]
+        words = marked.split(BLANK)[1:]
+        if "" not in words[:-1]:
+            return [BLANK + w for w in words]
+        # blanks in a row belong to one word
+        out, gap = [], 0
+        for k, w in enumerate(words):
+            gap += 1
+            if w or k == len(words) - 1:
+                out.append(BLANK * gap + w)
+                gap = 0
+        return out
+
+    def stretches(self, word: str) -> list[str]:
+        """A word cut where no piece holds both neighbours: no position before stays live there."""
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.together]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def _search(self, word: str, parts: dict[str, bytes]) -> bytes:
+        """A word's ids; `parts` holds those of stretches that have been read."""
+        out = []
+        for stretch in self.stretches(word):
+            ids = parts.get(stretch)
+            if ids is None:
+                ids = array("I", [i for part in self.stream(stretch) for i in part]).tobytes()
+                if len(stretch) <= CACHE_CHARACTERS and len(parts) < CACHE_ENTRIES:
+                    parts[stretch] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian uint32 bytes; null and empty texts have none."""
         out = []
         cache = self.cache
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if not self.words_apart:
-                out.append(np.array(list(self.stream(BLANK + text.replace(" ", BLANK))), dtype="<u4").tobytes())
-                continue
-            words = text.replace(BLANK, " ").split(" ")
-            if "" in words:
-                # runs of blanks belong to the word behind them
-                words, gap, merged = [], 0, text.replace(BLANK, " ").split(" ")
-                for k, w in enumerate(merged):
-                    if w or k == len(merged) - 1:
-                        words.append(BLANK * gap + w)
-                        gap = 0
-                    else:
-                        gap += 1
-            missing = [w for w in set(words) if w not in cache]
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
-                missing = list(set(words))
-            for w in missing:
-                cache[w] = self._segment_bytes(BLANK + w)
-            out.append(b"".join(map(cache.__getitem__, words)))
+            words = self.words(text) if text else []
+            try:
+                out.append(b"".join([cache[w] for w in words]))
+            except KeyError:
+                if len(cache) + len(words) > CACHE_ENTRIES or len(self.parts) >= CACHE_ENTRIES:
+                    cache.clear()
+                    self.parts.clear()
+                new = {w: self._search(w, self.parts) for w in set(words) if w not in cache}
+                out.append(b"".join([cache[w] if w in cache else new[w] for w in words]))
+                cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_CHARACTERS)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
