@@ -7,14 +7,15 @@ whose minimum is a node on both sides with the same c. So the windows of that le
 the words from c on and up to c as far as half such a run, where the window reaches that far: one of
 both is shared for sure.
 
-Windows that share such words meet with the first document of their group, if their intervals have a run at
-the same place about their words. Documents that meet are aligned and verified on their words; what no verified
-passage then holds is joined anew with the next, and at last with all.
+Documents that share such words meet the first document of their group alone. They are aligned and verified
+on their words. Where no verified passage holds a window, the alignment about it ends before a passage does, and
+documents that have more in common with each other than with the first one go on alike behind one of its
+ends: so the window is grouped anew with those that have the same next shingle there, and meets the first
+document of that group. Every such step has a word more in common, so there are `least_words` at most.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
-from spendcurve.llm.textops import U64, Chunk, chunks, constants, ngrams, span_hasher, word_hashes
+from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, span_hasher, word_hashes
 
 SHINGLE = 5
-#: Pairs of windows that are left for the last join at most while further rounds at least halve them.
-PAIRS = 2_000_000
 #: Aligned runs of equal shingles are one passage across gaps and shifts of at most this many shingles: two changed words.
 GAP = 10
 
@@ -102,20 +101,8 @@ def sure_run(least_words: int, percent: int) -> int:
     return max(best, 1)
 
 
-def _bits(first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
-    """Places from `first` to `last` out of 0 to least - 1 as bits; in 63 classes where there are more."""
-    shrink = -(-least // 63)
-    first, last = first // shrink, last // shrink
-    one = U64(1)
-    return (((one << (last - first + 1).astype(U64)) - one) << first.astype(U64)).view(np.int64)
-
-
-def windows(docs: DataFrame, least_words: int, percent: int, places: bool) -> DataFrame:
-    """(key, id, hash, runs) once for each key of a document, or with `at` one row for each window: its key's words start there.
-
-    A key is the words on either side of a window's c; `runs` tells how far before these the runs start
-    that lie in the window and hold them and c.
-    """
+def windows(docs: DataFrame, least_words: int, percent: int) -> DataFrame:
+    """(key, id, hash, at): the words on either side of each compact window's c, from word `at` on."""
     factor, shift = constants(1, 31)[0] | U64(1), constants(1, 32)[0]
     run = sure_run(least_words, percent)
     half = (run - 1) // 2
@@ -127,50 +114,31 @@ def windows(docs: DataFrame, least_words: int, percent: int, places: bool) -> Da
                 words, first = word_hashes(chunk)
                 every, low, high = shingle_positions(words, first)
                 doc, a, c, b = compact_windows(every * factor + shift, low, high, run)
-                if not len(doc):
-                    continue
-                early, late = np.maximum(a, c - run + 1), np.minimum(c, b - run + 1)
-                left, right = c - half >= a, c + half <= b
-                at = np.concatenate([c[left] - half, c[right]])
-                before = c - half
-                bits = np.concatenate(
-                    [_bits((before - np.minimum(late, before))[left], (before - early)[left], run), _bits((c - late)[right], (c - np.maximum(early, c + half - run + 1))[right], run)]
-                )
-                doc = np.concatenate([doc[left], doc[right]])
-                key = ngrams(words, half + SHINGLE)[at]
-                if not places:
-                    order = np.lexsort((key, doc))
-                    doc, key, bits = doc[order], key[order], bits[order]
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-                    doc, key, bits = doc[new], key[new], np.bitwise_or.reduceat(bits, new)
-                own = chunk.first + doc
-                arrays = [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array(bits)]
-                if places:
-                    arrays.append(pa.array((at - first[doc]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "runs", "at"][: len(arrays)])
-
-    return docs.mapInArrow(work, "key long, id long, hash long, runs long" + (", at int" if places else ""))
-
-
-def _lead() -> Column:
-    """The first member of a group: its id, its text's hash and its runs."""
-    return F.min(F.struct("id", "hash", "runs")).alias("lead")
-
-
-def shared_windows(docs: DataFrame, least_words: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(key, __salt, id, hash, runs, at, lead): the windows that several documents have, with the first of these; and the hot keys."""
-    groups = windows(docs, least_words, percent, places=False).groupBy("key").agg(_lead(), F.max("id").alias("last"), F.count("*").alias("n"))
-    leads = stash.keep(groups.filter("lead.id < last").select("key", "lead", "n"), "leads")
-    hot = stash.keep(hot_keys(leads, "key"), "hot")
-    every = windows(docs, least_words, percent, places=True)
-    shared = salted(every, hot, "key", "id").join(spread(leads.drop("n"), hot, "key"), ["key", "__salt"])
-    return stash.keep(shared, "shared"), hot
+                if len(doc):
+                    left, right = c - half >= a, c + half <= b
+                    at = np.concatenate([c[left] - half, c[right]])
+                    doc = np.concatenate([doc[left], doc[right]])
+                    own = chunk.first + doc
+                    key = ngrams(words, half + SHINGLE)[at]
+                    arrays = [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array((at - first[doc]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "at"])
+
+    return docs.mapInArrow(work, "key long, id long, hash long, at int")
 
 
-def _pairs(placed: DataFrame) -> DataFrame:
-    """The documents that have a run of a window at the same place as the lead of its group."""
-    meet = (F.col("lead.id") < F.col("id")) & (F.col("lead.runs").bitwiseAND(F.col("runs")) != 0)
-    return placed.filter(meet).select(F.col("lead.id").alias("lead"), F.col("lead.hash").alias("lead_hash"), "id", "hash").distinct()
+def _leads(rows: DataFrame) -> DataFrame:
+    """(key, lead, n): the groups of several documents, each with the id and the text's hash of the first."""
+    groups = rows.groupBy("key").agg(F.min(F.struct("id", "hash")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return groups.filter("lead.id < last").select("key", "lead", "n")
+
+
+def shared_windows(docs: DataFrame, least_words: int, percent: int, stash: Stash) -> DataFrame:
+    """(key, id, hash, at, lead): the windows that several documents have, with the first of these."""
+    every = windows(docs, least_words, percent)
+    leads = stash.keep(_leads(every), "leads")
+    hot = stash.keep(hot_keys(leads, "key"), "hot")
+    shared = salted(every, hot, "key", "id").join(spread(leads.drop("n"), hot, "key"), ["key", "__salt"]).drop("__salt")
+    return stash.keep(shared, "shared")
 
 
 def unexplained(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
@@ -232,23 +200,27 @@ def _common(hash_x, hash_y, places: np.ndarray, j: int, n_x: int, n_y: int) -> n
     return low
 
 
-def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, start in x, end in x, similarity) of the passages of y, in words, that x has too.
-
-    Runs of equal shingles are chained over small gaps; of a chain the longest stretches of whole runs count
-    that have `least_words` words and whose shingle sets on both sides have the Jaccard similarity. A stretch
-    that ends within a run would gain by the rest of it.
-    """
-    chains: list[list[tuple[int, int, int]]] = []
+def chained(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Runs (start in y, start in x, length) of equal shingles, chained over small gaps and shifts."""
+    out: list[list[tuple[int, int, int]]] = []
     for run in _runs(x, y):
         j, i, _ = run
-        if chains:
-            pj, pi, pn = chains[-1][-1]
+        if out:
+            pj, pi, pn = out[-1][-1]
             if 0 <= j - (pj + pn) <= GAP and 0 <= i - (pi + pn) <= GAP:
-                chains[-1].append(run)
+                out[-1].append(run)
                 continue
-        chains.append([run])
-    return [part for chain in chains for part in _stretches(x, y, np.array(chain), least_words, percent)]
+        out.append([run])
+    return [np.array(chain) for chain in out]
+
+
+def passages(x: np.ndarray, y: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, start in x, end in x, similarity) of the passages of y, in words, that x has too.
+
+    Of a chain the longest stretches of whole runs count that have `least_words` words and whose shingle
+    sets on both sides have the Jaccard similarity. A stretch that ends within a run would gain by the rest of it.
+    """
+    return [part for chain in chained(x, y) for part in _stretches(x, y, chain, least_words, percent)]
 
 
 def _stretches(x: np.ndarray, y: np.ndarray, chain: np.ndarray, least_words: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -258,6 +230,9 @@ def _stretches(x: np.ndarray, y: np.ndarray, chain: np.ndarray, least_words: int
     last, last_x = first + chain[:, 2], first_x + chain[:, 2]
     if last[-1] - first[0] + SHINGLE - 1 < least_words:
         return []
+    if n == 1:
+        # one run of equal shingles: both sides have the same set
+        return [(int(first[0]), int(last[0]) + SHINGLE - 1, int(first_x[0]), int(last_x[0]) + SHINGLE - 1, 1.0)]
     mine, its = y[first[0] : last[-1]], x[first_x[0] : last_x[-1]]
     different, number = np.unique(np.concatenate([mine, its]), return_inverse=True)
     sides = []
@@ -284,40 +259,60 @@ def _stretches(x: np.ndarray, y: np.ndarray, chain: np.ndarray, least_words: int
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int) -> DataFrame:
-    """Align the pairs (lead, lead_hash, id, hash); one row per passage."""
-    schema = "lead long, id long, hash long, start long, end long, lead_start long, lead_end long, similarity double"
+def _align(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int, words: int) -> DataFrame:
+    """Align the pairs (lead, lead_hash, id, hash, windows of key and at).
+
+    A row per passage, with start to similarity; and with key and at up to two rows for each window whose so
+    many words lie in none: its key with the next shingle behind either end of the alignment about it.
+    """
+    names = ["lead", "id", "hash", "start", "end", "lead_start", "lead_end", "similarity", "key", "at"]
+    kinds = [pa.int64()] * 7 + [pa.float64(), pa.int64(), pa.int32()]
+    behind, before = constants(2, 41)
+
+    def further(keys: np.ndarray, at: np.ndarray, y: np.ndarray, aligned: list[np.ndarray], found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.zeros(len(at), dtype=bool)
+        for start, end, *_ in found:
+            inside |= (start <= at) & (at + words <= end)
+        keys, at = keys[~inside], at[~inside]
+        begins, ends = np.array([c[0, 0] for c in aligned]), np.array([c[-1, 0] + c[-1, 2] for c in aligned])
+        k = np.maximum(np.searchsorted(begins, at, side="right") - 1, 0)
+        held = (begins[k] <= at) & (at < ends[k])
+        keys, at, k = keys[held], at[held], k[held]
+        right, left = ends[k] < len(y), begins[k] > 0
+        new = [mix(keys[right] + mix(y[ends[k[right]]] + behind)), mix(keys[left] + mix(y[begins[k[left]] - 1] + before))]
+        return np.concatenate(new).view(np.int64), np.concatenate([at[right], at[left]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             sides = []
-            for column in (batch.column(3), batch.column(4)):
+            for column in (batch.column(4), batch.column(5)):
                 own: list[np.ndarray] = []
                 for chunk in chunks(column):
                     every, low, high = shingle_positions(*word_hashes(chunk))
                     own += [every[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                 sides.append(own)
-            for lead, doc, its, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), *sides, strict=True):
-                rows += [(lead, doc, its, *p) for p in passages(x, y, least_words, percent)]
-            kinds = [pa.int64()] * 7 + [pa.float64()]
-            names = ["lead", "id", "hash", "start", "end", "lead_start", "lead_end", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
+            lists = batch.column(3)
+            edges = np.asarray(lists.offsets)
+            keys, ats = np.asarray(lists.values.field(0)).view(U64), np.asarray(lists.values.field(1))
+            rows, again = [], []
+            for n, (lead, doc, its, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), *sides, strict=True)):
+                aligned = chained(x, y)
+                found = [part for chain in aligned for part in _stretches(x, y, chain, least_words, percent)]
+                rows += [(lead, doc, its, *p, None, None) for p in found]
+                if aligned:
+                    new, at = further(keys[edges[n] : edges[n + 1]], ats[edges[n] : edges[n + 1]], y, aligned, found)
+                    again += [(None, doc, its, None, None, None, None, None, k, p) for k, p in zip(new.tolist(), at.tolist(), strict=True)]
+            rows += again
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     left = texts.select(F.col("id").alias("lead"), F.col("hash").alias("__hash"), F.col("text").alias("x"))
     right = texts.select("id", F.col("hash").alias("__hash"), F.col("text").alias("y"))
     # joined on ids, of which few have several texts
     met = matched(pairs, "lead", "id", left).filter("lead_hash = __hash").drop("__hash")
     met = matched(met, "id", "lead", right).filter("hash = __hash")
-    return met.select("lead", "id", "hash", "x", "y").mapInArrow(work, schema)
-
-
-def _first_ones(late: DataFrame, found: DataFrame) -> DataFrame:
-    """The late passages that lie in no other passage of their document with an earlier one."""
-    spans = late.unionByName(found).join(late.select("id", "hash").distinct(), ["id", "hash"], "left_semi")
-    spans = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("lead", "start", "end")).alias("__spans"))
-    inside = F.exists("__spans", lambda s: (s["lead"] < F.col("lead")) & (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    return late.join(spans, ["id", "hash"]).filter(~inside).drop("__spans")
+    schema = "lead long, id long, hash long, start long, end long, lead_start long, lead_end long, similarity double, key long, at int"
+    return met.select("lead", "id", "hash", "windows", "x", "y").mapInArrow(work, schema)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:
@@ -338,45 +333,27 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stash = Stash(spark, "substrings")
     docs = two_columns(df, id_col, text_col).filter("__id IS NOT NULL").withColumn("__hash", F.xxhash64("__text"))
     words = (sure_run(least_words, percent) - 1) // 2 + SHINGLE
-    shared, hot = shared_windows(docs, least_words, percent, stash)
+    shared = shared_windows(docs, least_words, percent, stash)
     wanted = shared.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
     # equal rows are one text
     texts = docs.join(by_id(wanted), ["__id", "__hash"], "left_semi").groupBy("__id", "__hash").agg(F.first("__text").alias("text"))
     texts = stash.keep(texts.toDF("id", "hash", "text"), "texts")
-    members = shared.select("key", "__salt", "id", "hash", "runs").distinct()
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    placed, found, pairs, led = shared, None, None, None
-    before, step = math.inf, 0
+    found, step = None, 0
+    placed = shared
     while True:
-        more = _pairs(placed)
-        if pairs is not None:
-            more = more.join(pairs, ["lead", "lead_hash", "id", "hash"], "left_anti")
-        more = stash.keep(more, f"pairs{step}")
-        verified = _verify(more, texts, least_words, percent)
-        found = stash.keep(verified if found is None else found.unionByName(verified), f"found{step}")
-        pairs = more if pairs is None else pairs.unionByName(more)
-        rest = unexplained(placed.filter("lead.id < id").select("key", "__salt", "id", "hash", "runs", "at"), found, words)
-        left = stash.keep(rest, f"left{step}")
-        if step:
-            stash.drop(f"found{step - 1}", f"left{step - 1}", f"placed{step}")
-        waiting = left.select("key", "__salt", "id", "hash", "runs").distinct()
-        # each is left to be compared with all earlier documents of its group
-        many = waiting.groupBy("key").agg(F.count("*").alias("m")).join(sizes, "key").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
-        if not many or many <= PAIRS or 2 * many > before:
+        pairs = placed.filter("lead.id < id").groupBy(F.col("lead.id").alias("lead"), F.col("lead.hash").alias("lead_hash"), "id", "hash")
+        pairs = stash.keep(pairs.agg(F.collect_list(F.struct("key", "at")).alias("windows")), f"pairs{step}")
+        aligned = stash.keep(_align(pairs, texts, least_words, percent, words), f"aligned{step}")
+        stash.drop(f"pairs{step}", f"placed{step}")
+        own = aligned.filter("start IS NOT NULL").drop("key", "at")
+        found = own if found is None else found.unionByName(own)
+        left = stash.keep(unexplained(aligned.filter("start IS NULL").select("key", "id", "hash", "at"), found, words), f"left{step}")
+        leads = stash.keep(_leads(left), f"leads{step}")
+        if leads.isEmpty():
             break
-        before, step = many, step + 1
-        first = waiting.groupBy("key").agg(_lead())
-        placed = stash.keep(left.join(spread(first, hot, "key"), ["key", "__salt"]), f"placed{step}")
-        # the new leads themselves wait for the last join
-        own = stash.keep(placed.filter("lead.id = id").select("key", "__salt", "id", "hash", "runs").distinct(), f"led{step}")
-        led = own if led is None else led.unionByName(own)
-    if many or led is not None:
-        waiting = waiting if led is None else waiting.unionByName(led).distinct()
-        earlier = spread(members.select("key", F.struct("id", "hash", "runs").alias("lead")), hot, "key")
-        more = _pairs(waiting.join(earlier, ["key", "__salt"]))
-        more = stash.keep(more.join(pairs, ["lead", "lead_hash", "id", "hash"], "left_anti"), "last_pairs")
-        late = stash.keep(_verify(more, texts, least_words, percent), "last_found")
-        found = found.unionByName(_first_ones(late, found))
+        step += 1
+        placed = stash.keep(matched(left, "key", "id", leads.drop("n")), f"placed{step}")
+        stash.drop(f"left{step - 1}", f"leads{step - 1}")
     stash.drop("leads", "hot", "shared", "texts")
     return found.distinct().select(
         F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("lead").alias("match_id"), "start", "end",

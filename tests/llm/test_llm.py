@@ -553,10 +553,7 @@ def found_pairs(spark, rows):
     return {(r.match_id, r.doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, EMPTY)).collect()}
 
 
-@pytest.mark.parametrize("last", [True, False])
-def test_a_passage_is_found_behind_a_common_line(spark, last, monkeypatch):
-    if not last:
-        monkeypatch.setattr(substrings, "PAIRS", -1)
+def test_a_passage_is_found_behind_a_common_line(spark):
     rng = random.Random(3)
     rows = []
     for k in range(30):  # the first document shares only 35 words, the others 52 that hold them
