@@ -1,7 +1,8 @@
 """Exact top-k inner products over norm buckets.
 
-Vectors are sorted by length into buckets. For a query and a bucket, the query's k-th best score so far over
-the product of its length and the bucket's greatest is the cosine that a vector there must reach: over
+Vectors are sorted by length into stripes, a stripe for each task, and these into buckets. Every query visits the
+stripes that can hold a result of it and walks their buckets in falling length. The query's k-th best score so
+far over the product of its length and the bucket's greatest is the cosine that a vector there must reach: over
 one, the bucket is skipped; if it is high, vectors are cut by the range that their share in the query's
 largest coordinate must lie in; else by their length alone. Products of what is left are exact integers.
 """
@@ -12,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendcurve.llm.common import Stash, bounded_batches
+from spendcurve.llm.common import Stash, bounded_batches, shuffle_partitions
 
-BUCKET, QUERIES = 4096, 1024
+#: Vectors of a bucket and of a stripe, and queries of a block, at most.
+BUCKET, STRIPE, QUERIES = 4096, 65_536, 1024
 #: Local cosine from which the coordinate is used rather than the length.
 COORDINATE_FROM = 0.6
 #: Room for rounding in bounds, which only ever lets more vectors through.
@@ -33,16 +36,6 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ c.astype(np.int64).T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
-
-
 def survivors(q: np.ndarray, q_norm: float, least: float, norms: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Places in a bucket (norms falling; shares: vectors over their lengths) that can reach score `least`."""
     if least <= 0 or q_norm == 0:
@@ -63,23 +56,58 @@ def survivors(q: np.ndarray, q_norm: float, least: float, norms: np.ndarray, sha
     return np.flatnonzero((column >= low - SLACK) & (column <= high + SLACK))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, leasts: np.ndarray, rows: np.ndarray, ids: np.ndarray, norms: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place, and ids and scores of its k best rows of a bucket, of those that reach its least score."""
-    shares = rows / np.where(norms > 0, norms, 1)[:, None]
-    q_norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    plans = [survivors(q, n, t, norms, shares) for q, n, t in zip(queries.astype(np.float64), q_norms, leasts, strict=True)]
-    wide = np.array([len(p) > len(rows) // 4 for p in plans], dtype=bool)
-    dense = products(queries[wide], rows) if wide.any() else None
-    at = np.cumsum(wide) - 1
-    for i, some in enumerate(plans):
-        if not len(some):
-            continue
-        scores = dense[at[i]][some] if wide[i] else products(queries[i : i + 1], rows[some])[0]
-        own = (ids[some] != query_ids[i]) & (scores >= leasts[i])
-        some, scores = some[own], scores[own]
-        top = best(scores, ids[some], k)
-        if len(top):
-            yield i, ids[some[top]], scores[top]
+class Bucket:
+    """Vectors in falling length, with their ids and lengths."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, norms: np.ndarray):
+        self.rows, self.ids, self.norms = rows, ids, norms
+        self.shares = rows / np.where(norms > 0, norms, 1)[:, None]
+
+
+class Search:
+    """The k best rows of each of some queries so far; ties to the smaller id. `leasts`: what a score must reach to count."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, leasts: np.ndarray, k: int):
+        self.queries, self.ids, self.leasts, self.k = queries, ids, leasts.astype(np.float64), k
+        self.norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        # found so far: place of the query, id, score
+        self.found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+    def visit(self, bucket: Bucket) -> None:
+        top = bucket.norms[0] if len(bucket.norms) else 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosines = np.where((self.leasts > 0) & (self.norms > 0), self.leasts / (self.norms * top), 0.0)
+        cosines = np.where(np.isnan(cosines), np.inf, cosines)
+        hits = [self.found]
+        for i in np.flatnonzero((cosines >= COORDINATE_FROM) & (cosines <= 1 + SLACK)).tolist():
+            some = survivors(self.queries[i].astype(np.float64), self.norms[i], self.leasts[i], bucket.norms, bucket.shares)
+            if len(some):
+                scores = products(self.queries[i : i + 1], bucket.rows[some])[0]
+                good = (scores >= self.leasts[i]) & (bucket.ids[some] != self.ids[i])
+                hits.append((np.full(int(good.sum()), i), bucket.ids[some][good], scores[good]))
+        wide = np.flatnonzero(cosines < COORDINATE_FROM)
+        if len(wide):
+            # the longest vectors that any of these queries needs
+            with np.errstate(divide="ignore"):
+                need = np.where((self.leasts[wide] > 0) & (self.norms[wide] > 0), self.leasts[wide] / self.norms[wide], 0.0).min() * (1 - SLACK)
+            long = int(np.searchsorted(-bucket.norms, -need, side="right"))
+            scores = products(self.queries[wide], bucket.rows[:long])
+            good = (scores >= self.leasts[wide, None]) & (bucket.ids[None, :long] != self.ids[wide, None])
+            at, row = np.nonzero(good)
+            hits.append((wide[at], bucket.ids[row], scores[at, row]))
+        if len(hits) > 1:
+            self._merge(hits)
+
+    def _merge(self, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        query, ids, scores = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.searchsorted(query, query, side="left")
+        rank = np.arange(len(query)) - first
+        kept = rank < self.k
+        last = rank == self.k - 1
+        self.leasts[query[last]] = np.maximum(self.leasts[query[last]], scores[last])
+        self.found = query[kept], ids[kept], scores[kept]
 
 
 def _quantized(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -103,11 +131,23 @@ def _quantized(df: DataFrame, id_col: str, vector_col: str, scale: float) -> Dat
     return picked.mapInArrow(work, "id long, norm double, width int, vec binary")
 
 
+def _whole(matrix: np.ndarray) -> tuple[str, bytes]:
+    """A matrix of whole numbers in the smallest type that holds it."""
+    top = int(np.abs(matrix).max(initial=0))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+    return kind, matrix.astype(kind).tobytes()
+
+
+_BLOCK = pa.schema([("stripe", pa.int32()), ("top_norm", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("norms", pa.binary()), ("kind", pa.string()), ("matrix", pa.binary())])
+_BLOCK_SQL = "stripe int, top_norm double, n int, ids binary, norms binary, kind string, matrix binary"
+
+
 def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """Pack the rows of each partition, in their order, into blocks: (block, top_norm, n, ids, norms, matrix)."""
+    """Pack the rows of each partition, in their order, into blocks; `stripe` is the partition's number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, float, bytes]] = []
+        stripe = TaskContext.get().partitionId()
 
         def block() -> pa.RecordBatch:
             matrix = np.zeros((len(held), width), dtype="<i8")
@@ -115,11 +155,8 @@ def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
                 v = np.frombuffer(data, dtype="<i8")
                 matrix[k, : len(v)] = v
             ids, norms = np.array([h[0] for h in held], dtype="<i8"), np.array([h[1] for h in held], dtype="<f8")
-            top = float(norms.max())
-            return pa.RecordBatch.from_pydict(
-                {"top_norm": [top], "n": [len(held)], "ids": [ids.tobytes()], "norms": [norms.tobytes()], "matrix": [matrix.tobytes()]},
-                schema=pa.schema([("top_norm", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("norms", pa.binary()), ("matrix", pa.binary())]),
-            )
+            kind, data = _whole(matrix)
+            return pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, (stripe, float(norms.max()), len(held), ids.tobytes(), norms.tobytes(), kind, data), strict=True))], schema=_BLOCK)
 
         for batch in batches:
             for one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -130,8 +167,13 @@ def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
         if held:
             yield block()
 
-    packed = rows.select("id", "norm", "vec").mapInArrow(work, "top_norm double, n int, ids binary, norms binary, matrix binary")
-    return packed
+    return rows.select("id", "norm", "vec").mapInArrow(work, _BLOCK_SQL)
+
+
+def _unpacked(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's vectors, ids and lengths."""
+    ids = np.frombuffer(row["ids"], dtype="<i8")
+    return np.frombuffer(row["matrix"], dtype=row["kind"]).reshape(len(ids), width).astype(np.int64), ids, np.frombuffer(row["norms"], dtype="<f8")
 
 
 def exact_top_k(df: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -142,6 +184,9 @@ def exact_top_k(df: DataFrame, queries: DataFrame | None = None, id_col: str = "
     null or non-finite components, and rows without an id take no part; shorter vectors count as filled
     up with zeros. Of several query rows with one id the first by its bytes is asked; repeated rows stay
     candidates each. Scores must fit 64 bits. Empty tables give an empty result; other columns are not read.
+
+    Rows are shuffled once, to stripes; each block of queries goes to the stripes that can hold a result. There
+    are as many stripes as shuffle partitions, and more only where a stripe would have over STRIPE rows.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -155,56 +200,58 @@ def exact_top_k(df: DataFrame, queries: DataFrame | None = None, id_col: str = "
     if not n or not n_asked:
         return spark.createDataFrame([], schema)
     width = max(width, asked_width)
-    # equal lengths are dealt on by id, so no length is too frequent for a bucket
-    ranged = rows.repartitionByRange(max(1, -(-n // BUCKET)), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
-    numbered = lambda b: b.select(F.monotonically_increasing_id().alias("block"), "*")
-    buckets = stash.keep(numbered(_blocks(ranged, BUCKET, width)), "buckets")
-    groups = stash.keep(numbered(_blocks(asked.repartition(max(1, -(-n_asked // QUERIES)), "id").sortWithinPartitions(F.desc("norm")), QUERIES, width)), "groups")
-
-    def unpack(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row[prefix + "ids"], dtype="<i8")
-        return ids, np.frombuffer(row[prefix + "norms"], dtype="<f8"), np.frombuffer(row[prefix + "matrix"], dtype="<i8").reshape(len(ids), width)
+    # equal lengths are dealt on by id, so no length is too frequent for a stripe
+    n_stripes = max(-(-n // STRIPE), min(shuffle_partitions(spark), -(-n // 256)))
+    ranged = rows.repartitionByRange(n_stripes, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
+    buckets = stash.keep(_blocks(ranged, BUCKET, width), "buckets")
+    n_blocks = max(1, -(-n_asked // QUERIES))
+    blocks = _blocks(asked.repartition(n_blocks, "id").sortWithinPartitions(F.desc("norm")), QUERIES, width)
+    blocks = stash.keep(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    parts = ["ids", "norms", "kind", "matrix"]
+    # the longest bucket, of at most BUCKET vectors, gives every query a first bound
+    longest = Bucket(*_unpacked(buckets.orderBy(F.desc("top_norm"), "stripe").first().asDict(), width))
+    # two numbers for each stripe
+    tops = sorted((r.stripe, r.top) for r in buckets.groupBy("stripe").agg(F.max("top_norm").alias("top")).collect())
+    numbers, top_norms = (np.array(x) for x in zip(*tops, strict=True))
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, norms, matrix = unpack(row, "")
-                c_ids, c_norms, c_matrix = unpack(row, "c_")
-                leasts = np.full(len(ids), -np.inf)
-                for i, _, scores in search(matrix, ids, leasts.copy(), c_matrix, c_ids, c_norms, k):
-                    if len(scores) == k:
-                        leasts[i] = scores[-1]
-                reach = np.where(leasts > 0, leasts / np.where(norms > 0, norms, 1), 0.0)
+                matrix, ids, norms = _unpacked(row, width)
+                found = Search(matrix, ids, np.full(len(ids), -np.inf), k)
+                found.visit(longest)
+                reach = np.where(found.leasts > 0, found.leasts / np.where(norms > 0, norms, 1), 0.0).min()
+                near = numbers[top_norms * (1 + SLACK) >= reach]
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [row["block"]], "leasts": [leasts.astype("<f8").tobytes()], "reach": [float(reach.min())]},
-                    schema=pa.schema([("block", pa.int64()), ("leasts", pa.binary()), ("reach", pa.float64())]),
+                    {"block": [row["block"]], "leasts": [found.leasts.astype("<f8").tobytes()], "stripes": [near.tolist()]},
+                    schema=pa.schema([("block", pa.int64()), ("leasts", pa.binary()), ("stripes", pa.list_(pa.int32()))]),
                 )
 
-    # the longest bucket, of at most BUCKET vectors, gives every query a first bound
-    longest = buckets.orderBy(F.desc("top_norm"), "block").limit(1).select(*[F.col(c).alias(f"c_{c}") for c in ("ids", "norms", "matrix")], F.lit(0).alias("one"))
-    n_buckets = buckets.count()
-    bounds = groups.withColumn("one", F.lit(0)).join(F.broadcast(longest), "one").drop("one")
-    bounds = stash.keep(bounds.select("block", "ids", "norms", "matrix", "c_ids", "c_norms", "c_matrix").mapInArrow(first_bounds, "block long, leasts binary, reach double"), "bounds")
-
-    # numbers of blocks first, so that only pairs which can hold a result carry vectors: one row for 4096 vectors here
-    index = buckets.select(F.col("block").alias("c_block"), "top_norm", F.row_number().over(Window.orderBy(F.desc("top_norm"), "block")).alias("place"))
-    places = F.explode(F.sequence(F.lit(1), F.lit(n_buckets))).alias("place")
-    pairs = bounds.select("block", "reach", places).join(index, "place").filter(F.col("top_norm") * (1 + SLACK) >= F.col("reach")).select("block", "c_block")
-    right = buckets.select(F.col("block").alias("c_block"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "norms", "matrix")])
-    left = groups.select("block", "ids", "norms", "matrix").join(bounds.select("block", "leasts"), "block")
-    met = pairs.join(left, "block").join(right, "c_block").repartition(max(1, n_buckets * -(-n_asked // QUERIES)))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounds = stash.keep(blocks.select("block", *parts).mapInArrow(first_bounds, "block long, leasts binary, stripes array<int>"), "bounds")
+    # numbers first: a block's vectors go where its weakest query can find something
+    visits = bounds.select("block", "leasts", F.explode("stripes").alias("stripe"))
+    sent = blocks.drop("stripe").join(visits, "block").select("stripe", F.lit(1).alias("turn"), "top_norm", "leasts", *parts)
+    held = buckets.select("stripe", F.lit(0).alias("turn"), "top_norm", F.lit(None).cast("binary").alias("leasts"), *parts)
+    met = held.unionByName(sent).repartitionById(int(numbers.max()) + 1, "stripe").sortWithinPartitions("stripe", "turn", F.desc("top_norm"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stripe's buckets come first and are held; then its blocks of queries one by one."""
+        stripe, own = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                ids, _, matrix = unpack(row, "")
-                c_ids, c_norms, c_matrix = unpack(row, "c_")
-                found = list(search(matrix, ids, np.frombuffer(row["leasts"], dtype="<f8"), c_matrix, c_ids, c_norms, k))
-                if found:
-                    q = np.concatenate([np.full(len(s), ids[i]) for i, _, s in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([c for _, c, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
-
-    hits = met.select("ids", "norms", "matrix", "leasts", "c_ids", "c_norms", "c_matrix").mapInArrow(verify, "query_id long, vec_id long, score long")
+                if row["stripe"] != stripe:
+                    stripe, own = row["stripe"], []
+                if row["turn"] == 0:
+                    own.append(Bucket(*_unpacked(row, width)))
+                    continue
+                matrix, ids, _ = _unpacked(row, width)
+                found = Search(matrix, ids, np.frombuffer(row["leasts"], dtype="<f8"), k)
+                for bucket in own:
+                    found.visit(bucket)
+                query, vec, score = found.found
+                if len(query):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    hits = met.mapInArrow(walk, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

@@ -445,21 +445,37 @@ def test_top_k_of_few_and_none(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 2, -65536), (2, 1, 1, -65536)]
 
 
-def test_survivors_lose_no_vector():
+def test_a_walk_over_buckets_loses_no_vector():
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        d, n = int(rng.integers(1, 9)), int(rng.integers(1, 200))
+    for turn in range(60):
+        d, n, k = int(rng.integers(1, 9)), int(rng.integers(1, 200)), int(rng.integers(1, 7))
         rows = np.floor(256 * rng.normal(size=(n, d)) * rng.choice([1, 0.3, 2], size=(n, 1))).astype(np.int64)
         norms = np.sqrt((rows.astype(float) ** 2).sum(1))
         order = np.argsort(-norms, kind="stable")
         rows, norms, ids = rows[order], norms[order], rng.permutation(n)
         queries = rows[rng.integers(0, n, 20)] + rng.integers(-3, 4, size=(20, d))
         scores = queries @ rows.T
-        least = np.array([np.sort(s)[-min(5, n)] for s in scores]).astype(float)
-        got = {i: (list(a), list(b)) for i, a, b in topk.search(queries, np.full(20, -1), least, rows, ids, norms, 5)}
+        least = np.full(20, -np.inf) if turn % 2 else np.array([np.sort(s)[-min(k, n)] for s in scores]).astype(float)
+        found = topk.Search(queries, np.full(20, -1), least, k)
+        for a in range(0, n, 16):
+            found.visit(topk.Bucket(rows[a : a + 16], ids[a : a + 16], norms[a : a + 16]))
+        query, vec, score = found.found
         for i in range(20):
-            want = topk.best(scores[i], ids, 5)
-            assert got[i] == (list(ids[want]), list(scores[i][want]))
+            want = np.lexsort((ids, -scores[i]))[:k]
+            assert (vec[query == i].tolist(), score[query == i].tolist()) == (ids[want].tolist(), scores[i][want].tolist())
+
+
+def test_queries_are_shuffled_by_stripes_not_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 16)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, (rng.normal(size=4) * (50 if i < 40 else 0.1)).tolist()) for i in range(600)], "vec_id long, embedding array<double>").persist()
+    out = topk.exact_top_k(frame, frame.filter("vec_id % 5 = 0"), k=3)
+    assert out.count() == 360
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    short = [r for r in out.collect() if r.query_id >= 40]
+    assert all(r.vec_id < 40 for r in short)  # the long vectors win, and only their stripes are visited
 
 
 # ---- op4: passages
