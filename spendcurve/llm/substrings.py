@@ -279,8 +279,11 @@ def _align(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int, w
         held = (begins[k] <= at) & (at < ends[k])
         keys, at, k = keys[held], at[held], k[held]
         right, left = ends[k] < len(y), begins[k] > 0
-        new = [mix(keys[right] + mix(y[ends[k[right]]] + behind)), mix(keys[left] + mix(y[begins[k[left]] - 1] + before))]
-        return np.concatenate(new).view(np.int64), np.concatenate([at[right], at[left]])
+        # sums, so that both ends may be passed in any order
+        new = np.concatenate([keys[right] + mix(y[ends[k[right]]] + behind), keys[left] + mix(y[begins[k[left]] - 1] + before)])
+        at = np.concatenate([at[right], at[left]])
+        _, first = np.unique(new, return_index=True)
+        return new[first].view(np.int64), at[first]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,17 +297,20 @@ def _align(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int, w
             lists = batch.column(3)
             edges = np.asarray(lists.offsets)
             keys, ats = np.asarray(lists.values.field(0)).view(U64), np.asarray(lists.values.field(1))
-            rows, again = [], []
+            rows, again = [], [(np.zeros(0, dtype=np.int64),) * 4]
             for n, (lead, doc, its, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), *sides, strict=True)):
                 aligned = chained(x, y)
                 found = [part for chain in aligned for part in _stretches(x, y, chain, least_words, percent)]
                 rows += [(lead, doc, its, *p, None, None) for p in found]
                 if aligned:
                     new, at = further(keys[edges[n] : edges[n + 1]], ats[edges[n] : edges[n + 1]], y, aligned, found)
-                    again += [(None, doc, its, None, None, None, None, None, k, p) for k, p in zip(new.tolist(), at.tolist(), strict=True)]
-            rows += again
+                    again.append((np.full(len(new), doc), np.full(len(new), its), new, at))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            doc, its, new, at = (np.concatenate(x) for x in zip(*again, strict=True))
+            if len(new):
+                none = [pa.nulls(len(new), t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(doc), pa.array(its), *none[3:8], pa.array(new), pa.array(at.astype(np.int32))], names=names)
 
     left = texts.select(F.col("id").alias("lead"), F.col("hash").alias("__hash"), F.col("text").alias("x"))
     right = texts.select("id", F.col("hash").alias("__hash"), F.col("text").alias("y"))
