@@ -1,14 +1,15 @@
 """LM scoring by a hierarchical Pitman-Yor model whose Chinese-restaurant seating is sampled by Gibbs.
 
-Every word sits in the restaurant of the word before it (2 ** 16 restaurants, by hash); the tables of all
-of them send their customers to one parent restaurant of single words, over a uniform base. A sample
-seats the customers of each (restaurant, word) one after the other, given the parent's probabilities and
-the numbers of tables of the last sample; probabilities are averaged over samples.
-
-Tokens are dealt to buckets by word, so a bucket holds all that the parent has of a word; words too
-frequent for that are dealt on by restaurant, and their few sums meet on the driver. Buckets are written
-once and then passed over: to burn in, to sample, and to score. Between passes only sums over buckets
-move: an array over restaurants, and a row for each of the frequent words.
+Every word sits in the restaurant of the word before it; the tables of all restaurants send their customers
+to one parent restaurant of single words, over a uniform base. A chain of sweeps takes every customer of
+every restaurant away and seats them again given the others; after BURN_IN sweeps each further one is a
+sample, and probabilities are averaged over samples.
+
+Tokens are dealt to buckets by word, so a bucket holds all that the parent has of a word, and its seating; words
+too frequent for that are dealt on by context, and their few sums meet on the driver. Within a sweep a
+bucket sees its own seating as it changes, and of other buckets what the last sweep left: the tables of a
+restaurant, which are summed by context between sweeps in a shuffle of their own, and two totals of the parent.
+A type that occurs once always has one table: only the others take part in sweeps.
 """
 
 from __future__ import annotations
@@ -16,31 +17,32 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, setting, two_columns
+from spendcurve.llm.seating import Seating
 from spendcurve.llm.textops import U64, chunks, constants, mix, word_hashes
 
-CLASSES = 1 << 16
-#: Tokens of a bucket, about; the number of buckets grows with the corpus.
+#: Bits of a context's hash: two of a billion contexts share one with a chance of 2 ** -40.
+CONTEXT_BITS = 40
+#: Tokens of a bucket, about; the number of buckets grows with the corpus. Contexts are summed in a quarter as many parts.
 BUCKET_TOKENS = 2_000_000
-SAMPLES = 3
-#: Chunks of which a task adds up its buckets' parts before it passes them on; bounds memory.
-HELD_CHUNKS = 256
-#: Share of the tokens from which a first pass counts words; a second one is made if buckets are too small for it.
-SHARE = 1e-4
+BURN_IN, SAMPLES = 2, 3
+#: Share of the tokens from which a first pass counts words, and the least one that a second pass counts: 2 / LEAST_SHARE words are dealt on at most, at any size.
+SHARE, LEAST_SHARE = 1e-4, 1e-5
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
-#: Documents of a batch at most: their places fit 15 bits.
+#: Documents of a chunk at most: their places fit 15 bits.
 ROWS = 10_000
 END, START = (int(x) for x in constants(2, 61))
 _CODEC = pa.Codec("zstd", compression_level=1)
+_MASK = U64((1 << CONTEXT_BITS) - 1)
+_SCHEMA = "bucket long, kind string, part long, data binary"
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -64,9 +66,15 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of documents: word hashes with an end for each, the restaurant of each, and tokens per document."""
-    words, places, counts = [], [], []
+    """Of a batch of documents: word hashes with an end for each, the context of each, and tokens per document."""
+    words, contexts, counts = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
     for chunk in chunks(batch.column(1)):
         hashes, first = word_hashes(chunk)
         n = np.diff(first)
@@ -81,23 +89,37 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before[1:] = own[:-1]
         before[ends - n] = START
         words.append(own)
-        places.append((mix(before) & U64(CLASSES - 1)).astype(np.uint16))
+        contexts.append(mix(before) & _MASK)
         counts.append(n + 1)
-    if not words:
-        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64)
-    return np.concatenate(words), np.concatenate(places), np.concatenate(counts)
+    return np.concatenate(words), np.concatenate(contexts), np.concatenate(counts)
+
+
+def _runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the first of equal neighbours are."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _low_high(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (contexts & U64(0xFFFFFFFF)).astype("<u4"), (contexts >> U64(32)).astype(np.uint8)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U64) | (high.astype(U64) << U64(32))
 
 
 def frequent_words(docs: DataFrame, share: float) -> tuple[int, dict[int, int]]:
     """All tokens, and the words that may have `share` of them: who has it in all has it in some batch. At most 2 / share are returned."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             words, _, _ = _tokens(batch)
             if not len(words):
                 continue
             words = np.sort(words)
-            starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            starts = _runs_of(words)
             n = np.diff(np.append(starts, len(words)))
             many = n >= max(2, share * len(words))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words[starts][many].view(np.int64), 0)), pa.array(np.append(n[many], len(words))), pa.array(np.append(np.zeros(many.sum(), bool), True))], names=["word", "n", "all"])
@@ -109,14 +131,14 @@ def frequent_words(docs: DataFrame, share: float) -> tuple[int, dict[int, int]]:
 
 
 def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
-    """(bucket, kind, chunk, data): each batch's tokens by bucket (kind 0), and its documents (kind 1), once."""
+    """Rows of each chunk's tokens by bucket (kind tokens), and of its documents, once (kind docs); `part` is the chunk."""
     hot = np.array(sorted(splits), dtype=U64)
     pieces = np.array([splits[int(h)] for h in hot], dtype=U64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for seq, batch in enumerate(batches):
-            words, places, counts = _tokens(batch)
+        for seq, batch in enumerate(_slices(batches)):
+            words, contexts, counts = _tokens(batch)
             if not len(words):
                 continue
             chunk = (task << 24) + seq
@@ -127,178 +149,321 @@ def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
                 is_hot = hot[at] == words
-                bucket[is_hot] = (bucket[is_hot] + mix(places[is_hot].astype(U64)) % pieces[at[is_hot]]) % U64(n_buckets)
+                bucket[is_hot] = (bucket[is_hot] + mix(contexts[is_hot]) % pieces[at[is_hot]]) % U64(n_buckets)
                 del at, is_hot
-            order = np.lexsort((words, bucket))
-            bucket, words, places, doc = bucket[order], words[order], places[order], doc[order]
-            edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            order = np.lexsort((contexts, words, bucket))
+            doc = doc[order]
+            starts = _runs_of(bucket[order], words[order], contexts[order])
+            runs = np.diff(np.append(starts, len(order))).astype("<u4")
+            first = order[starts]
+            bucket, words, contexts = bucket[first], words[first], contexts[first]
+            starts = np.append(starts, len(order))
+            edges = np.append(_runs_of(bucket), len(bucket))
             named = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            rows = [(int(chunk % n_buckets), 1, chunk, _zip(named, np.array([i is None for i in ids]), held, counts))]
+            rows = [(int(chunk % n_buckets), "docs", chunk, _zip(named, np.array([i is None for i in ids]), held, counts))]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = words[a:b]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                runs = np.diff(np.append(starts, len(own))).astype(np.uint32)
-                rows.append((int(bucket[a]), 0, chunk, _zip(own[starts], runs, places[a:b], doc[a:b])))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "chunk", "data"])
+                at = _runs_of(own)
+                many = np.diff(np.append(at, len(own))).astype("<u4")
+                rows.append((int(bucket[a]), "tokens", chunk, _zip(own[at], many, *_low_high(contexts[a:b]), runs[a:b], doc[starts[a] : starts[b]])))
+            yield _rows(rows)
+
+    return docs.mapInArrow(work, _SCHEMA)
 
-    return docs.mapInArrow(work, "bucket long, kind int, chunk long, data binary")
+
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+
+def _rows(rows: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=["bucket", "kind", "part", "data"])
 
 
 @dataclass
-class Bucket:
-    """A bucket's types: (word, restaurant) pairs sorted by word, with training counts; and which words are split over buckets."""
+class Group:
+    """The rows of a bucket, or of a part of the contexts."""
+
+    rows: list[tuple[int, str, int, bytes]]
+
+    @staticmethod
+    def of(table: pa.Table) -> Group:
+        return Group(list(zip(*(table.column(k).to_pylist() for k in ("bucket", "kind", "part", "data")), strict=True)))
+
+    def each(self, kind: str) -> list[tuple[int, int, list[np.ndarray]]]:
+        """(bucket, part, arrays) of a kind, in their order."""
+        return sorted(((b, p, _unzip(d)) for b, k, p, d in self.rows if k == kind), key=lambda r: r[:2])
+
+    def one(self, kind: str) -> list[np.ndarray] | None:
+        found = self.each(kind)
+        return found[0][2] if found else None
+
+
+@dataclass
+class Types:
+    """A bucket's (word, context) pairs sorted by word, with training counts; which words are split over buckets; and its contexts.
+
+    Contexts are numbered part by part, as replies come; `edges` tells where the parts start.
+    """
 
     words: np.ndarray
     split: np.ndarray
     word: np.ndarray
-    place: np.ndarray
+    context: np.ndarray
     count: np.ndarray
 
+    @staticmethod
+    def read(arrays: list[np.ndarray]) -> Types:
+        words, split, word, low, high, count = arrays
+        return Types(words, split.astype(bool), word.astype(np.int64), _whole(low, high), count.astype(np.int64))
+
     def pack(self) -> bytes:
-        return _zip(self.words, self.split, self.word, self.place, self.count)
-
-
-def merge(parts: list[tuple[int, bytes]], hot: np.ndarray) -> tuple[Bucket, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The types of a bucket, and per chunk each token's type and document."""
-    words, places, docs, sizes, names = [], [], [], [], []
-    for chunk, data in sorted(parts):
-        own, runs, place, doc = _unzip(data)
-        words.append(np.repeat(own, runs))
-        places.append(place)
-        docs.append(doc)
-        sizes.append(len(place))
-        names.append(chunk)
-    every, place, doc = np.concatenate(words), np.concatenate(places), np.concatenate(docs)
-    del words, places, docs
-    different, word = np.unique(every, return_inverse=True)
-    del every
-    word = word * CLASSES + place
-    del place
-    types, kind = np.unique(word, return_inverse=True)
-    del word
-    kind = kind.astype(np.int32)
-    count = np.bincount(kind[(doc & 1) == 0], minlength=len(types))
-    split = np.isin(different, hot)
-    bucket = Bucket(different, split, (types // CLASSES).astype(np.int32), (types % CLASSES).astype(np.uint16), count.astype(np.int64))
-    ends = np.cumsum(sizes)
-    return bucket, [(n, kind[e - s : e], doc[e - s : e]) for n, s, e in zip(names, sizes, ends, strict=True)]
-
-
-def seat(count: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Sample the number of tables for each count of customers, seated one after the other.
-
-    A customer opens a table with odds strength * base against the customers seated less the discount of
-    each table. From 32 customers on they come in groups of a sixteenth of those seated, within which the
-    odds are held.
-    """
-    tables = (count > 0).astype(np.float64)
-    seated = tables.copy()
-    going = np.flatnonzero(count > 1)
-    pull = strength * base
-    while len(going):
-        n, t = seated[going], tables[going]
-        group = np.minimum(count[going] - n, np.maximum(1, n // 16)).astype(np.int64)
-        chance = np.clip(pull[going] / (n - discount * t + pull[going]), 0, 1)
-        tables[going] += rng.binomial(group, chance)
-        seated[going] += group
-        going = going[seated[going] < count[going]]
-    return tables
+        return _zip(self.words, self.split, self.word.astype("<i4"), *_low_high(self.context), self.count.astype("<u4"))
+
+    def contexts(self, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different contexts in their order, and each type's number."""
+        different, number = np.unique(self.context, return_inverse=True)
+        order = np.argsort(different % U64(n_parts), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return different[order], place[number]
+
+
+def _by_part(bucket: int, kind: str, contexts: np.ndarray, n_parts: int, *values: np.ndarray) -> list[tuple[int, str, int, bytes]]:
+    """Rows of values by context for each part; contexts are in part order."""
+    parts = (contexts % U64(n_parts)).astype(np.int64)
+    edges = np.append(_runs_of(parts), len(parts))
+    return [
+        (bucket, kind, int(parts[a]), _zip(*_low_high(contexts[a:b]), *(v[a:b].astype("<u4") for v in values)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+    ]
+
+
+def sums_by_context(rows: DataFrame, given: int = 0) -> DataFrame:
+    """For each row `asks` (contexts and values) a row `reply` with the sums over all buckets; of the so many values in rows `gives` instead, if any are given."""
+
+    def total(table: pa.Table) -> pa.Table:
+        group = Group.of(table)
+        asked = [(b, p, _whole(a[0], a[1]), a[2:]) for b, p, a in group.each("asks")]
+        added = [(_whole(a[0], a[1]), a[2:]) for _, _, a in group.each("gives")] if given else [(c, v) for _, _, c, v in asked]
+        width = given or len(asked[0][3])
+        different = np.unique(np.concatenate([c for _, _, c, _ in asked]))
+        sums = np.zeros((width, len(different)))
+        for contexts, values in added:
+            at = np.searchsorted(different, contexts)
+            for k, v in enumerate(values):
+                sums[k, at] += v  # a row's contexts differ
+        out = []
+        for b, p, contexts, _ in asked:
+            at = np.searchsorted(different, contexts)
+            out.append((b, "reply", p, _zip(*(sums[k, at].astype("<u4") for k in range(width)))))
+        return pa.Table.from_batches([_rows(out)])
+
+    return rows.groupBy("part").applyInArrow(total, _SCHEMA)
+
+
+def _replies(group: Group) -> list[np.ndarray]:
+    """The sums of all parts in a row, for each value."""
+    return [np.concatenate(x).astype(np.int64) for x in zip(*(arrays for _, _, arrays in group.each("reply")), strict=True)]
 
 
 @dataclass
 class State:
-    """What all buckets share in a sample: sums over the corpus."""
+    """What all buckets share in a sweep."""
 
     tokens: int
     vocabulary: int
-    customers: np.ndarray
-    tables: np.ndarray
-    root_customers: float
-    root_tables: float
     discount: float
     root_discount: float
-    #: Split words: count, customers at the root, tables at the root.
-    split: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+    root_customers: float
+    root_tables: float
+    #: Words that are split over buckets, rising, with their counts, and customers and tables at the root.
+    split: np.ndarray
+    split_count: np.ndarray
+    split_customers: np.ndarray
+    split_tables: np.ndarray
+
+    def new(self) -> float:
+        """The root's pull of a new table."""
+        return (ROOT_STRENGTH + self.root_discount * self.root_tables) / (self.vocabulary + 1)
 
     def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent's probabilities of words with so many customers and tables there."""
-        new = (ROOT_STRENGTH + self.root_discount * self.root_tables) / (self.vocabulary + 1)
-        return (customers - self.root_discount * tables + new) / (ROOT_STRENGTH + self.root_customers)
+        return (customers - self.root_discount * np.minimum(tables, customers) + self.new()) / (ROOT_STRENGTH + self.root_customers)
 
-    def column(self, words: np.ndarray, k: int) -> np.ndarray:
-        return np.array([self.split.get(int(w), (0.0, 0.0, 0.0))[k] for w in words])
+    def of_split(self, words: np.ndarray, which: np.ndarray, values: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """`own`, with the values of split words in their places."""
+        out = own.astype(np.float64)
+        if which.any():
+            out[which] = values[np.searchsorted(self.split, words[which])]
+        return out
 
 
-def sample(b: Bucket, state: State, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One sweep over a bucket, given the words' customers and tables at the root: tables per type, and the words' new customers and tables there."""
-    strength = (STRENGTH + state.discount * state.tables)[b.place]
-    own = seat(b.count, strength, state.root(customers, tables)[b.word], state.discount, rng)
-    sent = np.bincount(b.word, weights=own, minlength=len(b.words))
-    level = np.full(len(b.words), ROOT_STRENGTH + state.root_discount * state.root_tables)
-    at_root = seat(sent, level, np.full(len(b.words), 1 / (state.vocabulary + 1)), state.root_discount, rng)
-    return own, sent, at_root
+def root_pull(state: State) -> Callable:
+    """The root's pull of a new table, whose others are as the last sweep left them."""
+    return lambda dishes, tables, closed: np.full(len(dishes), state.new())
 
 
-def _first(b: Bucket, state: State) -> tuple[np.ndarray, np.ndarray]:
-    """The root's customers and tables when every type has one table."""
-    customers = np.bincount(b.word, weights=b.count > 0, minlength=len(b.words))
-    customers[b.split] = state.column(b.words[b.split], 1)
-    return customers, (customers > 0).astype(np.float64)
+class Chain:
+    """A bucket's seating: of the types with two customers or more, and of its whole words at the root."""
 
+    NAMES = ("words", "split", "word", "context", "number", "known", "kinds", "count", "dish", "size", "root_dish", "root_size")
 
-def _sums(b: Bucket, tables: np.ndarray, sent: np.ndarray, at_root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables by restaurant with the root's customers and tables behind them; and of the split words, their customers."""
-    by_place = np.bincount(b.place, weights=tables, minlength=CLASSES)
-    whole = ~b.split
-    return np.concatenate([by_place, [sent[whole].sum(), at_root[whole].sum()]]), b.words[b.split], sent[b.split]
+    def __init__(self, **arrays: np.ndarray):
+        self.a = arrays
+
+    @staticmethod
+    def start(types: Types, contexts: np.ndarray, number: np.ndarray, known: np.ndarray) -> Chain:
+        """Every type and every word at one table."""
+        active = np.flatnonzero(types.count > 1)
+        used, place = np.unique(number[active], return_inverse=True)
+        kinds = np.bincount(types.word, weights=types.count > 0, minlength=len(types.words)).astype(np.int64)
+        seats, root = Seating.together(types.count[active]), Seating.together(np.where(types.split, 0, kinds))
+        return Chain(
+            words=types.words, split=types.split, word=types.word[active], context=contexts[used], number=place, known=known[used], kinds=kinds,
+            count=types.count[active], dish=seats.dish, size=seats.size, root_dish=root.dish, root_size=root.size,
+        )
 
+    @staticmethod
+    def read(arrays: list[np.ndarray]) -> Chain:
+        out = Chain(**dict(zip(Chain.NAMES, arrays, strict=True)))
+        out.a["context"] = out.a["context"].astype(U64)
+        out.a["split"] = out.a["split"].astype(bool)
+        for name in set(Chain.NAMES) - {"words", "split", "context"}:
+            out.a[name] = out.a[name].astype(np.int64)
+        return out
 
-def _total(rows: DataFrame, spark: SparkSession, width: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Sum the rows (sums, words, values) over all buckets, in parts of 32, so that the driver sees few."""
+    def pack(self) -> bytes:
+        small = {"word", "number", "known", "kinds", "count", "dish", "size", "root_dish", "root_size"}
+        return _zip(*(self.a[n].astype("<u4") if n in small else self.a[n] for n in Chain.NAMES))
+
+    def seats(self) -> Seating:
+        return Seating(len(self.a["count"]), self.a["dish"], self.a["size"])
+
+    def root(self) -> Seating:
+        return Seating(len(self.a["words"]), self.a["root_dish"], self.a["root_size"])
+
+    def extra(self) -> np.ndarray:
+        """Tables beyond the first of each type, by context."""
+        return np.bincount(self.a["number"], weights=self.seats().tables() - 1, minlength=len(self.a["context"]))
+
+    def sent(self, tables: np.ndarray) -> np.ndarray:
+        """The customers that a word's types send to the root."""
+        return self.a["kinds"] + np.bincount(self.a["word"], weights=tables - 1, minlength=len(self.a["words"])).astype(np.int64)
+
+    def sweep(self, state: State, others: np.ndarray, rng: np.random.Generator) -> None:
+        """Reseat every customer, given the tables of each context in all buckets; then the root's."""
+        word, number = self.a["word"], self.a["number"]
+        seats, root = self.seats(), self.root()
+        began = seats.tables()
+        # what is at the root now: of a split word all buckets' customers, of which this one's change
+        customers = state.of_split(self.a["words"], self.a["split"], state.split_customers, self.sent(began))
+        tables = state.of_split(self.a["words"], self.a["split"], state.split_tables, root.tables())
+
+        def pull(dishes: np.ndarray, now: np.ndarray, closed: np.ndarray) -> np.ndarray:
+            customers[:] -= np.bincount(word[dishes], weights=closed, minlength=len(customers))
+            strength = STRENGTH + state.discount * (others[number[dishes]] - began[dishes] + now)
+            opened[dishes] = closed
+            return strength * state.root(customers[word[dishes]], tables[word[dishes]])
+
+        def note(dishes: np.ndarray, change: np.ndarray) -> None:
+            # what has closed is taken off already
+            customers[:] += np.bincount(word[dishes], weights=change + opened[dishes], minlength=len(customers))
+
+        opened = np.zeros(len(word), dtype=np.int64)
+        seats.sweep(state.discount, pull, rng, note)
+        self.a["dish"], self.a["size"] = seats.dish, seats.size
+        root.resize(np.where(self.a["split"], 0, self.sent(seats.tables())), state.root_discount, root_pull(state), rng)
+        root.sweep(state.root_discount, root_pull(state), rng)
+        self.a["root_dish"], self.a["root_size"] = root.dish, root.size
+
+    def sums(self) -> bytes:
+        """The root's customers and tables of whole words, and the customers of each split one."""
+        sent, split = self.sent(self.seats().tables()), self.a["split"]
+        whole = np.array([sent[~split].sum(), len(self.a["root_dish"])], dtype=np.float64)
+        return _zip(whole, self.a["words"][split], sent[split].astype(np.float64))
+
+    def sample(self) -> bytes:
+        """What probabilities need: tables of types, and customers and tables of words."""
+        tables = self.seats().tables()
+        return _zip(tables.astype("<u4"), self.sent(tables).astype("<u4"), self.root().tables().astype("<u4"))
+
+
+def gather(parts: list[tuple[int, list[np.ndarray]]], hot: np.ndarray) -> tuple[Types, bytes, bytes]:
+    """Of a bucket's tokens by chunk: its types; per chunk each token's type and document; and counts for all buckets' sums."""
+    own = [np.repeat(a[0], a[1]) for _, a in parts]
+    sizes = [len(x) for x in own]
+    runs = np.concatenate([a[4] for _, a in parts])
+    docs = np.concatenate([a[5] for _, a in parts])
+    words, word = np.unique(np.concatenate(own), return_inverse=True)
+    key = (word.astype(U64) << U64(CONTEXT_BITS)) | np.concatenate([_whole(a[2], a[3]) for _, a in parts])
+    del own, word
+    keys, kind = np.unique(key, return_inverse=True)
+    del key
+    count = np.bincount(np.repeat(kind, runs)[(docs & 1) == 0], minlength=len(keys))
+    types = Types(words, np.isin(words, hot), (keys >> U64(CONTEXT_BITS)).astype(np.int64), keys & _MASK, count)
+    starts = np.cumsum(sizes) - sizes
+    steps = np.diff(kind, prepend=0)
+    steps[starts] = kind[starts]
+    uses = _zip(
+        np.array([c for c, _ in parts], dtype=np.int64), np.array(sizes, dtype=np.int64), np.array([len(a[5]) for _, a in parts], dtype=np.int64),
+        steps.astype("<i4"), runs.astype("<u4"), docs,
+    )
+    by_word = np.bincount(types.word, weights=count, minlength=len(words))
+    kinds = np.bincount(types.word, weights=count > 0, minlength=len(words))
+    whole = ~types.split
+    facts = [count.sum(), (by_word[whole] > 0).sum(), (count == 1).sum(), (count == 2).sum(), (kinds[whole] == 1).sum(), (kinds[whole] == 2).sum(), kinds[whole].sum()]
+    sums = _zip(np.array(facts, dtype=np.float64), words[types.split], np.stack([by_word, kinds], axis=1)[types.split].ravel())
+    return types, uses, sums
+
+
+def _total(rows: DataFrame) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Sum the rows (sums, words, values of each) over all buckets, in parts of 32, so that the driver sees few."""
+
+    def add(packed: Iterator[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        total, split = 0, {}
+        for data in packed:
+            part, words, values = _unzip(data)
+            total = total + part
+            for w, v in zip(words.tolist(), values.reshape(len(words), -1) if len(words) else [], strict=True):
+                split[w] = split.get(w, 0) + v
+        return total, split
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, split = np.zeros(width), {}
-        for batch in batches:
-            for one in batch.column(0):
-                part, words, values = _unzip(one.as_buffer().to_pybytes())
-                total = total + part
-                for w, v in zip(words.tolist(), values.reshape(len(words), -1) if len(words) else [], strict=True):
-                    split[w] = split.get(w, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array([_zip(total, np.array(list(split), dtype=U64), np.array(list(split.values()), dtype=np.float64).ravel())], pa.binary())], names=["data"])
+        total, split = add(one.as_buffer().to_pybytes() for batch in batches for one in batch.column(0))
+        if not isinstance(total, int):
+            packed = _zip(total, np.array(list(split), dtype=U64), np.array(list(split.values()), dtype=np.float64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["data"])
 
+    rows = rows.select("data")
     n = rows.count()
     while n > 32:
         n = -(-n // 32)
         rows = rows.repartition(n).mapInArrow(work, "data binary")
-    total, split = np.zeros(width), {}
-    for row in rows.collect():
-        part, words, values = _unzip(bytes(row.data))
-        total = total + part
-        for w, v in zip(words.tolist(), values.reshape(len(words), -1) if len(words) else [], strict=True):
-            split[w] = split.get(w, 0) + v
-    return total, split
-
-
-@contextmanager
-def _row_by_row(spark: SparkSession) -> Iterator[None]:
-    """Read written buckets one by one, not by thousands."""
-    name = "spark.sql.parquet.enableVectorizedReader"
-    old, rows = spark.conf.get(name), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(name, "false")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return add(bytes(row.data) for row in rows.collect())
 
 
 def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_tokens: int = BUCKET_TOKENS, samples: int = SAMPLES, seed: int = 6) -> DataFrame:
+def probabilities(types: Types, known: tuple[np.ndarray, np.ndarray], number: np.ndarray, states: list[State], samples: list[list[np.ndarray]], extras: list[np.ndarray]) -> np.ndarray:
+    """Each type's probability, averaged over samples."""
+    customers, kinds = known
+    active = np.flatnonzero(types.count > 1)
+    chance = np.zeros(len(types.count))
+    for state, (tables, sent, at_root), extra in zip(states, samples, extras, strict=True):
+        own = (types.count > 0).astype(np.float64)
+        own[active] = tables
+        sent = state.of_split(types.words, types.split, state.split_customers, sent)
+        at_root = state.of_split(types.words, types.split, state.split_tables, at_root)
+        here, there = customers[number], (kinds + extra)[number]
+        parent = state.root(sent, at_root)[types.word]
+        chance += (types.count - state.discount * own + (STRENGTH + state.discount * there) * parent) / (STRENGTH + here)
+    return chance / len(states)
+
+
+def pitman_yor_scores(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_tokens: int = BUCKET_TOKENS, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 6
+) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are lower-cased (A-Z) and followed by one end, which is a token too. Documents with
@@ -307,7 +472,7 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known words and one unknown; perplexity is 10 ** (-score / n_tokens). A null or empty text is its end
     alone. A null id counts as an empty text in the crc32. Repeated rows train and are scored one by one.
     Without training tokens both models give every token the whole base. An empty table gives an empty
-    result; other columns are not returned.
+    result; other columns are not returned. Discounts are set from the counts of ones and twos.
     """
     spark = df.sparkSession
     bounded_batches(spark, ROWS)
@@ -318,162 +483,157 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not sizes:
         return spark.createDataFrame([], schema).withColumnRenamed("__id", id_col)
     n_buckets = max(2, -(-sizes // bucket_tokens))
-    if 0.25 / n_buckets < 2 * SHARE:
-        sizes, often = frequent_words(docs, 0.125 / n_buckets)
-    often = {w: n for w, n in often.items() if n >= 0.125 * sizes / n_buckets}
+    n_parts = -(-n_buckets // 4)
+    share = max(LEAST_SHARE, 0.125 / n_buckets)
+    if share < 2 * SHARE:
+        sizes, often = frequent_words(docs, share)
+    often = {w: n for w, n in often.items() if n >= share * sizes}
     hot = np.array(sorted(often), dtype=U64)
     splits = {w: max(1, math.ceil(4 * n * n_buckets / sizes)) for w, n in often.items()}
 
-    def gather(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        rows = list(zip(group.column("kind").to_pylist(), group.column("chunk").to_pylist(), group.column("data").to_pylist(), strict=True))
-        named = [(c, d) for k, c, d in rows if k == 1]
-        tokens = [(c, d) for k, c, d in rows if k == 0]
-        types, places, sums = b"", b"", b""
+    def gathered(table: pa.Table) -> pa.Table:
+        group = Group.of(table)
+        bucket = group.rows[0][0]
+        out = [r for r in group.rows if r[1] == "docs"]
+        tokens = [(p, a) for _, p, a in group.each("tokens")]
         if tokens:
-            b, uses = merge(tokens, hot)
-            types = b.pack()
-            places = _zip(
-                np.array([c for c, _, _ in uses], dtype=np.int64),
-                np.array([len(k) for _, k, _ in uses], dtype=np.int64),
-                np.concatenate([np.diff(k, prepend=np.int32(0)) for _, k, _ in uses]).astype(np.int32),
-                np.concatenate([d for _, _, d in uses]),
-            )
-            seen = b.count > 0
-            by_word = np.bincount(b.word, weights=b.count, minlength=len(b.words))
-            kinds = np.bincount(b.word, weights=seen, minlength=len(b.words))
-            whole = ~b.split
-            facts = [b.count.sum(), (by_word[whole] > 0).sum(), (b.count == 1).sum(), (b.count == 2).sum(), (kinds[whole] == 1).sum(), (kinds[whole] == 2).sum()]
-            customers = np.bincount(b.place, weights=b.count, minlength=CLASSES)
-            total = np.concatenate([customers, np.bincount(b.place, weights=seen, minlength=CLASSES), facts])
-            sums = _zip(total, b.words[b.split], np.stack([by_word, kinds], axis=1)[b.split].ravel())
-        named_chunks = pa.array([[{"chunk": c, "data": d} for c, d in named]], pa.list_(pa.struct([("chunk", pa.int64()), ("data", pa.binary())])))
-        return pa.table({"bucket": [bucket], "types": pa.array([types], pa.binary()), "uses": pa.array([places], pa.binary()), "sums": pa.array([sums], pa.binary()), "docs": named_chunks})
-
-    dealt = deal(docs, n_buckets, splits)
-    packed = dealt.groupBy("bucket").applyInArrow(gather, "bucket long, types binary, uses binary, sums binary, docs array<struct<chunk: long, data: binary>>")
-    buckets = stash.keep(packed, "buckets")
-    filled = buckets.filter(F.length("types") > 0)
-
-    with _row_by_row(spark):
-        total, split = _total(filled.select(F.col("sums").alias("data")), spark, 2 * CLASSES + 6)
-        customers, tables, facts = total[:CLASSES], total[CLASSES : 2 * CLASSES], total[2 * CLASSES :]
-        words = {w: (v[0], v[1], float(v[1] > 0)) for w, v in split.items()}
-        known = [v for v in words.values() if v[0] > 0]
-        vocabulary = int(facts[1]) + len(known)
+            types, uses, sums = gather(tokens, hot)
+            contexts, number = types.contexts(n_parts)
+            customers = np.bincount(number, weights=types.count, minlength=len(contexts))
+            kinds = np.bincount(number, weights=types.count > 0, minlength=len(contexts))
+            out += [(bucket, "types", 0, types.pack()), (bucket, "uses", 0, uses), (bucket, "sums", 0, sums)]
+            out += _by_part(bucket, "asks", contexts, n_parts, customers, kinds)
+        return pa.Table.from_batches([_rows(out)])
+
+    def each_bucket(rows: DataFrame, work: Callable, out: str = _SCHEMA) -> DataFrame:
+        return rows.groupBy("bucket").applyInArrow(work, out)
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        """Write rows of large binaries, reading others one by one, not by thousands."""
+        with setting(spark, "spark.sql.parquet.enableVectorizedReader", "false"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
+            return stash.keep(rows, name)
+
+    def of(rows: DataFrame, *kinds: str) -> DataFrame:
+        return rows.filter(F.col("kind").isin(*kinds))
+
+    buckets = stash.keep(each_bucket(deal(docs, n_buckets, splits), gathered), "buckets")
+    facts, split = _total(of(buckets, "sums"))
+    words = np.array(sorted(split), dtype=U64)
+    counts = np.array([split[int(w)][0] for w in words])
+    kinds = np.array([split[int(w)][1] for w in words]).astype(np.int64)
+    known = kinds > 0
+    vocabulary = int(facts[1]) + int(known.sum())
+    state = State(
+        int(facts[0]), vocabulary, _discount(facts[2], facts[3]), _discount(facts[4] + (kinds == 1).sum(), facts[5] + (kinds == 2).sum()),
+        float(facts[6] + kinds.sum()), float(vocabulary), words, counts, kinds.astype(np.float64), known.astype(np.float64),
+    )
+    split_root = Seating.together(kinds)
+    replies = kept(sums_by_context(of(buckets, "asks")), "known")
+
+    def chain_row(bucket: int, chain: Chain) -> list[tuple[int, str, int, bytes]]:
+        rows = [(bucket, "chain", 0, chain.pack()), (bucket, "sums", 0, chain.sums())]
+        return rows + _by_part(bucket, "asks", chain.a["context"], n_parts, chain.extra())
+
+    def begin(table: pa.Table) -> pa.Table:
+        group = Group.of(table)
+        arrays = group.one("types")
+        if arrays is None:
+            return pa.Table.from_batches([_rows([])])
+        types = Types.read(arrays)
+        chain = Chain.start(types, *types.contexts(n_parts), _replies(group)[1])
+        return pa.Table.from_batches([_rows(chain_row(group.rows[0][0], chain))])
+
+    rows = kept(each_bucket(of(buckets, "types").unionByName(replies), begin), "chain0")
+    last = burn_in + samples
+
+    def sweep(step: int, state: State) -> Callable:
+        def move(table: pa.Table) -> pa.Table:
+            group = Group.of(table)
+            bucket, chain = group.rows[0][0], Chain.read(group.one("chain"))
+            extra = _replies(group)
+            chain.sweep(state, chain.a["known"] + (extra[0] if extra else 0), np.random.default_rng([seed, step, bucket]))
+            out = chain_row(bucket, chain)
+            if step > burn_in:
+                out.append((bucket, "sample", step, chain.sample()))
+                none = np.zeros(len(chain.a["context"]))
+                out += _by_part(bucket, "gives", chain.a["context"], n_parts, *(chain.extra() if k == step else none for k in range(burn_in + 1, last + 1)))
+            return pa.Table.from_batches([_rows(out)])
+
+        return move
+
+    states: list[State] = []
+    sampled: DataFrame | None = None
+    for step in range(1, last + 1):
+        moved = kept(each_bucket(of(rows, "chain").unionByName(sums_by_context(of(rows, "asks"))), sweep(step, state)), f"chain{step}")
+        if step - 1 <= burn_in:
+            stash.drop(f"chain{step - 1}")
+        rows = moved
+        whole, split = _total(of(rows, "sums"))
+        sent = np.array([split[int(w)][0] for w in words]).astype(np.int64)
+        rng = np.random.default_rng([seed, step])
+        split_root.resize(sent, state.root_discount, root_pull(state), rng)
+        split_root.sweep(state.root_discount, root_pull(state), rng)
+        at_root = split_root.tables()
         state = State(
-            int(facts[0]), vocabulary, customers, tables, float(tables.sum()), float(vocabulary),
-            _discount(facts[2], facts[3]), _discount(facts[4] + sum(v[1] == 1 for v in known), facts[5] + sum(v[1] == 2 for v in known)), words,
-        )
-
-        def swept(before: State, run: Callable, n: int, step: int) -> list[State]:
-            """n samples of all buckets, each with its own sums."""
-
-            def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                        b = Bucket(*_unzip(data.as_buffer().to_pybytes()))
-                        parts = [_sums(b, *run(b, number, k)) for k in range(n)]
-                        values = np.stack([p[2] for p in parts], axis=1).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array([_zip(np.concatenate([p[0] for p in parts]), parts[0][1], values)], pa.binary())], names=["data"])
-
-            # each pass reads only the types
-            rows = stash.keep(filled.select("bucket", "types").mapInArrow(work, "data binary"), f"sweep{step}")
-            total, split = _total(rows, spark, n * (CLASSES + 2))
-            out = []
-            for k in range(n):
-                part = total[k * (CLASSES + 2) : (k + 1) * (CLASSES + 2)]
-                words = sorted(split)
-                sent = np.array([split[w][k] for w in words])
-                level = np.full(len(words), ROOT_STRENGTH + before.root_discount * before.root_tables)
-                at_root = seat(sent, level, np.full(len(words), 1 / (before.vocabulary + 1)), before.root_discount, np.random.default_rng([seed, step, k]))
-                named = {w: (before.split[w][0], s, t) for w, s, t in zip(words, sent.tolist(), at_root.tolist(), strict=True)}
-                out.append(
-                    State(before.tokens, before.vocabulary, before.customers, part[:CLASSES], float(part[CLASSES] + sent.sum()), float(part[CLASSES + 1] + at_root.sum()), before.discount, before.root_discount, named)
-                )
-            return out
-
-        def burn_in(b: Bucket, number: int, _: int, state: State = state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return sample(b, state, *_first(b, state), np.random.default_rng([seed, 0, number]))
-
-        warm = swept(state, burn_in, 1, 0)[0]
-
-        def draw(b: Bucket, number: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            _, sent, at_root = burn_in(b, number, 0)
-            sent, at_root = sent.copy(), at_root.copy()
-            sent[b.split], at_root[b.split] = warm.column(b.words[b.split], 1), warm.column(b.words[b.split], 2)
-            return sample(b, warm, sent, at_root, np.random.default_rng([seed, 1, number, k]))
-
-        states = swept(warm, draw, samples, 1)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[np.ndarray]] = {}
-
-            def row(chunk: int, kind: int, data: bytes) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "kind", "data"])
-
-            def summed() -> Iterator[pa.RecordBatch]:
-                """What this task's buckets have of each chunk, for the documents with tokens in them."""
-                for chunk, (model_sum, base_sum, known, touched) in held.items():
-                    # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
-                    yield row(chunk, 0, _zip(np.packbits(touched), model_sum[touched].astype(np.float32), base_sum[touched], known[touched].astype(np.uint32)))
-                held.clear()
-
-            for batch in batches:
-                for number, types, uses, named in zip(*(batch.column(k) for k in range(4)), strict=True):
-                    for d in named.as_py():
-                        yield row(d["chunk"], 1, d["data"])
-                    data = types.as_buffer().to_pybytes()
-                    if not data:
-                        continue
-                    b = Bucket(*_unzip(data))
-                    chance = np.zeros(len(b.count))
-                    for k, s in enumerate(states):
-                        own, sent, at_root = draw(b, number.as_py(), k)
-                        sent, at_root = sent.copy(), at_root.copy()
-                        sent[b.split], at_root[b.split] = s.column(b.words[b.split], 1), s.column(b.words[b.split], 2)
-                        parent = s.root(sent, at_root)[b.word]
-                        here, there = s.customers[b.place], s.tables[b.place]
-                        chance += (b.count - s.discount * own + (STRENGTH + s.discount * there) * parent) / (STRENGTH + here) / len(states)
-                    by_word = np.bincount(b.word, weights=b.count, minlength=len(b.words))
-                    by_word[b.split] = state.column(b.words[b.split], 0)
-                    seen = by_word[b.word]
-                    model, base = np.log10(chance), np.log10((seen + 1) / (state.tokens + state.vocabulary + 1))
-                    chunk_ids, sizes, steps, doc = _unzip(uses.as_buffer().to_pybytes())
-                    ends = np.cumsum(sizes)
-                    for c, a, e in zip(chunk_ids.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                        kind, place = np.cumsum(steps[a:e]), doc[a:e] >> 1
-                        if c not in held:
-                            if len(held) >= HELD_CHUNKS:
-                                yield from summed()
-                            held[c] = [np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=bool)]
-                        n = int(place.max()) + 1
-                        for total, weight in zip(held[c], (model, base, seen > 0), strict=False):
-                            total[:n] += np.bincount(place, weights=weight[kind])
-                        held[c][3][:n] |= np.bincount(place) > 0
-            yield from summed()
-
-        parts = stash.keep(buckets.select("bucket", "types", "uses", "docs").mapInArrow(score, "chunk long, kind int, data binary"), "parts")
-    stash.drop("buckets")
+            state.tokens, vocabulary, state.discount, state.root_discount, float(whole[0] + sent.sum()), float(whole[1] + at_root.sum()), words, counts, sent.astype(np.float64), at_root.astype(np.float64)
+        )
+        if step > burn_in:
+            states.append(state)
+            sampled = rows if sampled is None else sampled.unionByName(rows)
+
+    extras = kept(sums_by_context(of(buckets, "asks").unionByName(of(sampled, "gives")), given=samples), "extras")
+
+    def score(table: pa.Table) -> pa.Table:
+        group = Group.of(table)
+        chunk, kind, out = [], [], []
+        for b, k, p, d in group.rows:
+            if k == "docs":
+                chunk.append(p)
+                kind.append(1)
+                out.append(d)
+        arrays = group.one("types")
+        if arrays is not None:
+            types = Types.read(arrays)
+            _, number = types.contexts(n_parts)
+            asked = Group([(b, "reply", p, d) for b, k, p, d in group.rows if k == "known"])
+            chance = probabilities(types, _replies(asked), number, states, [a for _, _, a in group.each("sample")], _replies(group))
+            by_word = np.bincount(types.word, weights=types.count, minlength=len(types.words))
+            seen = state.of_split(types.words, types.split, state.split_count, by_word)[types.word]
+            model, base = np.log10(chance), np.log10((seen + 1) / (state.tokens + state.vocabulary + 1))
+            names, n_types, n_tokens, steps, runs, docs_of = group.one("uses")
+            ends, token_ends = np.cumsum(n_types), np.cumsum(n_tokens)
+            for c, a, e, ta, te in zip(names.tolist(), (ends - n_types).tolist(), ends.tolist(), (token_ends - n_tokens).tolist(), token_ends.tolist(), strict=True):
+                each = np.repeat(np.cumsum(steps[a:e].astype(np.int64)), runs[a:e])
+                place, doc = np.unique(docs_of[ta:te] >> 1, return_inverse=True)
+                sums = [np.bincount(doc, weights=v[each]) for v in (model, base, seen > 0)]
+                chunk.append(c)
+                kind.append(0)
+                # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
+                out.append(_zip(place.astype("<u2"), sums[0].astype(np.float32), sums[1], sums[2].astype("<u4")))
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array(kind, pa.int32()), "data": pa.array(out, pa.binary())})
+
+    renamed = replies.withColumn("kind", F.lit("known"))
+    every = of(buckets, "types", "uses", "docs").unionByName(renamed).unionByName(of(sampled, "sample")).unionByName(extras)
+    parts = kept(each_bucket(every, score, "chunk long, kind int, data binary"), "parts")
+    stash.drop("buckets", "known", "extras", *[f"chain{k}" for k in range(burn_in, last + 1)])
     tokens = state.tokens
 
-    def finish(group: pa.Table) -> pa.Table:
-        model, base, known = np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=np.int64)
-        for kind, data in zip(group.column("kind").to_pylist(), group.column("data"), strict=True):
-            arrays = _unzip(data.as_buffer().to_pybytes())
+    def finish(table: pa.Table) -> pa.Table:
+        model, base, seen = np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=np.int64)
+        for kind, data in sorted(zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True)):
+            arrays = _unzip(data)
             if kind == 1:
                 ids, null, held, counts = arrays
             else:
-                some = np.flatnonzero(np.unpackbits(arrays[0]))
-                for total, part in zip((model, base, known), arrays[1:], strict=True):
-                    total[some] += part
+                for total, part in zip((model, base, seen), arrays[1:], strict=True):
+                    total[arrays[0]] += part
         n = len(ids)
         return pa.table(
             {
                 "__id": pa.array(ids, mask=null.astype(bool)),
                 "held_out": pa.array(held.astype(bool)),
                 "n_tokens": pa.array(counts),
-                "n_known": pa.array(known[:n]),
+                "n_known": pa.array(seen[:n]),
                 "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)),
                 "base_score": pa.array(base[:n]),
                 "score": pa.array(model[:n]),

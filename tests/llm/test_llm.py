@@ -13,7 +13,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from spendcurve.llm import importance, minhash, packing, pieces, pitman_yor, quality_rules, substrings, textops, token_store, tokens, topk, url_filter
+from spendcurve.llm import importance, minhash, packing, pieces, pitman_yor, quality_rules, seating, substrings, textops, token_store, tokens, topk, url_filter
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -803,44 +803,154 @@ def test_split_words_change_only_where_tokens_lie(spark):
     assert all(abs(few[i] - many[i]) < 0.05 * abs(few[i]) for i in few)
 
 
+def test_contexts_are_exact_and_long_and_repeated_rows_count(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(40)}" for _ in range(30_000))
+    frame = spark.createDataFrame([(1, long), (1, long), (2, "w1 w2 W1"), (None, None)], EMPTY)
+    rows = pitman_yor.pitman_yor_scores(frame, bucket_tokens=9000).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 4, 30_001, 30_001]
+    assert len({r.score for r in rows if r.n_tokens == 30_001}) == 1
+    words, contexts, counts = pitman_yor._tokens(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{k}" for k in range(200_000))])], names=["a", "b"]))
+    assert counts.tolist() == [200_001] and len(np.unique(contexts)) == 200_001
+
+
+def test_chunks_of_documents_are_bounded(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "ROWS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["a"] * 8)], names=["a", "b"])
+    assert [x.num_rows for x in pitman_yor._slices([batch])] == [3, 3, 2]
+
+
+def bucket_of(rng, n_words, n_contexts):
+    word, context = np.repeat(np.arange(n_words), n_contexts), np.tile(np.arange(n_contexts), n_words)
+    count = rng.poisson(3, n_words * n_contexts)
+    return pitman_yor.Types(np.arange(n_words).astype(np.uint64), np.zeros(n_words, dtype=bool), word, context.astype(np.uint64), count)
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    n_words, n_places = 30, 5
-    word, place = np.repeat(np.arange(n_words), n_places), np.tile(np.arange(n_places), n_words)
-    b = pitman_yor.Bucket(np.arange(n_words).astype(np.uint64), np.zeros(n_words, dtype=bool), word.astype(np.int32), place.astype(np.uint16), rng.poisson(3, n_words * n_places))
-    customers = np.bincount(place, weights=b.count, minlength=pitman_yor.CLASSES)
-    tables = np.bincount(place, weights=b.count > 0, minlength=pitman_yor.CLASSES)
-    state = pitman_yor.State(int(b.count.sum()), n_words, customers, tables, tables.sum(), float(n_words), 0.6, 0.4)
-    own, sent, at_root = pitman_yor.sample(b, state, *pitman_yor._first(b, state), rng)
-    assert np.all(own <= b.count) and np.all((own > 0) == (b.count > 0))
-    sums, _, _ = pitman_yor._sums(b, own, sent, at_root)
-    state = pitman_yor.State(state.tokens, n_words, customers, sums[: pitman_yor.CLASSES], sums[-2], sums[-1], 0.6, 0.4)
-    parent = state.root(sent, at_root)
-    unknown = state.root(np.zeros(1), np.zeros(1))[0]
-    assert abs(parent.sum() + unknown - 1) < 1e-9
-    for p in range(n_places):
-        own_place = place == p
-        total = STRENGTH_SUM(b.count[own_place], own[own_place], parent, unknown, customers[p], state.tables[p], state.discount)
-        assert abs(total - 1) < 1e-9
-
-
-def STRENGTH_SUM(count, own, parent, unknown, here, there, discount):
-    weight = pitman_yor.STRENGTH + discount * there
-    return float((count - discount * own + weight * parent).sum() + weight * unknown) / (pitman_yor.STRENGTH + here)
-
-
-def test_seating_has_the_mean_of_the_restaurant_process():
+    n_words, n_contexts = 30, 5
+    types = bucket_of(rng, n_words, n_contexts)
+    contexts, number = types.contexts(1)
+    customers = np.bincount(number, weights=types.count, minlength=n_contexts).astype(np.int64)
+    kinds = np.bincount(number, weights=types.count > 0, minlength=n_contexts).astype(np.int64)
+    chain = pitman_yor.Chain.start(types, contexts, number, kinds)
+    none = np.zeros(0)
+    total = types.count > 0
+    state = pitman_yor.State(int(types.count.sum()), n_words, 0.6, 0.4, float(total.sum()), float(n_words), none, none, none, none)
+    for _ in range(4):
+        chain.sweep(state, chain.a["known"] + chain.extra().astype(int), rng)
+        whole = pitman_yor._unzip(chain.sums())[0]
+        state = pitman_yor.State(state.tokens, n_words, 0.6, 0.4, whole[0], whole[1], none, none, none, none)
+        tables = chain.seats().tables()
+        assert np.all(tables >= 1) and np.all(tables <= chain.a["count"]) and np.array_equal(chain.seats().customers(), chain.a["count"])
+        assert np.array_equal(chain.root().customers(), chain.sent(tables))
+        again = pitman_yor.Chain.read(pitman_yor._unzip(chain.pack()))
+        assert again.sums() == chain.sums()
+        extra = np.zeros(n_contexts)
+        extra[np.searchsorted(contexts, chain.a["context"])] = chain.extra()
+        chance = pitman_yor.probabilities(types, (customers, kinds), number, [state], [pitman_yor._unzip(chain.sample())], [extra])
+        unknown = state.root(np.zeros(1), np.zeros(1))[0]
+        assert abs(state.root(chain.sent(tables), chain.root().tables()).sum() + unknown - 1) < 1e-9
+        for c in range(n_contexts):
+            rest = (pitman_yor.STRENGTH + 0.6 * (kinds + extra)[c]) * unknown / (pitman_yor.STRENGTH + customers[c])
+            assert abs(chance[types.context == c].sum() + rest - 1) < 1e-9
+
+
+def test_seating_equals_exact_enumeration():
+    discount, strength, others, parent = 0.6, 1.0, 7, 0.05
     rng = np.random.default_rng(0)
-    got = pitman_yor.seat(np.full(20000, 10), np.full(20000, 1.0), np.full(20000, 0.5), 0.5, rng).mean()
-    chance = {1: 1.0}
-    for n in range(1, 10):
-        after = collections.defaultdict(float)
-        for t, p in chance.items():
-            new = 0.5 / (n - 0.5 * t + 0.5)
-            after[t + 1] += p * new
-            after[t] += p * (1 - new)
-        chance = after
-    assert abs(got - sum(t * p for t, p in chance.items())) < 0.05
+
+    def pull(dishes, tables, closed):
+        return (strength + discount * (others + tables)) * parent
+
+    for count in (2, 3, 5, 12, 33):
+        ways = np.zeros((count + 1, count + 1))  # of seatings with so many tables, each with its weight
+        ways[0, 0] = 1
+        for n in range(count):
+            for t in range(n + 1):
+                ways[n + 1, t + 1] += ways[n, t]
+                ways[n + 1, t] += ways[n, t] * (n - discount * t)
+        want = np.array([ways[count, t] * np.prod([(strength + discount * (others + j)) * parent for j in range(t)]) for t in range(count + 1)])
+        want[0] = 0
+        want /= want.sum()
+        seats = seating.Seating.together(np.full(20_000, count))
+        for _ in range(15):
+            seats.sweep(discount, pull, rng)
+        got = np.bincount(seats.tables(), minlength=count + 1) / 20_000
+        assert np.array_equal(seats.customers(), np.full(20_000, count))
+        # over 32 customers come in groups, within which the odds are held
+        assert np.abs(got - want).max() < (0.012 if count <= 12 else 0.03)
+
+
+def test_seating_takes_and_adds_customers():
+    rng = np.random.default_rng(3)
+    counts = np.minimum(rng.zipf(1.6, 3000), 4000)
+    seats = seating.Seating.together(counts)
+    for _ in range(5):
+        counts = np.maximum(0, counts + rng.integers(-20, 21, len(counts)))
+        seats.resize(counts, 0.5, lambda dishes, tables, closed: np.full(len(dishes), 0.7), rng)
+        assert np.array_equal(seats.customers(), counts) and np.all(seats.size > 0) and np.all(np.diff(seats.dish) >= 0)
+
+
+def plain_gibbs(rows, discount, root_discount, sweeps, burn_in, rng):
+    """Mean probability of every (context, word) by customer-wise Gibbs sampling with one live root."""
+    tables, root = collections.defaultdict(list), collections.defaultdict(list)
+    per_context = collections.Counter()
+    customers = [pair for text in rows for pair in text]
+    vocabulary = len({w for _, w in customers})
+    here = collections.Counter(c for c, _ in customers)
+
+    def parent(w):
+        t, n = len(root[w]), sum(root[w])
+        total, every = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (n - root_discount * t + (1 + root_discount * every) / (vocabulary + 1)) / (1 + total)
+
+    def sit(at, weight_new, d):
+        k = rng.choices(range(len(at) + 1), [n - d for n in at] + [weight_new])[0]
+        if k == len(at):
+            at.append(0)
+        at[k] += 1
+        return at[k] == 1
+
+    def leave(at):
+        k = rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        if not at[k]:
+            del at[k]
+            return True
+        return False
+
+    def root_sit(w):
+        sit(root[w], (1 + root_discount * sum(map(len, root.values()))) / (vocabulary + 1), root_discount)
+
+    sums = collections.Counter()
+    for sweep in range(sweeps):
+        for c, w in customers:
+            if sweep and leave(tables[c, w]):
+                per_context[c] -= 1
+                leave(root[w])
+            if sit(tables[c, w], (1 + discount * per_context[c]) * parent(w), discount):
+                per_context[c] += 1
+                root_sit(w)
+        if sweep >= burn_in:
+            for c, w in set(customers):
+                at = tables[c, w]
+                sums[c, w] += (sum(at) - discount * len(at) + (1 + discount * per_context[c]) * parent(w)) / (1 + here[c]) / (sweeps - burn_in)
+    return sums
+
+
+def test_scores_equal_a_plain_sampler(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh"[: 2 + i % 7]) for _ in range(12))) for i in range(24) if not pitman_yor.held_out(i)]
+    texts = [list(zip(["^"] + words_of(t), words_of(t) + ["$"])) for _, t in rows]
+    count = collections.Counter(p for t in texts for p in t)
+    kinds = collections.Counter(w for _, w in count)
+    of = lambda values: pitman_yor._discount(sum(v == 1 for v in values), sum(v == 2 for v in values))
+    chance = plain_gibbs(texts, of(count.values()), of(kinds.values()), 260, 20, rng)
+    got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(spark.createDataFrame(rows, EMPTY), burn_in=3, samples=6).collect()}
+    for (i, _), text in zip(rows, texts):
+        want = sum(math.log10(chance[p]) for p in text)
+        assert abs(got[i] - want) < 0.02 * abs(want)
 
 
 # ---- op8: importance resampling
