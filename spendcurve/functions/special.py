@@ -49,6 +49,17 @@ def lgamma_column(x: Column) -> Column:
     return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
 
 
+def lgamma_ratio_column(q: float, s: Column) -> Column:
+    """ln gamma(q + s) - ln gamma(q) as an expression, by ratios as `lgamma_ratio`."""
+    z = q + _SHIFT
+    steps, series = F.lit(0.0), F.lit(0.0)
+    for k in range(_SHIFT):
+        steps = steps + F.log1p(s / (q + k))
+    for k, c in enumerate(_STIRLING):
+        series = series + F.lit(c) * (F.pow(s + z, F.lit(-float(2 * k + 1))) - z ** -(2 * k + 1))
+    return F.lit(z - 0.5) * F.log1p(s / z) + s * F.ln(s + z) - s + series - steps
+
+
 def log_rising(r: float, x: Column) -> Column:
     """ln gamma(r + x) - ln gamma(r) for whole x >= 0: a sum of x logarithms."""
     k = F.when(x > 0, F.sequence(F.lit(0).cast("bigint"), x.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))

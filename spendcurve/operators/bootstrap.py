@@ -54,9 +54,12 @@ def parametric_bootstrap(model, cb, *, n: int, seed: int | None, confidence: flo
         for batch in batches:
             for i in batch["id"]:
                 rng = np.random.default_rng(np.random.SeedSequence(entropy, spawn_key=(int(i),)))
-                rows = np.concatenate(list(simulated_groups(cls, params, at, counts, rng)))
-                groups, weight = np.unique(rows, axis=0, return_counts=True)
-                found = cls.fit_groups(groups[:, 0], groups[:, 1], groups[:, 2], weight.astype(float))
+                groups, weight = np.zeros((0, 3)), np.zeros(0)
+                for rows in simulated_groups(cls, params, at, counts, rng):
+                    # a block is folded into counts: customers without a repeat, most of them, are one row for each age
+                    groups, place = np.unique(np.concatenate([groups, rows]), axis=0, return_inverse=True)
+                    weight = np.bincount(place.ravel(), weights=np.concatenate([weight, np.ones(len(rows))]), minlength=len(groups))
+                found = cls.fit_groups(groups[:, 0], groups[:, 1], groups[:, 2], weight)
                 yield pd.DataFrame([[int(i), *np.exp(found.x)]], columns=["replicate", "r", "alpha", "a", "b"])
 
     n = int(n)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from spendcurve.functions import periods
 from spendcurve.operators.customer_base import CustomerBase, normalized_log
-from spendcurve.operators.purchase_models import BGNBD
+from spendcurve.operators.purchase_models import BGNBD, PurchaseModel
 from spendcurve.operators.results import Prediction, SmallResult
 from spendcurve.plans import figures
 
@@ -22,7 +22,8 @@ def cohort_cells(log: DataFrame, period: str, metric: str) -> DataFrame:
     """(cohort_ord, period_number, value) where something happened, from a normalized log.
 
     Customers and periods are made distinct before they are counted, so no distinct count is needed;
-    the cohort is the least period of the customer's rows, under the same partitioning.
+    the cohort is the least period of the customer's rows. The first exchange is by customer and period, after
+    partial sums, and the second by customer: a customer with very many rows costs no task more than its periods.
     """
     active = log.filter("id IS NOT NULL AND ts IS NOT NULL").withColumn("bucket", periods.ordinal(F.col("ts"), period))
     value = F.sum("amount").alias("value") if metric == "revenue" else F.lit(1).alias("value")
@@ -46,6 +47,7 @@ class CohortMatrix:
 
     def __init__(self, cells: DataFrame, *, metric: str, period: str):
         self._cells, self.metric, self.period = cells, metric, period
+        self._held: DataFrame | None = None
 
     @classmethod
     def from_transactions(
@@ -73,7 +75,14 @@ class CohortMatrix:
         last = cells.agg(F.max(F.col("cohort_ord") + F.col("period_number"))).first()[0]
         if last is None:
             raise ValueError("empty transaction log: there is no cohort in it")
-        return cls(triangle(cells, period, last), metric=metric, period=period)
+        out = cls(triangle(cells, period, last), metric=metric, period=period)
+        out._held = cells
+        return out
+
+    def unpersist(self) -> None:
+        """Release the cells; results are computed from the log again."""
+        if self._held is not None:
+            self._held.unpersist()
 
     def to_spark(self, *, relative: bool = False) -> DataFrame:
         """(cohort_ord, cohort, period_number, value). Relative values are shares of the cohort's first; null if that is 0."""
@@ -169,7 +178,7 @@ class CohortSurvival:
         cb = self._base
         period = period if period is not None else cb.collapse
         at = cohort_ordinal(cb, period)
-        if isinstance(self.transaction_model, BGNBD.__mro__[1]):
+        if isinstance(self.transaction_model, PurchaseModel):
             alive = type(self.transaction_model).alive_column(self.transaction_model._fitted(), F.col("frequency"), F.col("recency"), F.col("T"))
             scored = cb.to_spark().select(at.alias("cohort_ord"), alive.alias("alive"))
         else:

@@ -105,6 +105,7 @@ class CustomerBase:
 
     def __init__(self, summary: DataFrame, made: Provenance, events: DataFrame | None = None, counts: dict | None = None):
         self._summary, self._made, self._events, self._counts = summary, made, events, counts
+        self._held: DataFrame | None = None
 
     time_unit = property(lambda self: self._made.time_unit)
     collapse = property(lambda self: self._made.collapse)
@@ -161,7 +162,14 @@ class CustomerBase:
         known = totals.filter("id IS NOT NULL AND bucket IS NOT NULL")
         made = Provenance(customer_id_col, time_unit, grain, ratio, has_monetary, on_negative, end)
         events = purchase_events(known, on_negative, has_monetary)
-        return cls(rfm(summarize(events, has_monetary), made), made, events, counts)
+        out = cls(rfm(summarize(events, has_monetary), made), made, events, counts)
+        out._held = totals if validate else None
+        return out
+
+    def unpersist(self) -> None:
+        """Release the totals that were held for counting; results are computed from the log again."""
+        if self._held is not None:
+            self._held.unpersist()
 
     @classmethod
     def from_summary(cls, summary: DataFrame, *, id_col: str = "customer_id", time_unit: str = "D", collapse: str | None = None, observation_period_end="1970-01-01") -> CustomerBase:

@@ -35,7 +35,7 @@ class IndependenceCheck(SmallResult):
         return abs(self.spearman_rho) < max_correlation and self.eta_squared < max_eta_squared
 
     def grouped_spend(self, max_frequency: int = 7) -> dict[str, np.ndarray]:
-        """Mean spends by number of repeats, the last group open."""
+        """Mean spends by number of repeats, the last group open. Brings every repeat buyer's to the driver: `plot_data` does not."""
         if max_frequency < 1:
             raise ValueError(f"max_frequency must be >= 1, got {max_frequency!r}")
         out: dict[str, np.ndarray] = {}
@@ -49,7 +49,11 @@ class IndependenceCheck(SmallResult):
         return box_stats(self._buyers, max_frequency)
 
     def plot(self, ax=None, **kwargs):
-        return figures.draw_boxes(self.grouped_spend(), ax, **kwargs)
+        return figures.draw_boxes(self.plot_data().orderBy("level").toPandas(), ax, **kwargs)
+
+    def unpersist(self) -> None:
+        """Release the repeat buyers; plots read the base again."""
+        self._buyers.unpersist()
 
     def __repr__(self) -> str:
         return f"IndependenceCheck(rho={self.spearman_rho:.2f}, eta2={self.eta_squared:.2f}, {'holds' if self.holds() else 'violated'})"

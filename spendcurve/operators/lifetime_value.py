@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from spendcurve.operators.customer_base import CustomerBase
 from spendcurve.operators.independence import IndependenceCheck, MonetaryIndependenceWarning, check_monetary_independence
-from spendcurve.operators.purchase_models import BGNBD
+from spendcurve.operators.purchase_models import BGNBD, PurchaseModel
 from spendcurve.operators.results import Prediction
-from spendcurve.operators.spend_model import GammaGamma
+from spendcurve.operators.spend_model import GammaGamma, require_monetary
 from spendcurve.plans import figures
 
 
@@ -64,7 +64,7 @@ class CLVResult:
         return figures.iso_levels(self._frame)
 
     def plot(self, ax=None, **kwargs):
-        return figures.draw_points(self.to_pandas(), "discounted_expected_transactions", "expected_spend", "discounted purchases", "expected spend", ax, **kwargs)
+        return figures.draw_points(figures.some(self._frame).toPandas(), "discounted_expected_transactions", "expected_spend", "discounted purchases", "expected spend", ax, **kwargs)
 
     def __repr__(self) -> str:
         return f"CLVResult({self.description})"
@@ -85,30 +85,33 @@ class CLV:
             raise TypeError(f"CLV expects a CustomerBase, got {type(cb).__name__}")
         if not cb.has_monetary:
             raise ValueError("CLV is a monetary quantity: make the CustomerBase with an amount_col")
-        self.transaction_model.fit(cb)
-        self.monetary_model.fit(cb)
+        for model in (self.transaction_model, self.monetary_model):
+            model.fit(cb)
         self._base, self._check = cb, None
         if self.check_independence:
-            try:
-                found = self.independence_check()
-            except ValueError:  # too little data to assess is no verdict
-                return self
-            if not found.holds():
-                warnings.warn(
-                    f"spend and frequency are not independent (rho={found.spearman_rho:.2f}, eta2={found.eta_squared:.2f}): CLV multiplies them as if they were",
-                    MonetaryIndependenceWarning,
-                    stacklevel=2,
-                )
+            self._warn_of_dependence()
         return self
 
+    def _warn_of_dependence(self) -> None:
+        try:
+            found = self.independence_check()
+        except ValueError:  # too little data to assess is no verdict
+            return
+        if not found.holds():
+            text = f"spend and frequency are not independent (rho={found.spearman_rho:.2f}, eta2={found.eta_squared:.2f}): CLV multiplies them as if they were"
+            warnings.warn(text, MonetaryIndependenceWarning, stacklevel=3)
+
     def independence_check(self, cb: CustomerBase | None = None) -> IndependenceCheck:
+        """Of the base given, or of the fitted one, for which it is computed once."""
         if cb is not None:
             return check_monetary_independence(cb)
+        self._check = self._check or check_monetary_independence(self._fitted_base())
+        return self._check
+
+    def _fitted_base(self) -> CustomerBase:
         if self._base is None:
             raise RuntimeError("CLV is not fitted; call fit(cb) first")
-        if self._check is None:
-            self._check = check_monetary_independence(self._base)
-        return self._check
+        return self._base
 
     def predict(self, *, horizon: int, discount_rate: float = 0.0, margin: float = 1.0, cb: CustomerBase | None = None) -> CLVResult:
         """Value over the next `horizon` time units; `discount_rate` is per time unit."""
@@ -118,19 +121,27 @@ class CLV:
             raise ValueError(f"discount_rate must be above -1, got {discount_rate!r}")
         if margin <= 0:
             raise ValueError(f"margin must be positive, got {margin!r}")
-        if self._base is None:
-            raise RuntimeError("CLV is not fitted; call fit(cb) first")
-        base, horizon = cb if cb is not None else self._base, int(horizon)
+        base, horizon = self._fitted_base() if cb is None else cb, int(horizon)
         key = base.id_col
-        spend = self.monetary_model.predict(cb)
-        bought = self._cumulative(horizon, cb)
-        frame = bought.join(spend.to_spark().toDF(key, "expected_spend"), key)
+        frame = self._scored(horizon, base, cb)
         det = discounted(F.col("cumulative"), horizon, float(discount_rate))
         frame = frame.select(
             key, F.element_at("cumulative", horizon).alias("expected_purchases"), det.alias("discounted_expected_transactions"), F.col("expected_spend").cast("double").alias("expected_spend")
         ).withColumn("clv", F.lit(float(margin)) * F.col("expected_spend") * F.col("discounted_expected_transactions"))
         return CLVResult(frame, horizon=horizon, discount_rate=float(discount_rate), margin=float(margin), time_unit=base.time_unit)
 
+    def _scored(self, horizon: int, base: CustomerBase, cb: CustomerBase | None) -> DataFrame:
+        """(id, cumulative, expected_spend): one select over the summary for the models here, joins for any other."""
+        buys, spends = self.transaction_model, self.monetary_model
+        if isinstance(buys, PurchaseModel) and isinstance(spends, GammaGamma):
+            if cb is not None:
+                buys._scored(cb)  # refuses another ruler
+            spend = spends.spend_column(spends._fitted(), F.col("frequency"), F.col("monetary_value"))
+            summary = require_monetary(base, "GammaGamma").to_spark()
+            return summary.select(base.id_col, buys.cumulative_column([float(t) for t in range(1, horizon + 1)]), spend.alias("expected_spend"))
+        spend = spends.predict(cb).to_spark()
+        return self._cumulative(horizon, cb).join(spend.toDF(base.id_col, "expected_spend"), base.id_col)
+
     def _cumulative(self, horizon: int, cb: CustomerBase | None) -> DataFrame:
         """(id, cumulative): one pass for the models here, one prediction per period for any other."""
         times = [float(t) for t in range(1, horizon + 1)]

@@ -6,6 +6,7 @@ modified model, also at the start) a customer drops out with a beta(a, b) probab
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 from typing import ClassVar
@@ -117,7 +118,11 @@ class PurchaseModel:
             data = groups.toPandas()
             found = self.fit_groups(*(data[c].to_numpy(dtype=float) for c in ("frequency", "recency", "T", "customers")))
         else:
-            found = self._search(self._distributed(groups.persist()))
+            groups = groups.persist()
+            try:
+                found = self._search(self._distributed(groups))
+            finally:
+                groups.unpersist()
         self.params_ = pd.Series(np.exp(found.x), index=list(NAMES))
         self.log_likelihood_, self.converged_, self._base = -found.value, found.converged, cb
         if not found.converged or np.any(np.abs(found.x) > 12):
@@ -126,16 +131,17 @@ class PurchaseModel:
 
     @classmethod
     def fit_groups(cls, x, t, T, weight):
-        return cls._search(lambda p: -float(weight @ cls.log_likelihood(np.exp(p), x, t, T)))
+        return cls._search(lambda points: [-float(weight @ cls.log_likelihood(np.exp(p), x, t, T)) for p in points])
 
     @classmethod
     def _search(cls, objective):
         return minimize(objective, np.zeros(4))
 
     def _distributed(self, groups: DataFrame):
-        def objective(p: np.ndarray) -> float:
-            each = self.log_likelihood_column(np.exp(p), F.col("frequency"), F.col("recency"), F.col("T"))
-            return -float(groups.agg(F.sum(F.col("customers") * each)).first()[0])
+        def objective(points: list[np.ndarray]) -> list[float]:
+            each = [self.log_likelihood_column(np.exp(p), F.col("frequency"), F.col("recency"), F.col("T")) for p in points]
+            row = groups.agg(*[F.sum(F.col("customers") * e).alias(f"v{k}") for k, e in enumerate(each)]).first()
+            return [math.nan if v is None else -float(v) for v in row]
 
         return objective
 
@@ -170,14 +176,19 @@ class PurchaseModel:
 
     def cumulative(self, times: list[float], cb: CustomerBase | None = None) -> DataFrame:
         """(id, cumulative array): expected purchases up to each time, in one pass."""
-        base, params, cls = self._scored(cb), self._fitted(), type(self)
+        base = self._scored(cb)
+        return base.to_spark().select(base.id_col, self.cumulative_column(times))
+
+    def cumulative_column(self, times: list[float]) -> Column:
+        """The same as a column of a summary."""
+        params, cls = self._fitted(), type(self)
 
         @F.pandas_udf("array<double>")
         def score(x: pd.Series, t: pd.Series, T: pd.Series) -> pd.Series:
             values = [cls.expected(params, h, x.to_numpy(float), t.to_numpy(float), T.to_numpy(float)) for h in times]
             return pd.Series(list(np.stack(values, axis=1))) if len(x) else pd.Series([], dtype=object)
 
-        return base.to_spark().select(base.id_col, score(F.col("frequency").cast("double"), F.col("recency").cast("double"), F.col("T").cast("double")).alias("cumulative"))
+        return score(F.col("frequency").cast("double"), F.col("recency").cast("double"), F.col("T").cast("double")).alias("cumulative")
 
     def probability_alive(self, cb: CustomerBase | None = None) -> Prediction:
         base = self._scored(cb)

@@ -46,7 +46,7 @@ class Prediction:
 
     def plot(self, ax=None, **kwargs):
         if self._silence is not None:
-            return figures.draw_points(self._silence.toPandas(), "silence", self.name, f"silence ({self._time_unit})", self.description, ax, **kwargs)
+            return figures.draw_points(figures.some(self._silence).toPandas(), "silence", self.name, f"silence ({self._time_unit})", self.description, ax, **kwargs)
         return figures.draw_bars(self.plot_data().toPandas(), self.description, ax, **kwargs)
 
     def __repr__(self) -> str:

@@ -39,9 +39,9 @@ class GammaGamma:
     @staticmethod
     def log_likelihood_column(params, x: Column, mean: Column) -> Column:
         p, q, gamma = (float(v) for v in params)
-        px, lg = F.lit(p) * x, special.lgamma_column
-        shape = lg(px + q) - lg(px) - lg(F.lit(q))
-        return shape + q * F.ln(F.lit(gamma)) + (px - 1) * F.ln(mean) + px * F.ln(x) - (px + q) * F.ln(gamma + x * mean)
+        px = F.lit(p) * x
+        shape = special.lgamma_ratio_column(q, px) - special.lgamma_column(px)
+        return shape - q * F.log1p(x * mean / gamma) + (px - 1) * F.ln(mean) + px * F.ln(x) - px * F.ln(gamma + x * mean)
 
     @staticmethod
     def spend_column(params, x: Column, mean: Column) -> Column:
@@ -55,11 +55,13 @@ class GammaGamma:
         if n <= LOCAL_ROWS:
             data = buyers.groupBy("frequency", "monetary_value").agg(F.count("*").alias("w")).toPandas()
             x, z, w = (data[c].to_numpy(float) for c in ("frequency", "monetary_value", "w"))
-            objective = lambda v: -float(w @ self.log_likelihood(np.exp(v), x, z))
+            found = minimize(lambda points: [-float(w @ self.log_likelihood(np.exp(v), x, z)) for v in points], np.log([1.0, 2.0, float(mean)]))
         else:
-            kept = buyers.persist()
-            objective = lambda v: -float(kept.agg(F.sum(self.log_likelihood_column(np.exp(v), F.col("frequency"), F.col("monetary_value")))).first()[0])
-        found = minimize(objective, np.log([1.0, 2.0, float(mean)]))
+            buyers = buyers.persist()
+            try:
+                found = minimize(self._distributed(buyers), np.log([1.0, 2.0, float(mean)]))
+            finally:
+                buyers.unpersist()
         if not found.converged:
             raise RuntimeError(f"the Gamma-Gamma fit did not converge: {np.exp(found.x)}")
         self.params_ = pd.Series(np.exp(found.x), index=["p", "q", "gamma"])
@@ -68,6 +70,14 @@ class GammaGamma:
             warnings.warn(f"GammaGamma ran to the border of the parameter space: {self.params_.to_dict()}; spend hardly differs between customers", UserWarning, stacklevel=2)
         return self
 
+    def _distributed(self, buyers: DataFrame):
+        def objective(points: list[np.ndarray]) -> list[float]:
+            each = [self.log_likelihood_column(np.exp(v), F.col("frequency"), F.col("monetary_value")) for v in points]
+            row = buyers.agg(*[F.sum(e).alias(f"v{k}") for k, e in enumerate(each)]).first()
+            return [float("nan") if v is None else -float(v) for v in row]
+
+        return objective
+
     def predict(self, cb: CustomerBase | None = None) -> Prediction:
         """Expected spend per purchase of every customer."""
         params = self._fitted()

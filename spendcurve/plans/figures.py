@@ -9,12 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Points of a scatter plot at most: those of the lowest hashes.
+POINTS = 20_000
+
+
+def some(frame: DataFrame) -> DataFrame:
+    """A plot's points: all, or of more than POINTS an even sample that is the same every time."""
+    return frame.orderBy(F.xxhash64(*frame.columns)).limit(POINTS)
+
+
 def _axes(ax):
+    if ax is not None:
+        return ax
     try:
         import matplotlib.pyplot as plt
     except ImportError as e:
         raise ImportError("plot() needs matplotlib; plot_data() gives the numbers without it") from e
-    return ax if ax is not None else plt.subplots()[1]
+    return plt.subplots()[1]
 
 
 def histogram(frame: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -67,10 +78,15 @@ def draw_intervals(data: pd.DataFrame, ax=None, **kwargs):
     return ax
 
 
-def draw_boxes(groups: dict, ax=None, **kwargs):
+def draw_boxes(boxes: pd.DataFrame, ax=None, **kwargs):
+    """Boxes from their five numbers, level by level; the last level is open."""
     ax = _axes(ax)
-    ax.boxplot(list(groups.values()), **{"showfliers": False} | kwargs)
-    ax.set_xticklabels(list(groups))
+    last = boxes["level"].max() if len(boxes) else 0
+    stats = [
+        {"label": f"{int(r.level)}+" if r.level == last else str(int(r.level)), "whislo": r.low, "q1": r.q1, "med": r.median, "q3": r.q3, "whishi": r.high}
+        for r in boxes.itertuples()
+    ]
+    ax.bxp(stats, **{"showfliers": False} | kwargs)
     ax.set_xlabel("repeat purchases")
     ax.set_ylabel("mean spend")
     return ax

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from spendcurve.operators.lifetime_value import CLV
 from spendcurve.operators.purchase_models import BGNBD, MBGNBD
 from spendcurve.operators.spend_model import GammaGamma
 from spendcurve.plans import figures, logs
+from spendcurve.sources.logs import as_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +129,18 @@ query("rfm_timing_only", logs.rfm(logs.ORDERS, "D", monetary=False))(_rfm(logs.o
 query("rfm_obs_end", logs.rfm(logs.ORDERS, "D", end=logs.DAY.format(ts="DATE '2002-01-01'")))(_rfm(logs.orders, time_unit="D", observation_period_end="2002-01-01"))
 
 
+@query("rfm_string_dates", logs.rfm(logs.ORDERS, "D"))
+def rfm_string_dates(spark, d):
+    log = logs.orders(spark, d).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return in_money(quiet(log).to_spark(), "monetary_value")
+
+
+@query("rfm_formatted_dates", logs.rfm(logs.ORDERS, "D", 7))
+def rfm_formatted_dates(spark, d):
+    log = logs.orders(spark, d).withColumn("date", F.date_format("date", "dd/MM/yyyy HH:mm"))
+    return in_money(quiet(log, time_unit="W", collapse="D", datetime_format="dd/MM/yyyy HH:mm").to_spark(), "monetary_value")
+
+
 @query("sufficient_stats", f'SELECT frequency, recency, "T", CAST(count(*) AS BIGINT) AS customers FROM ({logs.rfm(logs.ORDERS, "D", 7)}) GROUP BY ALL')
 def sufficient_stats(spark, d):
     return quiet(logs.orders(spark, d), time_unit="W", collapse="D").sufficient_statistics()
@@ -194,13 +208,14 @@ def _alive_sql(e: int) -> str:
     return f"1 / (1 + {odds if e else f'CASE WHEN frequency > 0 THEN {odds} ELSE 0 END'})"
 
 
-def _loglik_sql(e: int) -> str:
+def _loglik_sql(e: int, params=EVENT_PARAMS) -> str:
+    r, alpha, a, b = params
     x, n = "frequency", f"(frequency + {e})"
-    alive = f'(-({_r} + {x}) * ln({_alpha} + "T"))'
-    last = f"(ln({_a}) - ln({_b} + greatest({x}, {1 - e}) + {e - 1}) - ({_r} + {x}) * ln({_alpha} + recency))"
+    alive = f'(-({r} + {x}) * ln({alpha} + "T"))'
+    last = f"(ln({a}) - ln({b} + greatest({x}, {1 - e}) + {e - 1}) - ({r} + {x}) * ln({alpha} + recency))"
     both = f"(greatest({alive}, {last}) + ln(1 + exp(-abs({alive} - {last}))))"
     tail = both if e else f"CASE WHEN {x} > 0 THEN {both} ELSE {alive} END"
-    return f"lgamma({_r} + {x}) - lgamma({_r}) + {_r} * ln({_alpha}) + lgamma({_a} + {_b}) + lgamma({_b} + {n}) - lgamma({_b}) - lgamma({_a} + {_b} + {n}) + {tail}"
+    return f"lgamma({r} + {x}) - lgamma({r}) + {r} * ln({alpha}) + lgamma({a} + {b}) + lgamma({b} + {n}) - lgamma({b}) - lgamma({a} + {b} + {n}) + {tail}"
 
 
 def _expected_sql(e: int, horizon, terms: int = 80) -> str:
@@ -233,6 +248,34 @@ def rfm_lapsing(spark, d):
     return in_money(lapsing_base(spark, d).to_spark(), "monetary_value")
 
 
+_EVENT_NAMES, _SPEND_NAMES = ("r", "alpha", "a", "b"), ("p", "q", "gamma")
+_FACTORS = (0.5, 1.0, 2.0)
+
+
+def _grid_case(e: int, k: int) -> str:
+    """The log-likelihood with the k-th parameter times `factor`."""
+    scaled = [f"({v} * factor)" if i == k else v for i, v in enumerate(EVENT_PARAMS)]
+    return f"WHEN '{_EVENT_NAMES[k]}' THEN {_loglik_sql(e, scaled)}"
+
+
+def _quietly(f: Callable, *args):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return f(*args)
+
+
+def _optimum_sql(names: tuple[str, ...]) -> str:
+    rows = ", ".join(f"('{n}', {f}::DOUBLE, TRUE)" for n in names for f in (0.9, 1.1))
+    return f"SELECT * FROM (VALUES {rows}) AS t(parameter, factor, falls)"
+
+
+def _optimum(spark, model, objective: Callable, names: tuple[str, ...]) -> DataFrame:
+    best = model.params_.to_numpy(float)
+    rows = [(n, f, np.where(np.arange(len(best)) == k, f, 1.0) * best) for k, n in enumerate(names) for f in (0.9, 1.1)]
+    top, *values = objective([np.log(p) for p in [best, *(v for _, _, v in rows)]])
+    return spark.createDataFrame([(n, f, bool(v > top)) for (n, f, _), v in zip(rows, values, strict=True)], "parameter string, factor double, falls boolean")
+
+
 def _model_queries(name: str, cls, e: int) -> None:
     columns = lambda: (F.col("frequency"), F.col("recency"), F.col("T"))
 
@@ -253,6 +296,23 @@ def _model_queries(name: str, cls, e: int) -> None:
     def predict(spark, d):
         return rounded(at_params(cls(), lapsing_base(spark, d)).predict(12.0).to_spark(), 8, "expected_purchases")
 
+    grid = ", ".join(f"('{p}', {f}::DOUBLE)" for p in _EVENT_NAMES for f in _FACTORS)
+    total = f"CASE parameter {' '.join(_grid_case(e, k) for k in range(4))} END"
+
+    @query(f"{name}_objective", f"{_BASE}, grid(parameter, factor) AS (VALUES {grid}) SELECT parameter, factor, round(sum({total}), 5) AS loglik FROM rfm, grid GROUP BY 1, 2")
+    def objective(spark, d):
+        """What the distributed fit minimizes, at many points in one pass."""
+        rows = [(p, f, [v * (f if i == k else 1.0) for i, v in enumerate(EVENT_PARAMS)]) for k, p in enumerate(_EVENT_NAMES) for f in _FACTORS]
+        values = cls()._distributed(lapsing_base(spark, d).sufficient_statistics())([np.log(v) for _, _, v in rows])
+        return spark.createDataFrame([(p, f, round(-v, 5)) for (p, f, _), v in zip(rows, values, strict=True)], "parameter string, factor double, loglik double")
+
+    @query(f"{name}_fit_optimum", _optimum_sql(_EVENT_NAMES))
+    def optimum(spark, d):
+        """Whether the likelihood falls on either side of every fitted parameter."""
+        cb = lapsing_base(spark, d)
+        model = _quietly(cls().fit, cb)
+        return _optimum(spark, model, cls()._distributed(cb.sufficient_statistics()), _EVENT_NAMES)
+
     @query(f"{name}_fit")
     def fit(spark, d):
         model = cls().fit(lapsing_base(spark, d))
@@ -280,6 +340,14 @@ def expected_spend(spark, d):
     return rounded(at_params(GammaGamma(), lapsing_base(spark, d), SPEND_PARAMS).predict().to_spark(), 4, "expected_spend")
 
 
+@query("gg_fit_optimum", _optimum_sql(_SPEND_NAMES))
+def gg_fit_optimum(spark, d):
+    cb = lapsing_base(spark, d)
+    model = _quietly(GammaGamma().fit, cb)
+    buyers = cb.to_spark().filter("frequency > 0 AND monetary_value > 0").select("frequency", "monetary_value")
+    return _optimum(spark, model, model._distributed(buyers), _SPEND_NAMES)
+
+
 @query("gg_fit")
 def gg_fit(spark, d):
     model = GammaGamma().fit(lapsing_base(spark, d))
@@ -346,14 +414,27 @@ def silence_vs_alive(spark, d):
     return rounded(at_params(BGNBD(), lapsing_base(spark, d)).probability_alive().plot_data(), 8, "probability_alive")
 
 
-@query("clv_plot_levels")
+@query(
+    "clv_plot_levels",
+    f"""WITH v AS (SELECT clv FROM ({_clv_sql(0, 1.0)}) WHERE clv > 0), q AS (SELECT quantile_cont(clv, 0.40) AS a, quantile_cont(clv, 0.97) AS b, quantile_cont(clv, 0.95) AS top FROM v),
+    raw AS (SELECT k, a * power(b / a, k / 3.0) AS r FROM q, range(4) AS t(k)), snaps AS (SELECT m * power(10.0::DOUBLE, e) AS s FROM range(-8, 16) AS t(e), (VALUES (1), (2), (5)) AS u(m)),
+    picked AS (SELECT DISTINCT level FROM (SELECT k, arg_min(s, abs(ln(s / r))) AS level FROM raw, snaps GROUP BY k))
+    SELECT 'level' AS kind, round(level, 6) AS value FROM picked UNION ALL SELECT 'ceiling', round(top, 4) FROM q""",
+)
 def clv_plot_levels(spark, d):
-    return figures.iso_levels(_clv(spark, d, BGNBD()))
+    digits = F.when(F.col("kind") == "level", F.round("value", 6)).otherwise(F.round("value", 4))
+    return figures.iso_levels(_clv(spark, d, BGNBD())).withColumn("value", digits)
 
 
-@query("alive_histogram")
+@query(
+    "alive_histogram",
+    f"""{_BASE}, v AS (SELECT round({_alive_sql(0)}, 8) AS v FROM rfm), m AS (SELECT min(v) AS low, max(v) AS high, (max(v) - min(v)) / 30 AS w FROM v),
+    cells AS (SELECT CAST(least(floor((v - low) / w), 29) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM v, m GROUP BY 1)
+    SELECT bin, round(low + bin * w, 8) AS low, round(low + (bin + 1) * w, 8) AS high, n AS count FROM cells, m""",
+)
 def alive_histogram(spark, d):
-    return figures.histogram(at_params(BGNBD(), lapsing_base(spark, d)).probability_alive().to_spark(), "probability_alive")
+    alive = rounded(at_params(BGNBD(), lapsing_base(spark, d)).probability_alive().to_spark(), 8, "probability_alive")
+    return rounded(figures.histogram(alive, "probability_alive"), 8, "low", "high")
 
 
 # ---- independence
@@ -406,9 +487,15 @@ def independence_excluding(spark, d):
     return _check(spark, d, exclude=[1, 2])
 
 
-@query("independence_report")
+@query(
+    "independence_report",
+    f"""WITH c AS ({_check_sql("")}) SELECT 'n_customers' AS statistic, CAST(n_customers AS DOUBLE) AS value FROM c UNION ALL SELECT 'pearson_r', pearson_r FROM c
+    UNION ALL SELECT 'spearman_rho', spearman_rho FROM c UNION ALL SELECT 'eta_squared', eta_squared FROM c""",
+)
 def independence_report(spark, d):
-    return independence.check_monetary_independence(quiet(logs.orders(spark, d))).to_spark()
+    """Without the p-values, for which SQL has no distribution; tests hold them against known ones."""
+    report = independence.check_monetary_independence(quiet(logs.orders(spark, d))).to_spark()
+    return rounded(report.filter("statistic NOT LIKE '%_p'"), 8, "value")
 
 
 @query(
@@ -560,11 +647,12 @@ def top_decile_overlap(spark, d):
     return recipes.overlap(recipes.top_share(past, "customer_id", "past"), recipes.top_share(_clv(spark, d, BGNBD()), "customer_id", "clv"), "customer_id")
 
 
-@query("summary_json")
+@query("summary_json", f"SELECT CAST(customer_id AS VARCHAR) AS customer_id, frequency, recency, \"T\", monetary_value FROM ({logs.rfm(logs.ORDERS, 'D')})")
 def summary_json(spark, d):
-    from spendcurve.sources.logs import as_json
-
-    return as_json(quiet(logs.orders(spark, d)).to_spark(), "customer_id")
+    """The JSON of the summary, read back."""
+    rows = as_json(quiet(logs.orders(spark, d)).to_spark(), "customer_id")
+    back = F.from_json("json", "frequency bigint, recency bigint, T bigint, monetary_value double").alias("j")
+    return in_money(rows.select("customer_id", back).select("customer_id", "j.*"), "monetary_value")
 
 
 def queries() -> dict[str, Query]:

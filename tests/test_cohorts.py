@@ -1,7 +1,11 @@
 """Triangles, curves, recipes, sources and the stream, on logs that can be checked by hand."""
 
 import json
-import warnings
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -139,10 +143,23 @@ def test_stream_makes_the_totals_of_a_batch(spark, tmp_path):
         streaming_totals(stream, collapse="M")
 
 
-def test_entry_without_the_llm_part():
-    import __spark_entry__ as entry
+def test_entry_without_the_llm_part(tmp_path):
+    """A copy without the folder and the pipeline still imports and answers."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "spendcurve", tmp_path / "spendcurve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), any(n.startswith('op') for n in q), 'pipeline' in q, set(s) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 60 and int(out[1]) > 60 and out[2:] == ["False", "False", "True"]
 
-    assert entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        assert "rfm_weekly_ruler" in entry.oracle_sql()
+
+def test_drawing_of_cohorts_and_release(spark):
+    from test_models import Recorder
+
+    matrix = CohortMatrix.from_transactions(frame(spark))
+    ax = Recorder()
+    matrix.plot(ax)
+    assert ax.calls["imshow"][0][0].shape[0] == matrix.to_pandas().shape[0]
+    before = matrix.to_pandas()
+    matrix.unpersist()
+    assert matrix.to_pandas().equals(before)

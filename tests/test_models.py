@@ -45,7 +45,7 @@ def test_special_functions():
 
 
 def test_optimiser_on_a_curved_valley():
-    found = optimize.minimize(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, np.array([-1.0, 1.0]))
+    found = optimize.minimize(lambda points: [(1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2 for p in points], np.array([-1.0, 1.0]))
     assert np.allclose(found.x, 1, atol=1e-3) and found.converged
 
 
@@ -120,7 +120,75 @@ def test_distributed_objective_equals_the_local_one(spark, simulated, monkeypatc
     groups = simulated.sufficient_statistics()
     data = groups.toPandas()
     local = -float(data["customers"].to_numpy() @ BGNBD.log_likelihood(OTHER, data["frequency"], data["recency"], data["T"]))
-    assert abs(BGNBD()._distributed(groups)(np.log(OTHER)) - local) < 1e-6 * abs(local)
+    values = BGNBD()._distributed(groups)([np.log(OTHER), np.log(POINT), np.log(OTHER)])  # one pass for all points
+    assert abs(values[0] - local) < 1e-6 * abs(local) and values[0] == values[2] != values[1]
+
+
+@pytest.mark.parametrize("where", ["purchases", "spend"])
+def test_distributed_fits_equal_local_ones(spark, simulated, monkeypatch, where):
+    from spendcurve.operators import purchase_models, spend_model
+
+    few = CustomerBase.from_summary(simulated.to_spark().limit(400).persist(), time_unit="W", collapse="D")
+    make = BGNBD if where == "purchases" else GammaGamma
+    local = make().fit(few)
+    monkeypatch.setattr(purchase_models, "LOCAL_GROUPS", 0)
+    monkeypatch.setattr(spend_model, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(optimize, "simplex", lambda f, x0: optimize.Minimum(np.log(local.params_.to_numpy()) + 0.05, np.inf, 0, True))
+    far = make().fit(few)
+    assert np.allclose(far.params_, local.params_, rtol=2e-3) and abs(far.log_likelihood_ / local.log_likelihood_ - 1) < 1e-7
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(few.sufficient_statistics()._jdf).isDefined()
+
+
+def test_optimiser_asks_for_independent_points_at_once():
+    asked = []
+
+    def bowl(points):
+        asked.append(len(points))
+        return [float(p @ p) for p in points]
+
+    optimize.minimize(bowl, np.array([1.0, 2.0, 3.0]))
+    assert asked[0] == 4 and 6 in asked
+
+
+def test_value_of_the_models_here_needs_no_join(simulated):
+    clv = CLV(BGNBD(), GammaGamma(), check_independence=False).fit(simulated)
+    frame = clv.predict(horizon=3).to_spark()
+    assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert frame.count() == simulated.to_spark().count()
+
+
+class Recorder:
+    """Axes that note what is called."""
+
+    def __init__(self):
+        self.calls = {}
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self.calls.setdefault(name, (a, k))
+
+
+def test_drawing_passes_the_numbers_on(spark, simulated, monkeypatch):
+    from spendcurve.plans import figures
+
+    model = BGNBD().fit(simulated)
+    ax = Recorder()
+    assert model.probability_alive().plot(ax) is ax and len(ax.calls["scatter"][0][0]) == simulated.to_spark().count()
+    monkeypatch.setattr(figures, "POINTS", 50)
+    ax = Recorder()
+    clv = CLV(model, GammaGamma(), check_independence=False).fit(simulated)
+    clv.predict(horizon=2).plot(ax)
+    assert len(ax.calls["scatter"][0][0]) == 50 and "set_xlabel" in ax.calls
+    ax = Recorder()
+    model.predict(4).plot(ax)
+    assert sum(ax.calls["bar"][0][1]) == simulated.to_spark().count()
+    ax = Recorder()
+    check = check_monetary_independence(simulated)
+    check.plot(ax)
+    assert [b["label"] for b in ax.calls["bxp"][0][0]][-1].endswith("+") and all(b["q1"] <= b["med"] <= b["q3"] for b in ax.calls["bxp"][0][0])
+    check.unpersist()
+    ax = Recorder()
+    model.parameter_uncertainty(n=2, seed=1).plot(ax)
+    assert len(ax.calls["errorbar"][0][0]) == 4
 
 
 def test_refusals_of_event_models(spark):
