@@ -22,10 +22,10 @@ _own_folders: dict[str, str] = {}
 _swept: set[str] = set()
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches small, so that a Python worker's memory does not depend on text lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 @contextmanager

@@ -22,7 +22,7 @@ from spendcurve.llm.common import bounded_batches, two_columns
 
 BLANK = "▁"
 #: Stretches in a worker's cache and their characters at most; it starts anew before it has more, and longer ones are not kept. Bounds memory, changes no result.
-CACHE_ENTRIES, CACHE_CHARACTERS = 1_000_000, 64
+CACHE_ENTRIES, CACHE_CHARACTERS = 1_500_000, 64
 #: Committed characters after which the search drops them.
 FORGET = 256
 

@@ -32,13 +32,13 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, word_hashes
 #: Bits of a context's hash: two of a billion contexts share one with a chance of 2 ** -40.
 CONTEXT_BITS = 40
 #: Tokens of a bucket, about; the number of buckets grows with the corpus. Contexts are summed in a quarter as many parts.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 BURN_IN, SAMPLES = 2, 3
 #: Share of the tokens from which a first pass counts words, and the least one that a second pass counts: 2 / LEAST_SHARE words are dealt on at most, at any size.
 SHARE, LEAST_SHARE = 1e-4, 1e-5
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
-#: Documents of a chunk at most: their places fit 15 bits.
-ROWS = 10_000
+#: Documents of a chunk at most: their places fit 15 bits. Bytes of a batch.
+ROWS, BATCH = 10_000, 8 << 20
 END, START = (int(x) for x in constants(2, 61))
 _CODEC = pa.Codec("zstd", compression_level=1)
 _MASK = U64((1 << CONTEXT_BITS) - 1)
@@ -110,7 +110,7 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(U64) | (high.astype(U64) << U64(32))
 
 
-def frequent_words(docs: DataFrame, share: float) -> tuple[int, dict[int, int]]:
+def frequent_words(docs: DataFrame, share: float, stash: Stash) -> tuple[int, dict[int, int]]:
     """All tokens, and the words that may have `share` of them: who has it in all has it in some batch. At most 2 / share are returned."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def frequent_words(docs: DataFrame, share: float) -> tuple[int, dict[int, int]]:
             many = n >= max(2, share * len(words))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words[starts][many].view(np.int64), 0)), pa.array(np.append(n[many], len(words))), pa.array(np.append(np.zeros(many.sum(), bool), True))], names=["word", "n", "all"])
 
-    rows = docs.mapInArrow(work, "word long, n long, all boolean").groupBy("all", "word").agg(F.sum("n").alias("n"))
+    rows = stash.keep(docs.mapInArrow(work, "word long, n long, all boolean").groupBy("all", "word").agg(F.sum("n").alias("n")), "frequent")
     total = rows.filter("all").agg(F.sum("n")).first()[0] or 0
     found = rows.filter(~F.col("all") & (F.col("n") >= share * total / 2)).collect()
     return int(total), {int(np.int64(r.word).view(U64)): int(r.n) for r in found}
@@ -132,6 +132,8 @@ def frequent_words(docs: DataFrame, share: float) -> tuple[int, dict[int, int]]:
 
 def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
     """Rows of each chunk's tokens by bucket (kind tokens), and of its documents, once (kind docs); `part` is the chunk."""
+    key_shift = U64(64 - n_buckets.bit_length())
+    word_mask = U64((1 << max(0, 64 - n_buckets.bit_length() - 14)) - 1)
     hot = np.array(sorted(splits), dtype=U64)
     pieces = np.array([splits[int(h)] for h in hot], dtype=U64)
 
@@ -151,12 +153,12 @@ def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
                 is_hot = hot[at] == words
                 bucket[is_hot] = (bucket[is_hot] + mix(contexts[is_hot]) % pieces[at[is_hot]]) % U64(n_buckets)
                 del at, is_hot
-            order = np.lexsort((contexts, words, bucket))
-            doc = doc[order]
-            starts = _runs_of(bucket[order], words[order], contexts[order])
+            # by bucket, then by bits of word and context, so that equal ones mostly lie side by side; what does not is merged in the bucket
+            order = np.argsort((bucket.astype(U64) << key_shift) | ((words >> U64(20)) & word_mask) << U64(14) | (contexts & U64((1 << 14) - 1)))
+            bucket, words, contexts, doc = bucket[order], words[order], contexts[order], doc[order]
+            starts = _runs_of(bucket, words, contexts)
             runs = np.diff(np.append(starts, len(order))).astype("<u4")
-            first = order[starts]
-            bucket, words, contexts = bucket[first], words[first], contexts[first]
+            bucket, words, contexts = bucket[starts], words[starts], contexts[starts]
             starts = np.append(starts, len(order))
             edges = np.append(_runs_of(bucket), len(bucket))
             named = np.array([0 if i is None else i for i in ids], dtype=np.int64)
@@ -389,13 +391,13 @@ class Chain:
 
 def gather(parts: list[tuple[int, list[np.ndarray]]], hot: np.ndarray) -> tuple[Types, bytes, bytes]:
     """Of a bucket's tokens by chunk: its types; per chunk each token's type and document; and counts for all buckets' sums."""
-    own = [np.repeat(a[0], a[1]) for _, a in parts]
-    sizes = [len(x) for x in own]
+    sizes = [int(a[1].sum()) for _, a in parts]
     runs = np.concatenate([a[4] for _, a in parts])
     docs = np.concatenate([a[5] for _, a in parts])
-    words, word = np.unique(np.concatenate(own), return_inverse=True)
+    words, word = np.unique(np.concatenate([a[0] for _, a in parts]), return_inverse=True)
+    word = np.repeat(word, np.concatenate([a[1] for _, a in parts]))
     key = (word.astype(U64) << U64(CONTEXT_BITS)) | np.concatenate([_whole(a[2], a[3]) for _, a in parts])
-    del own, word
+    del word
     keys, kind = np.unique(key, return_inverse=True)
     del key
     count = np.bincount(np.repeat(kind, runs)[(docs & 1) == 0], minlength=len(keys))
@@ -475,18 +477,18 @@ def pitman_yor_scores(
     result; other columns are not returned. Discounts are set from the counts of ones and twos.
     """
     spark = df.sparkSession
-    bounded_batches(spark, ROWS)
+    bounded_batches(spark, ROWS, BATCH)
     stash = Stash(spark, "pitman-yor")
     docs = two_columns(df, id_col, text_col)
     schema = "__id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    sizes, often = frequent_words(docs, SHARE)
+    sizes, often = frequent_words(docs, SHARE, stash)
     if not sizes:
         return spark.createDataFrame([], schema).withColumnRenamed("__id", id_col)
     n_buckets = max(2, -(-sizes // bucket_tokens))
     n_parts = -(-n_buckets // 4)
     share = max(LEAST_SHARE, 0.125 / n_buckets)
     if share < 2 * SHARE:
-        sizes, often = frequent_words(docs, share)
+        sizes, often = frequent_words(docs, share, stash)
     often = {w: n for w, n in often.items() if n >= share * sizes}
     hot = np.array(sorted(often), dtype=U64)
     splits = {w: max(1, math.ceil(4 * n * n_buckets / sizes)) for w, n in often.items()}
