@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spendcurve.llm.common import bounded_batches, two_columns
-from spendcurve.llm.textops import _LOW_BYTES, SPACE, Chunk, chunks, ngrams
+from spendcurve.llm.textops import _LOW_BYTES, SPACE, Chunk, chunks, ngrams, word_hashes
 
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -18,17 +18,34 @@ BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "cookie policy", "privacy policy", "terms of service",
     "enable javascript", "click here", "subscribe to our", "sign up for", "skip to content", "back to top",
 )
-#: Bytes that end a sentence; a line of few words that ends otherwise is a heading or a menu.
-TERMINAL = ".!?\"')"
+#: Characters that end a sentence, in any script; a line of few words that ends otherwise is a heading or a menu.
+TERMINAL = ".!?…。！？؟।\"')”’»」』）"
+#: Words that part the entries of a menu or a path.
+SEPARATORS = "|·•»›>/–—-"
 SCHEMA = (
     "__id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_failed_lines long, n_words_kept long, base_failed boolean, kept boolean"
 )
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
-_END = np.zeros(256, dtype=bool)
-_END[[ord(c) for c in TERMINAL]] = True
-_END[128:] = True  # any non-ASCII mark, such as a closing quote
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True  # letters of other scripts have no ASCII byte
+_END = np.array(sorted(int.from_bytes(c.encode()) for c in TERMINAL), dtype=np.int64)
+
+
+def last_characters(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes of the character before each end, as a number."""
+    out = np.zeros(len(ends), dtype=np.int64)
+    more = np.ones(len(ends), dtype=bool)
+    for k in range(4):
+        byte = data[np.maximum(ends - 1 - k, 0)].astype(np.int64)
+        out = np.where(more, out | (byte << (8 * k)), out)
+        more &= (byte & 0xC0) == 0x80
+    return out
+
+
+def _separator_hashes() -> np.ndarray:
+    return word_hashes(next(chunks(pa.array([" ".join(SEPARATORS)]))), lower=False)[0]
 
 
 def _sums(flags: np.ndarray) -> np.ndarray:
@@ -77,8 +94,10 @@ def measure(chunk: Chunk, max_loss: float, min_words: int, with_text: bool) -> d
     again = np.zeros(len(l_hash), dtype=bool)
     if len(order):
         again[order[1:]] = (l_hash[order[1:]] == l_hash[order[:-1]]) & (l_doc[order[1:]] == l_doc[order[:-1]])
-    last = np.zeros(len(l_hash), dtype=np.uint8)
-    last[worded] = data[ends[w_b[worded] - 1] - 1]
+    ended = np.zeros(len(l_hash), dtype=bool)
+    ended[worded] = np.isin(last_characters(data, ends[w_b[worded] - 1]), _END)
+    separators = _sums(np.isin(word_hash, _separator_hashes()))
+    letters = _sums(_LETTER[data])
     boiler = np.zeros(len(l_hash), dtype=bool)
     body = _LOW_BYTES[data].tobytes()
     for phrase in BOILERPLATE:
@@ -94,7 +113,9 @@ def measure(chunk: Chunk, max_loss: float, min_words: int, with_text: bool) -> d
         | boiler
         | (10 * (symbols[l_end] - symbols[l_start]) > l_chars)
         | (10 * (bangs[l_end] - bangs[l_start]) > l_chars)
-        | ((l_words < 4) & ~_END[last])
+        | ((l_words < 4) & ~ended)
+        | (4 * (separators[w_b] - separators[w_a]) >= np.maximum(l_words, 4))
+        | (letters[l_end] == letters[l_start])
     )
     docs = chunk.n_docs
     words_kept = np.bincount(l_doc[worded & ~failed], weights=l_words[worded & ~failed], minlength=docs).astype(np.int64)
@@ -128,8 +149,9 @@ def quality_rules(
     """One row per input row: its figures, `base_failed`, `kept` and, unless `with_text` is false, `clean_text`.
 
     A line with a word fails if it repeats an earlier line of its document, holds a boilerplate phrase,
-    has more than a tenth of its characters in symbols or in exclamation marks, or has under four words
-    and no final punctuation. A document is rejected if it has under `min_words` words, if over half its
+    has more than a tenth of its characters in symbols or in exclamation marks, has under four words
+    and no final punctuation of any script, has a separator (|, >, - and the like alone) for every four of its
+    words, or has no letter. A document is rejected if it has under `min_words` words, if over half its
     words lie in repeated 3-word windows, or if failed lines held more than `max_loss` of its words.
 
     A null or empty text has no words and is rejected; its clean text is empty. Repeated rows are judged

@@ -19,7 +19,9 @@ l2 AS (SELECT doc_id, len(lw) AS k, seen > 1 AS again,
               OR regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|cookie policy|privacy policy|terms of service|enable javascript|click here|subscribe to our|sign up for|skip to content|back to top')
               OR 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > chars
               OR 10 * length(regexp_replace(line, '[^!]', '', 'g')) > chars
-              OR (len(lw) < 4 AND NOT regexp_matches(lw[-1], '[.!?"'')]$|[^\x00-\x7F]$')) AS failed
+              OR (len(lw) < 4 AND NOT regexp_matches(lw[-1], '[.!?…。！？؟।"'')”’»」』）]$'))
+              OR 4 * len(list_filter(lw, lambda x: x IN ('|', '·', '•', '»', '›', '>', '/', '–', '—', '-'))) >= greatest(len(lw), 4)
+              OR NOT regexp_matches(line, '[A-Za-z]|[^\x00-\x7F]') AS failed
        FROM l1 WHERE len(lw) > 0),
 l3 AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup, count(*) FILTER (failed) AS n_failed,
               coalesce(sum(k) FILTER (NOT failed), 0) AS kept_words

@@ -1100,6 +1100,32 @@ def test_near_duplicates_of_repeated_and_missing_rows(spark):
 # ---- op10: quality rules
 
 
+def test_line_rules_hold_in_any_script():
+    good = "Das ist ein Satz, der zählt. " * 30
+    lines = {
+        "Главная страница": True, "Главная страница.": False, "首页": True, "这是一个完整的句子。": False, "هل هذا سؤال؟": False, "यह वाक्य है।": False, "Café crème": True, "»Ja.«": True, "„Nein.”": False,
+        "Home > Shop > Shoes > Men > Boots": True, "eins · zwei · drei · vier · fünf.": True, "Ein Satz - mit einem Strich, aber sonst ganz gewöhnlich.": False,
+        "12 34 56 78 90": True, "- - -": True, "No end but many plain words in a row": False,
+    }
+    for line, fails in lines.items():
+        out = quality_rules.measure(next(textops.chunks(pa.array([good + "\n" + line]))), 0.3, 50, True)
+        assert (out["n_failed_lines"][0] == 1) == fails, line
+        assert out["clean_text"][0].endswith(line) != fails
+
+
+def test_very_long_texts_are_judged_whole(spark):
+    rng = random.Random(2)
+    long = "\n".join(sentence(rng, 12) + "." for _ in range(20_000))
+    row = quality_rules.quality_rules(spark.createDataFrame([(1, long + "\nHome\n" + long.split("\n")[0])], EMPTY)).first()
+    assert row.n_words == 240_013 and row.n_dup_lines >= 1 and row.n_failed_lines >= 2 and row.kept
+    assert row.clean_text.split("\n")[0] == long.split("\n")[0]
+    frame = spark.createDataFrame([(1, long), (2, "a b")], EMPTY)
+    out = {r.doc_id: r for r in importance.importance_resample(frame, spark.createDataFrame([], "doc_id long, quality int"))[0].collect()}
+    assert out[1].n_features > 480_000 and out[2].n_features == 3
+    near = minhash.near_duplicates(spark.createDataFrame([(1, long), (2, long + " tail"), (3, "a b")], EMPTY)).collect()
+    assert {(r.doc_id, r.component_id) for r in near} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_quality_rules_follow_the_definitions(spark):
     rng = random.Random(7)
     line = sentence(rng, 12) + "."
