@@ -45,6 +45,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express."""
+    return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor_scores(table(spark, sf_dir, "documents"))
 
@@ -79,11 +84,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_importance_resampling": op8_importance_resampling,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "url_rules": url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_top_k": sql.OP3,
+        "op9_minhash_near_dedup": sql.OP9,
+        "url_rules": sql.URL_RULES,
         "op10_quality_rules": sql.OP10,
     }
