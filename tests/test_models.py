@@ -221,11 +221,15 @@ def test_bootstrap(spark, simulated):
 
 
 def test_gamma_gamma(spark, simulated):
-    x, z = [1, 2, 5, 17], [9.5, 40, 133.25, 3.75]
-    p, q, g = 3.5, 2.25, 12
+    x, z = [1, 3, 6, 21], [12.2, 55, 80.6, 4.1]
+    p, q, g = 2.8, 3.1, 9.4
     want = [math.lgamma(p * a + q) - math.lgamma(p * a) - math.lgamma(q) + q * math.log(g) + (p * a - 1) * math.log(m) + p * a * math.log(a) - (p * a + q) * math.log(g + a * m) for a, m in zip(x, z)]
     assert np.allclose(GammaGamma.log_likelihood((p, q, g), x, z), want, rtol=1e-12)
     assert np.all(np.isneginf(GammaGamma.log_likelihood((-1, q, g), x, z)))
+    frame = spark.createDataFrame(list(zip(map(float, x), map(float, z))), "x double, z double")
+    for q in (q, 3e4):  # the expression keeps the digits that large parameters cost
+        column = GammaGamma.log_likelihood_column((p, q, g), F.col("x"), F.col("z"))
+        assert np.allclose([r.v for r in frame.select(column.alias("v")).collect()], GammaGamma.log_likelihood((p, q, g), x, z), rtol=1e-11)
     model = GammaGamma().fit(simulated)
     assert np.allclose(model.params_, [6.25, 3.74, 15.44], rtol=0.25)
     spend = model.predict(summary(spark, [0, 3], [0, 3], [9, 9], [0, 50])).to_pandas()["expected_spend"]
