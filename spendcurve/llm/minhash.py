@@ -153,6 +153,13 @@ def _across(residual: DataFrame, percent: int) -> DataFrame:
     return met.filter((first == F.col("key")) & (shared >= (LEAST_SHARED if percent >= 85 else LEAST_SHARED_BELOW))).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 
+def _spanning(members: DataFrame, comps: DataFrame, hot: DataFrame, stash: Stash, name: str) -> DataFrame:
+    """The members of buckets that span several components, with theirs and that of the bucket's lead."""
+    placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spans = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("lead_component"))
+    return stash.keep(placed.join(spread(spans.filter("lo <> hi").select("key", "lead_component"), hot, "key"), ["key", "__salt"]), name)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
     """One row per input row with an id: id, n_shingles, component_id, kept.
 
@@ -163,8 +170,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the links. Rows without an id are left out. Other columns are not returned. `percent` is 80 at least:
     the tables are laid out for that.
 
-    Exact copies are gathered by fingerprint first. In each bucket every set meets the bucket's first;
-    buckets that then still span several components are compared in blocks, so that no link is lost.
+    Exact copies are gathered by fingerprint first. Every set meets the first of its buckets' leads, and then
+    the other leads with which it is not yet linked; buckets that still span several components are
+    compared in blocks, so that no link is lost.
     """
     if not 80 <= percent <= 100:
         raise ValueError(f"percent must be from 80 to 100, got {percent!r}")
@@ -179,29 +187,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     keyed = classes.select("id", "n", F.posexplode("a").alias("i", "p"), "b").select("id", "n", "i", "p", F.posexplode("b").alias("j", "q"))
     keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
-    shared = stash.keep(shared, "shared")
+    # the first id of a bucket, and its least and largest set, as an id may have several texts
+    low, high = F.min(F.struct("id", "n")), F.min(F.struct("id", (-F.col("n")).alias("m")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), low.alias("low"), high.alias("high")).filter("size > 1")
+    shared = stash.keep(shared.select("key", "size", F.col("low.id").alias("lead"), F.col("low.n").alias("low"), (-F.col("high.m")).alias("high")), "shared")
     hot = stash.keep(hot_keys(shared.select("key", F.col("size").alias("n")), "key"), "hot")
-    members = stash.keep(salted(keyed, hot, "key", "id").join(spread(shared, hot, "key"), ["key", "__salt"]), "members")
-    sizes = classes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))  # an id may have two texts
-    pairs = members.filter("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stash.keep(pairs, "met")
-    pairs = matched(matched(pairs, "a", "b", sizes.toDF("a", "a_low", "a_high")), "b", "a", sizes.toDF("b", "b_low", "b_high"))
-    fits = f"100 * a_high >= {percent} * b_low AND 100 * b_high >= {percent} * a_low"
-    pairs = stash.keep(pairs.filter(fits).select("a", "b"), "pairs")
+    fits = f"lead < id AND 100 * high >= {percent} * n AND 100 * n >= {percent} * low"
+    members = salted(keyed, hot, "key", "id").join(spread(shared.drop("size"), hot, "key"), ["key", "__salt"])
+    members = stash.keep(members.select("key", "__salt", "id", "lead", F.expr(fits).alias("fits")), "members")
     wanted = members.select(F.col("id").alias("__id")).distinct()
     sets = stash.keep(shingle_sets(docs.join(by_id(wanted), "__id", "left_semi"), shingle), "sets")
-    links = stash.keep(verify(pairs, sets, percent), "links")
     # rows of one id with different texts are one document
     own = some.join(classes.select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).select("id", "n", "rep")
     own = stash.keep(own, "own")
     split = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    edges = links.unionByName(split)
-    comps = stash.keep(connected_components(edges, stash, "first"), "components")
-
-    placed = members.select("key", "__salt", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    residual = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = stash.keep(placed.join(spread(residual, hot, "key"), ["key", "__salt"], "left_semi"), "residual")
+    # first every set meets the least of the leads of its buckets, then those with which it is not yet linked
+    pairs = stash.keep(members.filter("fits").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    edges = stash.keep(verify(pairs, sets, percent), "links").unionByName(split)
+    left = _spanning(members, stash.keep(connected_components(edges, stash, "first"), "components"), hot, stash, "waiting")
+    again = left.filter("fits AND component <> lead_component").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    again = stash.keep(again.join(pairs, ["a", "b"], "left_anti"), "more_leads")
+    edges = edges.unionByName(stash.keep(verify(again, sets, percent), "lead_links"))
+    pairs = pairs.unionByName(again)
+    comps = stash.keep(connected_components(edges, stash, "second"), "lead_components")
+    left = _spanning(left.drop("component", "lead_component"), comps, hot, stash, "residual")
     if not left.isEmpty():
         # a set that mostly holds shingles of its own is similar to none of the others; twice, as others are then gone
         open_sets = sets.join(left.select("id").distinct(), "id", "left_semi")
@@ -215,8 +224,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = _across(near.join(members_of, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
-        comps = stash.keep(connected_components(edges.unionByName(late), stash, "second"), "all_components")
-    stash.drop("classes", "shared", "hot", "members", "met", "pairs", "sets", "links", "residual", "matchable-0", "matchable-1", "near", "more_pairs", "more_links")
+        comps = stash.keep(connected_components(edges.unionByName(late), stash, "third"), "all_components")
+    stash.drop("shared", "hot", "members", "pairs", "sets", "links", "waiting", "more_leads", "lead_links", "residual", "matchable-0", "matchable-1", "near", "more_pairs", "more_links")
     found = own.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     none = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     # an id with an empty and a non-empty row keeps the component of the latter
