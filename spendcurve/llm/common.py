@@ -83,11 +83,13 @@ class Stash:
             _swept.add(app)
             atexit.register(_sweep, spark, app)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write and read again; with `by` in a folder for each value of that column, which can be dropped by itself."""
         path = f"{self.root}/{name}"
+        writer = df.write.mode("overwrite")
         # what is shuffled for this is not read again
         with setting(self.spark, CLEAN_SHUFFLES, "true"):
-            df.write.mode("overwrite").parquet(path)
+            (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

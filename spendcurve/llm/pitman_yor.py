@@ -513,12 +513,12 @@ def pitman_yor_scores(
     def kept(rows: DataFrame, name: str) -> DataFrame:
         """Write rows of large binaries, reading others one by one, not by thousands."""
         with setting(spark, "spark.sql.parquet.enableVectorizedReader", "false"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
-            return stash.keep(rows, name)
+            return stash.keep(rows, name, by="kind" if "kind" in rows.columns else None)
 
     def of(rows: DataFrame, *kinds: str) -> DataFrame:
         return rows.filter(F.col("kind").isin(*kinds))
 
-    buckets = stash.keep(each_bucket(deal(docs, n_buckets, splits), gathered), "buckets")
+    buckets = stash.keep(each_bucket(deal(docs, n_buckets, splits), gathered), "buckets", by="kind")
     facts, split = _total(of(buckets, "sums"))
     words = np.array(sorted(split), dtype=U64)
     counts = np.array([split[int(w)][0] for w in words])
@@ -567,8 +567,7 @@ def pitman_yor_scores(
     sampled: DataFrame | None = None
     for step in range(1, last + 1):
         moved = kept(each_bucket(of(rows, "chain").unionByName(sums_by_context(of(rows, "asks"))), sweep(step, state)), f"chain{step}")
-        if step - 1 <= burn_in:
-            stash.drop(f"chain{step - 1}")
+        stash.drop(*[f"chain{step - 1}/kind={kind}" for kind in ("chain", "asks", "sums")])
         rows = moved
         whole, split = _total(of(rows, "sums"))
         sent = np.array([split[int(w)][0] for w in words]).astype(np.int64)
@@ -583,7 +582,9 @@ def pitman_yor_scores(
             states.append(state)
             sampled = rows if sampled is None else sampled.unionByName(rows)
 
+    stash.drop(f"chain{last}/kind=chain", f"chain{last}/kind=asks")
     extras = kept(sums_by_context(of(buckets, "asks").unionByName(of(sampled, "gives")), given=samples), "extras")
+    stash.drop("buckets/kind=asks", *[f"chain{k}/kind=gives" for k in range(burn_in + 1, last + 1)])
 
     def score(table: pa.Table) -> pa.Table:
         group = Group.of(table)
@@ -612,17 +613,17 @@ def pitman_yor_scores(
                 kind.append(0)
                 # half the digits are plenty for the model's part of a document, of which the sum is taken in doubles
                 out.append(_zip(place.astype("<u2"), sums[0].astype(np.float32), sums[1], sums[2].astype("<u4")))
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array(kind, pa.int32()), "data": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "type": pa.array(kind, pa.int32()), "data": pa.array(out, pa.binary())})
 
     renamed = replies.withColumn("kind", F.lit("known"))
     every = of(buckets, "types", "uses", "docs").unionByName(renamed).unionByName(of(sampled, "sample")).unionByName(extras)
-    parts = kept(each_bucket(every, score, "chunk long, kind int, data binary"), "parts")
+    parts = kept(each_bucket(every, score, "chunk long, type int, data binary"), "parts")
     stash.drop("buckets", "known", "extras", *[f"chain{k}" for k in range(burn_in, last + 1)])
     tokens = state.tokens
 
     def finish(table: pa.Table) -> pa.Table:
         model, base, seen = np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, dtype=np.int64)
-        for kind, data in sorted(zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True)):
+        for kind, data in sorted(zip(table.column("type").to_pylist(), table.column("data").to_pylist(), strict=True)):
             arrays = _unzip(data)
             if kind == 1:
                 ids, null, held, counts = arrays
