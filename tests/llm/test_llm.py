@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -1030,6 +1031,40 @@ def test_weights_are_log_ratios():
     assert model.weights(chunk)[0].tolist() == [float(buckets[:7].sum()), -math.inf, float(buckets[7])]
 
 
+# ---- intermediates
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from spendcurve.llm.common import shared_folder
+
+    def session(master, named=None):
+        nothing = Some(get=lambda *a: None)
+        return Some(conf=Some(get=lambda *a: named), sparkContext=Some(master=master, applicationId=f"app-{master}", getConf=lambda: nothing))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("local[2]")).startswith("file:///")
+
+
+def test_intermediates_are_dropped_and_shuffles_cleaned(spark):
+    from spendcurve.llm.common import CLEAN_SHUFFLES, Stash
+
+    stash = Stash(spark, "test")
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    kept = stash.keep(spark.range(100).selectExpr("id", "CAST(id % 2 AS STRING) AS kind").repartition(3, "id"), "rows", by="kind")
+    assert spark.conf.get(CLEAN_SHUFFLES) == before
+    assert kept.groupBy("kind").count().count() == 2
+    folder = Path(f"{stash.root}/rows".removeprefix("file:"))
+    stash.drop("rows/kind=1")
+    assert sorted(p.name for p in folder.glob("kind=*")) == ["kind=0"] and kept.filter("kind = '0'").count() == 50
+    stash.drop("rows", "never")
+    assert not folder.exists()
+
+
 # ---- joins by hot keys
 
 
