@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spendcurve.functions import periods
 from spendcurve.plans import display
@@ -75,14 +74,38 @@ def purchase_events(totals: DataFrame, policy: str, has_monetary: bool) -> DataF
     return totals.filter("n_vouched > 0").select("id", "bucket", spend_of(policy).alias("spend"))
 
 
+#: Amounts that are whole in this part of a unit are summed as whole numbers.
+_PARTS = 10_000
+
+
+def _summary_sums(event: Column, spend: Column | None) -> list[Column]:
+    """Aggregates over a customer's buckets: how many events, first and last bucket, and what the mean spend after the first needs."""
+    bucket = F.when(event, F.col("bucket"))
+    sums = [F.count(bucket).alias("n_events"), F.min(bucket).alias("first_bucket"), F.max(bucket).alias("last_bucket")]
+    if spend is not None:
+        spend = F.when(event, spend)
+        whole = F.when(F.abs(spend) < 1e11, F.round(spend * _PARTS).cast("bigint"))
+        whole = F.when(whole / _PARTS == spend, whole)
+        sums += [
+            F.count(spend).alias("n_spends"), F.count(whole).alias("n_whole"), F.sum(spend).alias("spent"), F.try_sum(whole).alias("spent_whole"),
+            F.min_by(spend, bucket).alias("first_spend"), F.min_by(whole, bucket).alias("first_whole"),
+        ]
+    return sums
+
+
+def _mean_again() -> Column:
+    """Mean spend of the events after the first, 0 without any: a sum less its first part, exact where all amounts are whole parts."""
+    n = F.col("n_spends") - F.when(F.col("first_spend").isNotNull(), 1).otherwise(0)
+    exact = (F.col("n_whole") == F.col("n_spends")) & F.col("spent_whole").isNotNull()
+    rest = F.col("spent") - F.coalesce("first_spend", F.lit(0.0))
+    rest = F.when(exact, (F.col("spent_whole") - F.coalesce("first_whole", F.lit(0))) / _PARTS).otherwise(rest)
+    return F.when(n > 0, rest / n).otherwise(0.0)
+
+
 def summarize(events: DataFrame, has_monetary: bool) -> DataFrame:
     """Per customer: number of events, first and last bucket, mean spend of the events after the first (0 without any)."""
-    sums = [F.count("*").alias("n_events"), F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket")]
-    if has_monetary:
-        events = events.withColumn("first_of", F.min("bucket").over(Window.partitionBy("id")))
-        again = F.when(F.col("bucket") > F.col("first_of"), F.col("spend"))
-        sums.append(F.coalesce(F.avg(again), F.lit(0.0)).alias("monetary_value"))
-    return events.groupBy("id").agg(*sums)
+    customers = events.groupBy("id").agg(*_summary_sums(F.lit(True), F.col("spend") if has_monetary else None))
+    return customers.withColumn("monetary_value", _mean_again()) if has_monetary else customers
 
 
 def rfm(summary: DataFrame, made: Provenance) -> DataFrame:
@@ -150,24 +173,24 @@ class CustomerBase:
         has_monetary = amount_col is not None
         log = normalized_log(transactions, customer_id_col, datetime_col, amount_col, datetime_format)
         totals = bucket_totals(log, grain, has_monetary)
+        customers = per_customer(totals, on_negative, has_monetary)
         if validate:
-            totals = totals.persist()
-            counts = _counts(totals, has_monetary)
+            customers = customers.persist()
+            counts = _counts(customers)
             end = _checked_end(counts, observation_period_end, on_negative)
             _warn(counts, customer_id_col, collapse, grain, on_negative, has_monetary)
         elif observation_period_end is None:
             raise ValueError("validate=False needs observation_period_end: the last transaction is not looked up")
         else:
             counts, end = None, pd.Timestamp(observation_period_end)
-        known = totals.filter("id IS NOT NULL AND bucket IS NOT NULL")
         made = Provenance(customer_id_col, time_unit, grain, ratio, has_monetary, on_negative, end)
-        events = purchase_events(known, on_negative, has_monetary)
-        out = cls(rfm(summarize(events, has_monetary), made), made, events, counts)
-        out._held = totals if validate else None
+        events = purchase_events(totals.filter("id IS NOT NULL AND bucket IS NOT NULL"), on_negative, has_monetary)
+        out = cls(rfm(customers.filter("id IS NOT NULL AND n_events > 0"), made), made, events, counts)
+        out._held = customers if validate else None
         return out
 
     def unpersist(self) -> None:
-        """Release the totals that were held for counting; results are computed from the log again."""
+        """Release the customers that were held for counting; results are computed from the log again."""
         if self._held is not None:
             self._held.unpersist()
 
@@ -225,29 +248,36 @@ class CustomerBase:
         return display.long(self)
 
 
-def _counts(totals: DataFrame, has_monetary: bool) -> dict:
-    """All counters in one row: per customer first, then over the customers."""
+def per_customer(totals: DataFrame, policy: str, has_monetary: bool) -> DataFrame:
+    """A row for each id, null included: all counters, and what the summary needs. Partial sums by bucket come first, so a hot customer costs no task more than its buckets; there is no sort."""
     known = F.col("id").isNotNull() & F.col("bucket").isNotNull()
     rows = F.col("n_rows")
+    event = known & (F.col("n_vouched") > 0) if has_monetary else known
     sums = [
         F.sum(rows).alias("all_rows"),
         F.sum(F.when(F.col("id").isNull(), rows)).alias("no_id"),
         F.sum(F.when(F.col("id").isNotNull() & F.col("bucket").isNull(), rows)).alias("no_date"),
-        F.max(F.when(F.col("id").isNotNull(), F.col("last_ts"))).cast("string").alias("last_ts"),
+        F.max(F.when(F.col("id").isNotNull(), F.col("last_ts"))).alias("last_ts"),
         F.sum(F.when(known, rows)).alias("rows"),
         F.count(F.when(known, 1)).alias("buckets"),
+        *_summary_sums(event, spend_of(policy) if has_monetary else None),
     ]
-    event = known & (F.col("n_vouched") > 0) if has_monetary else known
-    sums += [F.count(F.when(event, 1)).alias("n_events")]
     if has_monetary:
         sums += [
             F.sum(F.when(known, F.col("n_negative"))).alias("negative"),
             F.count(F.when(event & (F.col("net") <= 0), 1)).alias("netted"),
         ]
     customers = totals.groupBy("id").agg(*sums)
-    over = [F.sum(c).alias(c) for c in customers.columns if c not in ("id", "last_ts")]
+    inner = ["first_spend", "first_whole", "n_spends", "n_whole", "spent", "spent_whole"]
+    return customers.withColumn("monetary_value", _mean_again()).drop(*inner) if has_monetary else customers
+
+
+def _counts(customers: DataFrame) -> dict:
+    """All counters in one row."""
+    names = [c for c in ("all_rows", "no_id", "no_date", "rows", "buckets", "n_events", "negative", "netted") if c in customers.columns]
+    over = [F.sum(c).alias(c) for c in names]
     over += [
-        F.max("last_ts").alias("last_ts"),
+        F.max("last_ts").cast("string").alias("last_ts"),
         F.count(F.when(F.col("buckets") > 0, F.col("id"))).alias("customers"),
         F.count(F.when(F.col("n_events") > 0, F.col("id"))).alias("with_events"),
         F.count(F.when(F.col("n_events") > 1, F.col("id"))).alias("repeat_buyers"),

@@ -106,6 +106,25 @@ def test_warnings(spark):
     assert "netted 2 of 3 purchase events" in base(spark, [("A", "2020-01-01", 10.0), ("A", "2020-01-10", 0.0), ("B", "2020-01-01", 0.0)])[1][0]
 
 
+def test_summary_takes_two_exchanges_and_no_sort(spark):
+    lazy, _ = base(spark, A, validate=False, observation_period_end="2020-01-20")
+    plan = lazy.to_spark()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan and "Sort" not in plan
+
+
+def test_mean_spend_leaves_the_first_event_out_exactly(spark):
+    days = pd.date_range("2020-01-01", periods=5).strftime("%Y-%m-%d")
+    logs = {
+        "cents": [1e9, 0.1, 0.2, 10.1, 12.34], "fine": [7.123456789, 1 / 3, 2 / 7, 0.1, 5.0], "huge": [1e15, 3.0, 4.0, 5.0, 6.0], "refunded": [-5.0, 8.5, 0.0, 8.5, 8.5],
+    }
+    rows = [(who, d, v) for who, values in logs.items() for d, v in zip(days, values)]
+    found = {r.customer_id: r.monetary_value for r in base(spark, rows)[0].to_spark().collect()}
+    assert found["cents"] == 5.685
+    assert found["fine"] == pytest.approx((1 / 3 + 2 / 7 + 0.1 + 5.0) / 4, rel=1e-14)
+    assert found["huge"] == pytest.approx(4.5, rel=0.05)  # beyond whole parts a sum of doubles is less its first part
+    assert found["refunded"] == 8.5
+
+
 def test_refusals(spark):
     with pytest.raises(ValueError, match="on_negative must be one of"):
         base(spark, A, on_negative="ignore")
