@@ -133,7 +133,7 @@ def frequent_words(docs: DataFrame, share: float, stash: Stash) -> tuple[int, di
 def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
     """Rows of each chunk's tokens by bucket (kind tokens), and of its documents, once (kind docs); `part` is the chunk."""
     key_shift = U64(64 - n_buckets.bit_length())
-    word_mask = U64((1 << max(0, 64 - n_buckets.bit_length() - 14)) - 1)
+    word_shift = U64(n_buckets.bit_length() + 14)
     hot = np.array(sorted(splits), dtype=U64)
     pieces = np.array([splits[int(h)] for h in hot], dtype=U64)
 
@@ -153,8 +153,8 @@ def deal(docs: DataFrame, n_buckets: int, splits: dict[int, int]) -> DataFrame:
                 is_hot = hot[at] == words
                 bucket[is_hot] = (bucket[is_hot] + mix(contexts[is_hot]) % pieces[at[is_hot]]) % U64(n_buckets)
                 del at, is_hot
-            # by bucket, then by bits of word and context, so that equal ones mostly lie side by side; what does not is merged in the bucket
-            order = np.argsort((bucket.astype(U64) << key_shift) | ((words >> U64(20)) & word_mask) << U64(14) | (contexts & U64((1 << 14) - 1)))
+            # by bucket, then by the first bits of word and context, in which equal ones mostly lie side by side and as in the bucket; what does not is merged there
+            order = np.argsort((bucket.astype(U64) << key_shift) | ((words >> word_shift) << U64(14)) | (contexts >> U64(CONTEXT_BITS - 14)))
             bucket, words, contexts, doc = bucket[order], words[order], contexts[order], doc[order]
             starts = _runs_of(bucket, words, contexts)
             runs = np.diff(np.append(starts, len(order))).astype("<u4")
