@@ -121,9 +121,12 @@ def spread(right: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     return right.join(F.broadcast(hot), key, "left").withColumn("__salt", salts).drop("__pieces")
 
 
-def matched(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFrame:
-    """rows joined to values on `key`, of which rows may have any number: those of hot keys are dealt over tasks by the column `by`."""
-    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+def matched(rows: DataFrame, key: str, by: str, values: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined to values on `key`, of which rows may have any number: those of hot keys are dealt over tasks by the column `by`.
+
+    `counted` is a written table with the same keys, where counting rows would compute them once more.
+    """
+    hot = hot_keys((rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("n")), key)
     return salted(rows, hot, key, by).join(spread(values, hot, key), [key, "__salt"]).drop("__salt")
 
 

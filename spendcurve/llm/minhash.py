@@ -111,7 +111,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    met = matched(matched(pairs, "a", "b", x), "b", "a", y)
+    met = matched(matched(pairs, "a", "b", x), "b", "a", y, counted=pairs)
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 

@@ -316,7 +316,7 @@ def _align(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int, w
     right = texts.select("id", F.col("hash").alias("__hash"), F.col("text").alias("y"))
     # joined on ids, of which few have several texts
     met = matched(pairs, "lead", "id", left).filter("lead_hash = __hash").drop("__hash")
-    met = matched(met, "id", "lead", right).filter("hash = __hash")
+    met = matched(met, "id", "lead", right, counted=pairs).filter("hash = __hash")
     schema = "lead long, id long, hash long, start long, end long, lead_start long, lead_end long, similarity double, key long, at int"
     return met.select("lead", "id", "hash", "windows", "x", "y").mapInArrow(work, schema)
 
