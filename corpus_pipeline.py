@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendcurve.llm.common import Stash, bounded_batches, by_id, table
+from spendcurve.llm.common import Stash, bounded_batches, by_id, table, trimmed
 from spendcurve.llm.importance import importance_resample
 from spendcurve.llm.minhash import near_duplicates
 from spendcurve.llm.packing import pack_documents
@@ -50,7 +50,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
             out = pa.RecordBatch.from_arrays(columns, names=names)
             yield out.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool)))
 
-    return _with_text(docs.mapInArrow(clean, docs.schema), F.col("text"))
+    return _with_text(docs.mapInArrow(trimmed(clean), docs.schema), F.col("text"))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_folders: dict[str, str] = {}
 _swept: set[str] = set()
+#: What this process holds from one task to the next, by name.
+held: dict[str, object] = {}
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
@@ -28,6 +32,35 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BAT
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def drop_held() -> None:
+    """In the worker's own module: a function that is sent to workers would clear a copy."""
+    held.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library would keep it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker is small again when its task has ended, as workers outlive tasks and queries.
+
+    Unless it `holds` things itself, it first drops what tasks of other operators have held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            drop_held()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for a while."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, trimmed, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams
 
 #: Hash buckets of unigrams and bigrams together.
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, good: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
     flagged = docs.join(F.broadcast(good.select(F.col("id").alias("__id"), F.lit(True).alias("__good"))), "__id", "left").select("__id", "__text", "__good")
-    rows = flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    rows = flagged.mapInArrow(trimmed(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(1 << BITS), np.ones(1 << BITS)
     for row in rows:
         raw[row.bucket] += row.raw
@@ -217,14 +217,14 @@ def importance_resample(
                 yield pa.RecordBatch.from_arrays([own, pa.array(counts), pa.array(weights, mask=none), pa.array(keys, mask=none)], names=["id", "n_features", "log_weight", "key"])
 
     columns = "id long, n_features long, log_weight double, key double"
-    scored = stash.keep(docs.mapInArrow(score, columns), "scored")
+    scored = stash.keep(docs.mapInArrow(trimmed(score), columns), "scored")
     total = scored.filter("key IS NOT NULL").count()
     if k is None:
         others = F.broadcast(named.filter("NOT fits").select("id", "quality"))  # max_labelled rows at most
         if raw is None:
             known = scored.join(others, "id")
         else:
-            known = source.join(others.withColumnRenamed("id", "__id"), "__id", "left_semi").select("__id", "__text").mapInArrow(score, columns).join(others, "id")
+            known = source.join(others.withColumnRenamed("id", "__id"), "__id", "left_semi").select("__id", "__text").mapInArrow(trimmed(score), columns).join(others, "id")
         # one row for each labelled id, of which there are max_labelled at most
         fitted = known.filter("key IS NOT NULL").groupBy("id").agg(F.min("log_weight").alias("log_weight"), F.first("quality").alias("quality")).collect()
         good = np.array([r.quality == 1 for r in fitted], dtype=bool)

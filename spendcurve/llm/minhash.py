@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, trimmed, two_columns
 from spendcurve.llm.components import connected_components
 from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, word_hashes
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     names=["id", "n", "f1", "f2", "a", "b"],
                 )
 
-    return docs.mapInArrow(sign, "id long, n long, f1 long, f2 long, a array<long>, b array<long>")
+    return docs.mapInArrow(trimmed(sign), "id long, n long, f1 long, f2 long, a array<long>, b array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -83,7 +83,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                     [batch.column(0).slice(chunk.first, chunk.n_docs), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"]
                 )
 
-    return docs.mapInArrow(collect, "id long, hashes binary")
+    return docs.mapInArrow(trimmed(collect), "id long, hashes binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -112,7 +112,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     met = matched(matched(pairs, "a", "b", x), "b", "a", y, counted=pairs)
-    return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
 
 
 def _matchable(sets: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _matchable(sets: DataFrame) -> DataFrame:
                 hashes = np.frombuffer(data.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), doc, dtype=np.int64)), pa.array(hashes)], names=["id", "h"])
 
-    every = sets.mapInArrow(flat, "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    every = sets.mapInArrow(trimmed(flat), "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     alone = every.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
     sizes = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("n"))
     return sizes.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, trimmed, two_columns
 from spendcurve.llm.tokens import encoder
 
 SHARD_ITEMS = 4096
@@ -234,7 +234,7 @@ def _evolve_shards(shards: DataFrame, capacity: int, n_shards: int) -> DataFrame
     state = shards.select("shard", "lengths", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), none.alias("elites"))
     for step in range(ROUNDS):
         ready = state.withColumn("round", F.lit(step)).repartition(min(n_shards * ISLANDS, 4096), F.col("shard"), F.col("island"))
-        evolved = ready.select("shard", "island", "round", "lengths", "elites").mapInArrow(work, "shard long, island int, n_bins int, elites array<binary>, lengths array<int>")
+        evolved = ready.select("shard", "island", "round", "lengths", "elites").mapInArrow(trimmed(work), "shard long, island int, n_bins int, elites array<binary>, lengths array<int>")
         gathered = evolved.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("island", "n_bins", "elites"))).alias("all"))
         # migration: an island goes on with its own best two and the best of the island before it
         state = gathered.select("shard", "lengths", F.posexplode("all").alias("at", "own"), "all").select(
@@ -313,7 +313,7 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "part", "length", "sequence_id", "offset"])
 
-        placed = stash.keep(shards.join(solved, "shard").mapInArrow(place, "key long, part int, length int, sequence_id long, offset long"), f"placed{level}")
+        placed = stash.keep(shards.join(solved, "shard").mapInArrow(trimmed(place), "key long, part int, length int, sequence_id long, offset long"), f"placed{level}")
         done.append(placed.filter("sequence_id IS NOT NULL"))
         stash.drop(f"shards{level}")
         if last:
@@ -348,7 +348,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
             names = ["key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
-    return two_columns(df, id_col, text_col).mapInArrow(cut, schema)
+    return two_columns(df, id_col, text_col).mapInArrow(trimmed(cut, holds=True), schema)
 
 
 def pack_documents(

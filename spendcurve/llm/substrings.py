@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, two_columns
+from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, trimmed, two_columns
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix, ngrams, span_hasher, word_hashes
 
 SHINGLE = 5
@@ -123,7 +123,7 @@ def windows(docs: DataFrame, least_words: int, percent: int) -> DataFrame:
                     arrays = [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array((at - first[doc]).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "hash", "at"])
 
-    return docs.mapInArrow(work, "key long, id long, hash long, at int")
+    return docs.mapInArrow(trimmed(work), "key long, id long, hash long, at int")
 
 
 def _leads(rows: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def _align(pairs: DataFrame, texts: DataFrame, least_words: int, percent: int, w
     met = matched(pairs, "lead", "id", left).filter("lead_hash = __hash").drop("__hash")
     met = matched(met, "id", "lead", right, counted=pairs).filter("hash = __hash")
     schema = "lead long, id long, hash long, start long, end long, lead_start long, lead_end long, similarity double, key long, at int"
-    return met.select("lead", "id", "hash", "windows", "x", "y").mapInArrow(work, schema)
+    return met.select("lead", "id", "hash", "windows", "x", "y").mapInArrow(trimmed(work), schema)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, percent: int = 80) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from spendcurve.llm.common import held
 from spendcurve.llm.textops import U64, Chunk, chunks, constants, mix
 
 #: Units and ids that a worker's table holds at most; it starts anew before it has more. Bounds memory, changes no result.
@@ -248,14 +249,11 @@ def unit_edges(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return edge, sums[offsets[1:]] > sums[offsets[:-1]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def default_vocabulary() -> str:

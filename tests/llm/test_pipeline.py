@@ -1,11 +1,15 @@
 """The stages on a small corpus with known junk, copies and passages."""
 
 import random
+import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from spendcurve.llm import common, minhash, substrings, tokens
 from spendcurve.llm import queries as llm_queries
 
 
@@ -82,3 +86,23 @@ def test_run_packs_what_is_left(spark, folder):
 def test_registry():
     assert sorted(q.split("_")[0] for q in llm_queries.queries() if q != "url_rules") == sorted(f"op{k}" for k in range(1, 11))
     assert set(llm_queries.oracle_sql()) <= set(llm_queries.queries())
+
+
+def test_workers_are_small_again_after_a_task():
+    class Table:
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+    def megabytes():
+        return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    rng = random.Random(4)
+    text = sentence(rng, 400_000)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": [text[k:] for k in range(8)], "hash": [0] * 8})
+    for make in (lambda t: minhash.signatures(t, 5), lambda t: minhash.shingle_sets(t, 5), lambda t: substrings.windows(t, 50, 80)):
+        make(table := Table())
+        tokens.encoder(tokens.default_vocabulary())
+        before = megabytes()
+        assert sum(b.num_rows for b in table.work(iter([batch]))) > 0
+        assert not common.held and megabytes() < before + 8
