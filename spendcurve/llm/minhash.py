@@ -20,6 +20,8 @@ from spendcurve.llm.textops import U64, chunks, constants, mix, shingle_lists, w
 #: Half keys in each collection and min-hashes in each half key: 64 tables of 4 min-hashes out of 32. Two
 #: sets at similarity 0.85 meet with probability (1 - (1 - 0.85 ** 2) ** 8) ** 2 = 0.9999.
 HALVES, ROWS = 8, 2
+#: Sets whose table keys are made by one task, about: a task sorts 64 rows for each, however few files hold the sets.
+SLICE = 8192
 #: Members of a block when buckets that span several components are compared.
 BLOCK = 4096
 #: Half keys out of 2 * HALVES that a pair in such a bucket shares at least, from 0.85 on and below; a pair at 0.85 and one at 0.8 have fewer with a chance of about 1e-5 and 3e-5.
@@ -115,6 +117,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
 
 
+def table_keys(classes: DataFrame) -> DataFrame:
+    """(key, id, n): the keys of all tables for every set, made in slices of about SLICE sets."""
+    dealt = classes.repartition(max(1, -(-classes.count() // SLICE)), "f1", "f2")
+    keyed = dealt.select("id", "n", F.posexplode("a").alias("i", "p"), "b").select("id", "n", "i", "p", F.posexplode("b").alias("j", "q"))
+    return keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
+
+
 def _matchable(sets: DataFrame) -> DataFrame:
     """(id, m): how many of a set's shingles occur in another of these sets. No intersection is larger."""
 
@@ -185,8 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stash.keep(
         some.groupBy("n", "f1", "f2").agg(F.min_by(F.struct("id", "a", "b"), "id").alias("r")).select("n", "f1", "f2", "r.id", "r.a", "r.b"), "classes"
     )
-    keyed = classes.select("id", "n", F.posexplode("a").alias("i", "p"), "b").select("id", "n", "i", "p", F.posexplode("b").alias("j", "q"))
-    keyed = keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
+    keyed = table_keys(classes)
     # the first id of a bucket, and its least and largest set, as an id may have several texts
     low, high = F.min(F.struct("id", "n")), F.min(F.struct("id", (-F.col("n")).alias("m")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), low.alias("low"), high.alias("high")).filter("size > 1")

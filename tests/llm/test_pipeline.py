@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spendcurve.llm import common, minhash, substrings, tokens
@@ -106,3 +107,16 @@ def test_workers_are_small_again_after_a_task():
         before = megabytes()
         assert sum(b.num_rows for b in table.work(iter([batch]))) > 0
         assert not common.held and megabytes() < before + 8
+
+
+def test_near_dedup_makes_table_keys_in_slices(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, sentence(rng, 40)) for i in range(400)], "id long, text string").coalesce(1)
+    minhash.signatures(docs, 5).write.parquet(f"file://{tmp_path}/classes")
+    classes = spark.read.parquet(f"file://{tmp_path}/classes")
+    monkeypatch.setattr(minhash, "SLICE", 50)
+    keys = minhash.table_keys(classes).withColumn("task", F.spark_partition_id()).persist()
+    by_task = [r["count"] for r in keys.groupBy("task").count().collect()]
+    assert sum(by_task) == 400 * minhash.HALVES**2 and max(by_task) < 2 * 50 * minhash.HALVES**2
+    assert keys.select("id", "key").distinct().count() == 400 * minhash.HALVES**2
+    keys.unpersist()
