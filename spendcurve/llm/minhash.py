@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcurve.llm.common import Stash, bounded_batches, by_id, hot_keys, matched, salted, spread, trimmed, two_columns
@@ -24,6 +24,8 @@ HALVES, ROWS = 8, 2
 SLICE = 8192
 #: Members of a block when buckets that span several components are compared.
 BLOCK = 4096
+#: Sets that hold a rare shingle, at most. Any number gives the same links; a larger one counts more pairs by shingles and leaves less to the comparison in blocks.
+RARE = 64
 #: Half keys out of 2 * HALVES that a pair in such a bucket shares at least, from 0.85 on and below; a pair at 0.85 and one at 0.8 have fewer with a chance of about 1e-5 and 3e-5.
 LEAST_SHARED, LEAST_SHARED_BELOW = 4, 3
 
@@ -124,8 +126,8 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return keyed.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
 
 
-def _matchable(sets: DataFrame) -> DataFrame:
-    """(id, m): how many of a set's shingles occur in another of these sets. No intersection is larger."""
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(id, h): a row for each shingle of a set."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,35 +135,82 @@ def _matchable(sets: DataFrame) -> DataFrame:
                 hashes = np.frombuffer(data.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), doc, dtype=np.int64)), pa.array(hashes)], names=["id", "h"])
 
-    every = sets.mapInArrow(trimmed(flat), "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    return sets.mapInArrow(trimmed(flat), "id long, h long")
+
+
+def _matchable(sets: DataFrame) -> DataFrame:
+    """(id, m): how many of a set's shingles occur in another of these sets. No intersection is larger."""
+    every = _shingles(sets).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     alone = every.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
     sizes = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("n"))
     return sizes.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
 
 
+def _may(most: Column, percent: int) -> Column:
+    """Whether sets of n1 and n2 shingles can be similar if no more than `most` are common."""
+    return 100 * most >= percent * (F.col("n1") + F.col("n2") - most)
+
+
+def _by_rare(sets: DataFrame, placed: DataFrame, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share a rare shingle and may be similar; and (id, n, m), m counting a set's other, frequent shingles.
+
+    Rare shingles occur in 2 to RARE of the sets, so that there are at most RARE pairs for each of their places.
+    The rare shingles of a pair are counted in full, so that no intersection is larger than their number and the lesser m.
+    Pairs without a rare shingle have no more common shingles than the lesser m.
+    """
+    flat = stash.keep(_shingles(sets), "flat")
+    counts = stash.keep(flat.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "flat-counts")
+    hot = stash.keep(hot_keys(counts, "h"), "flat-hot")
+    found = salted(flat, hot, "h", "id").join(spread(counts.withColumnRenamed("n", "c"), hot, "h"), ["h", "__salt"]).select("id", "h", "c")
+    found = stash.keep(found, "flat-found")
+    frequent = found.groupBy("id").agg(F.count_if(F.col("c") > RARE).alias("m"))
+    sizes = sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("n"))
+    core = stash.keep(sizes.join(frequent, "id", "left").select("id", "n", F.coalesce("m", F.lit(0)).alias("m")), "core")
+    places = found.filter(F.col("c") <= RARE).select("id", "h").join(core.join(placed, "id"), "id")
+    left, right = (places.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("id", "component", "n", "m")]) for k in (1, 2))
+    met = left.join(right, "h").filter("id1 < id2 AND component1 <> component2").filter(_may(F.least("n1", "n2"), percent))
+    both = met.groupBy("id1", "id2", "n1", "n2", "m1", "m2").agg(F.count("*").alias("c"))
+    pairs = stash.keep(both.filter(_may(F.col("c") + F.least("m1", "m2"), percent)).select(F.col("id1").alias("a"), F.col("id2").alias("b")), "rare-pairs")
+    stash.drop("flat", "flat-counts", "flat-hot", "flat-found")
+    return pairs, core
+
+
 def _across(residual: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in a bucket that may be similar, block by block: no task holds more than two blocks.
 
-    `residual` has key, size, id, component, n, m, a and b. With at most min(m1, m2) common shingles most
-    pairs are out at once; of the rest only those that share enough half keys are returned. A pair is
-    returned from one bucket alone, that of the first half keys of either collection that it shares.
+    `residual` has key, size, id, component, main, n, m, a and b; `main` is a component of the bucket, whose members meet
+    those of the others only. With at most min(m1, m2) common shingles most pairs are out at once; of the rest only
+    those that share enough half keys are returned. A pair is returned from one bucket alone, that of the first half keys
+    of either collection that it shares.
     """
     dealt = residual.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "m", "a", "b")
-    left = spread.filter("block = i").select("key", "i", "j", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "n", "m", "a", "b")])
-    right = spread.filter("block = j").select("key", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "m", "a", "b")])
-    most = F.least("m1", "m2")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ("id", "component", "main", "n", "m", "a", "b")
+    left = dealt.filter("component <> main").withColumn("j", F.explode(others)).select("key", F.col("block").alias("i"), "j", *[F.col(c).alias(f"{c}1") for c in columns])
+    right = dealt.withColumn("i", F.explode(others)).select("key", "i", F.col("block").alias("j"), *[F.col(c).alias(f"{c}2") for c in columns])
     same_a, same_b = (F.zip_with(f"{c}1", f"{c}2", lambda x, y: x == y) for c in ("a", "b"))
     shared = F.size(F.filter(same_a, lambda x: x)) + F.size(F.filter(same_b, lambda x: x))
     i, j = ((F.array_position(same, True) - 1).cast("int") for same in (same_a, same_b))
     first = F.when((i >= 0) & (j >= 0), F.xxhash64(i, F.get("a1", i), j, F.get("b1", j)))
-    may = (F.col("component1") != F.col("component2")) & ((F.col("i") != F.col("j")) | (F.col("id1") < F.col("id2")))
-    may = may & (100 * most >= percent * (F.col("n1") + F.col("n2") - most))
-    met = left.join(right, ["key", "i", "j"]).filter(may)
+    once = (F.col("component2") == F.col("main2")) | (F.col("id1") < F.col("id2"))
+    met = left.join(right, ["key", "i", "j"]).filter((F.col("component1") != F.col("component2")) & once & _may(F.least("m1", "m2"), percent))
     return met.filter((first == F.col("key")) & (shared >= (LEAST_SHARED if percent >= 85 else LEAST_SHARED_BELOW))).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 
+def _open(near: DataFrame, percent: int) -> DataFrame:
+    """The rows of `near` that can have a partner of another component in their bucket, with its size and main component, that of most rows.
+
+    A partner of x has at most x's m of common shingles, and so no more shingles than those allow; the bucket's
+    least set tells whether there can be one.
+    """
+    counted = near.groupBy("key", "component").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    main = F.max(F.struct("k", "component"))["component"]
+    per = counted.groupBy("key").agg(F.sum("k").alias("size"), main.alias("main"), F.min("least").alias("least"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    hot = hot_keys(per.select("key", F.col("size").alias("n")), "key")
+    met = salted(near, hot, "key", "id").join(spread(per, hot, "key"), ["key", "__salt"]).drop("__salt")
+    return met.filter(f"(100 + {percent}) * m >= {percent} * (n + least)").drop("least")
+
+
 def _spanning(members: DataFrame, comps: DataFrame, hot: DataFrame, stash: Stash, name: str) -> DataFrame:
     """The members of buckets that span several components, with theirs and that of the bucket's lead."""
     placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -225,15 +274,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for step in range(2):
             counts = stash.keep(_matchable(open_sets).filter(f"100 * m >= {percent} * n"), f"matchable-{step}")
             open_sets = sets.join(counts.select("id"), "id", "left_semi")
-        halves = classes.select("id", "a", "b")
-        near = left.select("key", "id", "component").join(counts, "id").join(halves, "id")
+        placed = left.select("id", "component").distinct()
+        rare, core = _by_rare(open_sets, placed, percent, stash)
+        rare = stash.keep(rare.join(pairs, ["a", "b"], "left_anti"), "more_rare")
+        edges = edges.unionByName(stash.keep(verify(rare, sets, percent), "rare_links"))
+        comps = stash.keep(connected_components(edges, stash, "third"), "rare_components")
+        pairs = pairs.unionByName(rare)
+        # what is left shares frequent shingles only
+        near = left.select("key", "id").join(core.filter(f"100 * m >= {percent} * n"), "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         near = stash.keep(near, "near")
-        members_of = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        more = _across(near.join(members_of, "key"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
+        for step in range(2):
+            near = stash.keep(_open(near.select("key", "id", "n", "m", "component"), percent), f"open-{step}")
+        more = _across(near.join(classes.select("id", "a", "b"), "id"), percent).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stash.keep(more, "more_pairs")
         late = stash.keep(verify(more, sets, percent), "more_links")
-        comps = stash.keep(connected_components(edges.unionByName(late), stash, "third"), "all_components")
-    stash.drop("shared", "hot", "members", "pairs", "sets", "links", "waiting", "more_leads", "lead_links", "residual", "matchable-0", "matchable-1", "near", "more_pairs", "more_links")
+        comps = stash.keep(connected_components(edges.unionByName(late), stash, "fourth"), "all_components")
+    stash.drop("shared", "hot", "members", "pairs", "sets", "links", "waiting", "more_leads", "lead_links", "residual", "matchable-0", "matchable-1", "core", "rare-pairs", "more_rare", "rare_links", "rare_components", "near", "open-0", "open-1", "more_pairs", "more_links")
     found = own.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     none = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     # an id with an empty and a non-empty row keeps the component of the latter

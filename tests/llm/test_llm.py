@@ -1124,6 +1124,24 @@ def test_near_duplicates_in_chains_lose_no_link(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("rare", [2, 64])
+def test_near_duplicates_of_a_large_group_compare_few_pairs(spark, monkeypatch, rare):
+    monkeypatch.setattr(minhash, "RARE", rare)
+    rng = random.Random(8)
+    group = [sentence(rng, 149).split(" ")]
+    for _ in range(299):
+        copy = list(group[0] if rng.random() < 0.7 else rng.choice(group))
+        for k in rng.sample(range(149), rng.choice([1, 2, 4, 5, 6, 7, 8])):
+            copy[k] = sentence(rng, 1)
+        group.append(copy)
+    seen, verify = [], minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, sets, percent: seen.append(pairs.count()) or verify(pairs, sets, percent))
+    rows = [(i, " ".join(t)) for i, t in zip(rng.sample(range(300), 300), group, strict=True)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, EMPTY), percent=80).collect()}
+    assert got == (want := brute_components(rows, 80))
+    assert sum(kept for _, _, kept in want.values()) > 50 and sum(seen[2:]) < 300 * 8, seen  # behind the leads
+
+
 def test_near_duplicates_of_repeated_and_missing_rows(spark):
     long = sentence(random.Random(1), 30)
     frame = spark.createDataFrame([(5, long), (5, "other words here"), (9, "Other WORDS here"), (2, long), (None, long), (7, None)], EMPTY)
